@@ -1,0 +1,76 @@
+"""Run named queries in Spark and their SQL in DuckDB and compare the rows exactly."""
+
+from __future__ import annotations
+
+import sys
+import time
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+
+ROOT = Path(__file__).resolve().parents[1]
+sys.path.insert(0, str(ROOT))
+
+import __spark_entry__ as spark_entry  # noqa: E402
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages"
+    " benchmark labels conversations"
+).split()
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+}
+
+
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def mismatch(spark, con, sf_dir: str, name: str) -> str | None:
+    """None if names, types and rows are equal, else what differs."""
+    df = spark_entry.queries()[name](spark, sf_dir)
+    cols = sorted(df.columns)
+    spark_types = {n: TYPES.get(t, t) for n, t in df.dtypes}
+    sql = spark_entry.oracle_sql()[name]
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    sql_types = {r[0]: r[1] for r in described}
+    if spark_types != sql_types:
+        return f"types: {sorted(spark_types.items())} != {sorted(sql_types.items())}"
+    ours = Counter(tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect())
+    listed = ", ".join(f'"{c}"' for c in cols)
+    theirs = Counter(con.execute(f"SELECT {listed} FROM ({sql})").fetchall())
+    if ours != theirs:
+        return f"rows: only Spark {list((ours - theirs))[:3]}, only SQL {list((theirs - ours))[:3]}"
+    return None if ours else "empty"
+
+
+def main(sf_dir: str, names: list[str]) -> None:
+    from caselight.session import build_session
+
+    spark = build_session(master="local[8]", shuffle_partitions=8)
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
+    bad = 0
+    for name in names or spark_entry.queries():
+        start = time.time()
+        try:
+            result = mismatch(spark, con, sf_dir, name)
+        except Exception as error:  # noqa: BLE001
+            result = f"{type(error).__name__}: {str(error)[:600]}"
+        bad += result is not None
+        print(f"{name:30s} {time.time() - start:6.1f}s {result or 'ok'}", flush=True)
+    print(f"{bad} differ")
+
+
+if __name__ == "__main__":
+    main(sys.argv[1], sys.argv[2:])
