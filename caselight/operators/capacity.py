@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.functions import fixed_values as fv
@@ -16,6 +16,11 @@ OUTLOOK_COLUMNS = (
 )
 _ADDED = ("total", "due", "p0", "spare", "cap_total", "solved")
 _AVERAGED = ("probability", "quota_pct")
+# What every area shows when no case is open.
+WHEN_IDLE = {
+    "total": 0, "due": 0, "p0": 1, "probability": 100, "spare": 0, "cap_total": 0,
+    "solved": 0, "quota_pct": 100,
+}
 
 
 def active_backlog(cases: DataFrame) -> DataFrame:
@@ -51,20 +56,21 @@ def join_capacity(backlog: DataFrame, capacity: DataFrame, as_of: date) -> DataF
     return backlog.join(today, "area", "inner")
 
 
-def has_open_cases(cases: DataFrame) -> Column:
-    """Whether any case is unsolved. The subquery stops at the first such row."""
-    return open_cases(cases).select(F.lit(1)).limit(1).scalar().isNotNull()
+def _over_all_areas(sum_of: str) -> Column:
+    # The table has one row per area: this window sees as many rows as there are areas.
+    return F.coalesce(F.sum(sum_of).over(Window.partitionBy()), F.lit(0))
 
 
-def attach_capacity(per_area: DataFrame, capacity: DataFrame, as_of: date, how: str) -> DataFrame:
+def attach_capacity(per_area: DataFrame, capacity: DataFrame, as_of: date) -> DataFrame:
     """Capacity of the day and of day 1, chance to finish, spare capacity and quota.
 
     ``_counted`` marks the areas that have open cases, solved cases and both capacities;
-    only those enter the outlook.
+    only those enter the outlook. ``_idle`` tells that no area has an open case: then
+    every area shows the same constants.
     """
     today = capacity.filter(F.col("day") == as_of.day).select("area", "p0")
     first = capacity.filter(F.col("day") == 1).select("area", F.col("p0").alias("cap_total"))
-    joined = per_area.join(today, "area", how).join(first, "area", how)
+    joined = per_area.join(today, "area", "left").join(first, "area", "left")
     p0, due = F.col("p0"), F.col("due")
     chance = F.when((due == 0) & (p0 > 0), F.lit(100.0)).otherwise(
         F.least(F.lit(100.0), 100 * ratio(p0, due))
@@ -80,7 +86,8 @@ def attach_capacity(per_area: DataFrame, capacity: DataFrame, as_of: date, how:
         chance.alias("probability"),
         (p0 - due).alias("spare"),
         (ratio(F.col("solved"), F.col("cap_total")) * 100).alias("quota_pct"),
-        counted.alias("_counted"),
+        F.coalesce(counted, F.lit(False)).alias("_counted"),
+        (_over_all_areas("total") == 0).alias("_idle"),
     )
 
 
@@ -90,7 +97,7 @@ def with_total_row(measured: DataFrame, plain_sums: list[str], label: str) -> Da
     The input has one row per area, so grouping sets cost nothing here. Capacity columns
     come from counted areas only, ``plain_sums`` from all.
     """
-    counted = F.col("_counted")
+    counted, idle = F.col("_counted"), F.col("_idle")
     keyed = measured.select(
         "*", F.col("p0").alias("_p0_key"), F.col("cap_total").alias("_cap_key")
     )
@@ -99,45 +106,28 @@ def with_total_row(measured: DataFrame, plain_sums: list[str], label: str) -> Da
         *[F.sum(c).alias(c) for c in plain_sums],
         *[F.sum(F.when(counted, F.col(c))).alias(c) for c in _ADDED],
         *[F.avg(F.when(counted, F.col(c))).alias(c) for c in _AVERAGED],
+        F.max("_idle").alias("_idle"),
+        F.max("_counted").alias("_counted"),
         (F.grouping("area") == 1).alias("_is_total"),
     )
-    return rows.withColumn(
-        "area", F.when(F.col("_is_total"), F.lit(label)).otherwise(F.col("area"))
-    ).drop("_is_total", "_p0_key", "_cap_key")
+    shown = {c: F.col(c) for c in rows.columns if c not in keys}
+    for name, value in WHEN_IDLE.items():
+        shown[name] = F.when(idle, F.lit(value).cast(rows.schema[name].dataType)).otherwise(
+            F.col(name)
+        )
+    area = F.when(F.col("_is_total"), F.lit(label)).otherwise(F.col("area"))
+    return rows.select(area.alias("area"), *[c.alias(n) for n, c in shown.items()])
 
 
 def capacity_outlook(
-    cases: DataFrame,
-    capacity: DataFrame,
-    as_of: date,
-    areas: list[str] | None = None,
-    total_label: str = fv.TOTAL,
+    cases: DataFrame, capacity: DataFrame, as_of: date, total_label: str = fv.TOTAL
 ) -> DataFrame:
     """Month outlook per area and in total.
 
-    If no case is open at all, every area (default: those of the capacity table) and the
-    total get the same constant row.
+    If no case is open at all, every area of the capacity table and the total get the
+    same constant row.
     """
-    measured = attach_capacity(backlog_by_area(cases), capacity, as_of, how="inner")
-    rows = with_total_row(measured.filter("_counted"), [], total_label).select(*OUTLOOK_COLUMNS)
-
-    if areas is None:
-        names = capacity.select("area").distinct()
-    else:
-        names = capacity.sparkSession.createDataFrame([(a,) for a in areas], "area string")
-    with_total = names.unionByName(
-        capacity.sparkSession.range(1).select(F.lit(total_label).alias("area"))
-    )
-    zero, one, hundred = F.lit(0).cast("bigint"), F.lit(1.0), F.lit(100.0)
-    finished = with_total.filter(~has_open_cases(cases)).select(
-        "area",
-        zero.alias("total"),
-        zero.alias("due"),
-        one.alias("p0"),
-        hundred.alias("probability"),
-        F.lit(0.0).alias("spare"),
-        F.lit(0.0).alias("cap_total"),
-        zero.alias("solved"),
-        hundred.alias("quota_pct"),
-    )
-    return rows.unionByName(finished)
+    areas = capacity.select("area").distinct()
+    per_area = backlog_by_area(cases).join(areas, "area", "full")
+    rows = with_total_row(attach_capacity(per_area, capacity, as_of), [], total_label)
+    return rows.filter(F.col("_counted") | F.col("_idle")).select(*OUTLOOK_COLUMNS)

@@ -34,9 +34,12 @@ def indicator_detail(cases: DataFrame, level: str, area: str | None = None) -> D
     """Missed cases, shares and estimated indicators per key of the level.
 
     ``prop_total`` is the share in all missed cases of every area, also where only one
-    area is shown. The overall count is a one-row subquery that reads a single column, so
-    the group rows are never gathered in one task. ``ics_est``, ``ies_est`` and ``ies2``
-    are defined differently from the headline indicators.
+    area is shown. ``ics_est``, ``ies_est`` and ``ies2`` are defined differently from the
+    headline indicators.
+
+    The overall count is a one-row subquery over the same grouping, so group rows are
+    never gathered in one task. It sums every measure, not only the one it needs: both
+    sides then need the same shuffle, and Spark runs it once.
     """
     spec = LEVELS[level]
     is_in = F.col("inclusion") == "INCLUDED"
@@ -56,6 +59,8 @@ def indicator_detail(cases: DataFrame, level: str, area: str | None = None) -> D
             )
         ]
     groups = cases.groupBy(*spec.keys).agg(*measures)
+    sums = [c for c in groups.columns if c not in spec.keys]
+    overall = groups.agg(F.struct(*[F.sum(c).alias(c) for c in sums]).alias("sums"))
     if spec.missed_only:
         groups = groups.filter(F.col("missed") > 0)
     if area is not None:
@@ -65,8 +70,7 @@ def indicator_detail(cases: DataFrame, level: str, area: str | None = None) -> D
     missed, rows = F.col("missed"), F.col("cases")
     out = [*spec.keys, "missed", "cases", ratio(missed, rows).alias("prop_cases")]
     if spec.keys:
-        overall = cases.agg(F.sum("missed").alias("missed")).scalar()
-        out.append(ratio(missed, overall).alias("prop_total"))
+        out.append(ratio(missed, overall.scalar().getField("missed")).alias("prop_total"))
     out += [
         ratio(rows - missed, rows).alias("ics"),
         ratio(F.col("_met"), F.col("_closed")).alias("ics_est"),

@@ -168,21 +168,17 @@ def _scored(
         **cap.backlog_sums(),
     }
     per_area = cases.groupBy("area").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    measured = cap.attach_capacity(per_area, capacity, as_of, how="left")
     plain = [n for n in sums if n not in cap.backlog_sums()]
-    both = cap.with_total_row(measured, plain, total_label).withColumn(
-        "_idle", ~cap.has_open_cases(cases)
-    )
-    idle = F.col("_idle")
-    row = both.select(
+    measured = cap.attach_capacity(per_area, capacity, as_of)
+    row = cap.with_total_row(measured, plain, total_label).select(
         "area",
         _ics().alias("ics"),
         _ivs().alias("ivs"),
         _ies().alias("ies"),
-        F.when(idle, F.lit(0)).otherwise(F.col("due")).alias("due"),
-        F.when(idle, F.lit(1.0)).otherwise(F.col("p0")).alias("p0"),
-        F.when(idle, F.lit(0)).otherwise(F.col("solved")).alias("solved"),
-        F.when(idle, F.lit(100.0)).otherwise(F.col("quota_pct")).alias("quota_pct"),
+        "due",
+        "p0",
+        "solved",
+        "quota_pct",
         "missed",
         _missed_percent().alias("missed_pct"),
         _missed_limit().alias("missed_limit"),

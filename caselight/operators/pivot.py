@@ -96,7 +96,8 @@ def frequent_ci(
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("total"))
     )
-    floor = incidents.agg(half_even(F.count(F.lit(1)) * F.lit(pct)).alias("floor")).scalar()
+    # The subquery sums the same grouped counts, so it shares their shuffle.
+    floor = counts.agg(half_even(F.sum("total") * F.lit(pct)).alias("floor")).scalar()
     return (
         counts.filter(F.col("total") > floor)
         .orderBy(F.desc("total"), *keys)

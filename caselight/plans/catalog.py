@@ -102,7 +102,7 @@ def _split(cases: DataFrame) -> DataFrame:
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case labels carry no accents in this data, document texts do."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = star_tables.table(spark, sf_dir, "documents")
     return documents.select("doc_id", "lang", k.fold_accents(F.col("text")).alias("folded"))
 
 

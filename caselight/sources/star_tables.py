@@ -1,8 +1,7 @@
 """Derive the input tables of the operators from an order-and-line star schema.
 
 The case extract itself is not public, so tests and benchmarks read order lines as
-cases: one line is one case. No join carries a hint. Which side is broadcast is left
-to the optimizer, which checks table sizes at planning and again at run time.
+cases: one line is one case.
 """
 
 from __future__ import annotations
@@ -15,128 +14,125 @@ SOURCE_KEYS = ("l_partkey", "l_suppkey", "l_extendedprice")
 CASE_ORDER = ("registered_at", *SOURCE_KEYS)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared layouts: reading a table then needs no job to look into its files.
+LAYOUTS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(LAYOUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their dimensions; the small dimensions are joined first."""
-    nation = _table(spark, sf_dir, "nation")
-    supply = (
-        _table(spark, sf_dir, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "s_name", "n_nationkey", "n_name", "r_name")
+    """Order lines with their dimensions.
+
+    Orders come first: that join moves the lines, and before the others they are still
+    narrow and free of text. Customers are joined to orders, which are fewer than lines.
+    Lines and orders are the two large tables, so neither is ever broadcast: the hint asks
+    for the sort-merge join, which spills and whose skewed partitions can be split. All
+    other joins are left to the optimizer, which checks table sizes.
+    """
+    nation = table(spark, sf_dir, "nation")
+    client = nation.selectExpr("n_nationkey AS site_key", "n_name AS site")
+    orders = (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(client, F.expr("c_nationkey = site_key"))
     )
-    client = (
-        _table(spark, sf_dir, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", "c_mktsegment", F.col("n_name").alias("site"))
-    )
-    orders = _table(spark, sf_dir, "orders").join(client, F.col("o_custkey") == F.col("c_custkey"))
     return (
-        _table(spark, sf_dir, "lineitem")
-        .join(supply, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        table(spark, sf_dir, "lineitem")
+        .join(orders.hint("merge"), F.expr("l_orderkey = o_orderkey"))
+        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+        .join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        .join(nation, F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
 
 
-def _flag(condition) -> F.Column:
-    return F.when(condition, 1).otherwise(0)
+CASE_EXPRESSIONS = (
+    "l_orderkey * 10 + l_linenumber AS case_id",
+    "r_name AS area",
+    "if(n_nationkey = 7, '', n_name) AS grp",
+    "c_mktsegment AS subgrp",
+    "s_name AS specialist",
+    "p_brand AS service",
+    "if(l_linestatus = 'O', 'END_USER', 'INTERNAL') AS service_type",
+    "if(o_orderpriority IN ('1-URGENT', '2-HIGH'), 'INCIDENT', 'REQUEST') AS case_type",
+    """CASE WHEN o_orderstatus = 'O' THEN 'OPEN'
+            WHEN o_orderstatus = 'P' THEN 'PENDING'
+            WHEN l_returnflag = 'A' THEN 'CLOSED'
+            WHEN l_returnflag = 'N' THEN 'SOLVED'
+            ELSE 'DENIED' END AS state""",
+    """CASE WHEN p_size % 10 = 0 THEN p_type
+            WHEN p_size > 40 THEN concat_ws('.', p_type, replace(p_name, ' ', '.'), p_brand, 'extra')
+            WHEN p_size > 20 THEN concat_ws('.', p_type, replace(p_name, ' ', '.'), p_brand)
+            ELSE concat_ws('.', p_type, replace(p_name, ' ', '.')) END AS category_path""",
+    "p_type AS category",
+    "if(p_size % 7 = 0, '', p_name) AS ci",
+    "site",
+    """if(o_orderstatus = 'F' AND (l_returnflag = 'A'
+           OR (l_returnflag = 'N' AND round(l_discount * 100) < 2)),
+         'INCLUDED', 'EXCLUDED') AS inclusion""",
+    "cast(l_quantity * 60 AS int) AS elapsed_minutes",
+    "p_size * 60 AS sla_minutes",
+    "if(l_quantity <= p_size, 1, 0) AS met_sla",
+    """o_orderdate + make_dt_interval(0, (l_linenumber * 3) % 24, cast(l_partkey % 60 AS int), 0)
+         AS registered_at""",
+    "if(round(l_discount * 100) < 5, 1, 0) AS due_in_month",
+    "if(round(l_discount * 100) = 10, 1, 0) AS overdue_prev_months",
+    "if(round(l_tax * 100) = 6, 1, 0) AS closed_early_prev",
+    "if(round(l_tax * 100) = 7, 1, 0) AS closed_early_next",
+    "if(round(l_tax * 100) = 8, 1, 0) AS solved_early_next",
+    "l_linenumber",
+    *SOURCE_KEYS,
+)
+DERIVED_EXPRESSIONS = (
+    "registered_at + make_dt_interval(0, 0, sla_minutes, 0) AS due_at",
+    """if(state IN ('CLOSED', 'SOLVED'),
+         registered_at + make_dt_interval(0, 0, elapsed_minutes, 0), NULL) AS solved_at""",
+    """concat(cast(elapsed_minutes * 100 div sla_minutes AS string), ',',
+              cast(l_linenumber AS string)) AS progress_text""",
+    "if(state = 'CLOSED', 1, 0) AS closed_in_period",
+    "if(state = 'CLOSED', met_sla, 0) AS closed_met_sla",
+    "if(state = 'SOLVED', 1, 0) AS solved_pending_close",
+    "if(state = 'SOLVED', met_sla, 0) AS solved_pending_close_met_sla",
+    "if(state IN ('OPEN', 'PENDING'), 1, 0) AS still_pending",
+    "if(state IN ('OPEN', 'PENDING'), met_sla, 0) AS still_pending_met_sla",
+)
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``cases`` table plus ``SOURCE_KEYS``."""
-    percent = F.round(F.col("l_discount") * 100)
-    tax = F.round(F.col("l_tax") * 100)
-    flag, status = F.col("l_returnflag"), F.col("o_orderstatus")
-    size, name, brand, kind = (F.col(c) for c in ("p_size", "p_name", "p_brand", "p_type"))
-    dotted = F.replace(name, F.lit(" "), F.lit("."))
-
-    base = _lines(spark, sf_dir).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("case_id"),
-        F.col("r_name").alias("area"),
-        F.when(F.col("n_nationkey") == 7, "").otherwise(F.col("n_name")).alias("grp"),
-        F.col("c_mktsegment").alias("subgrp"),
-        F.col("s_name").alias("specialist"),
-        brand.alias("service"),
-        F.when(F.col("l_linestatus") == "O", "END_USER").otherwise("INTERNAL").alias("service_type"),
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "INCIDENT")
-        .otherwise("REQUEST")
-        .alias("case_type"),
-        F.when(status == "O", "OPEN")
-        .when(status == "P", "PENDING")
-        .when(flag == "A", "CLOSED")
-        .when(flag == "N", "SOLVED")
-        .otherwise("DENIED")
-        .alias("state"),
-        F.when(size % 10 == 0, kind)
-        .when(size > 40, F.concat_ws(".", kind, dotted, brand, F.lit("extra")))
-        .when(size > 20, F.concat_ws(".", kind, dotted, brand))
-        .otherwise(F.concat_ws(".", kind, dotted))
-        .alias("category_path"),
-        kind.alias("category"),
-        F.when(size % 7 == 0, "").otherwise(name).alias("ci"),
-        "site",
-        F.when(
-            (status == "F") & ((flag == "A") | ((flag == "N") & (percent < 2))), "INCLUDED"
-        )
-        .otherwise("EXCLUDED")
-        .alias("inclusion"),
-        (F.col("l_quantity") * 60).cast("int").alias("elapsed_minutes"),
-        (size * 60).alias("sla_minutes"),
-        _flag(F.col("l_quantity") <= size).alias("met_sla"),
-        (
-            F.col("o_orderdate")
-            + F.make_dt_interval(
-                F.lit(0),
-                (F.col("l_linenumber") * 3) % 24,
-                (F.col("l_partkey") % 60).cast("int"),
-                F.lit(0),
-            )
-        ).alias("registered_at"),
-        _flag(percent < 5).alias("due_in_month"),
-        _flag(percent == 10).alias("overdue_prev_months"),
-        _flag(tax == 6).alias("closed_early_prev"),
-        _flag(tax == 7).alias("closed_early_next"),
-        _flag(tax == 8).alias("solved_early_next"),
-        F.col("l_linenumber").cast("string").alias("line_text"),
-        *SOURCE_KEYS,
-    )
-    state, met = F.col("state"), F.col("met_sla")
-    pending = state.isin("OPEN", "PENDING")
-
-    def after(minutes):
-        return F.col("registered_at") + F.make_dt_interval(
-            F.lit(0), F.lit(0), F.col(minutes), F.lit(0)
-        )
-
-    return base.select(
-        "*",
-        after("sla_minutes").alias("due_at"),
-        F.when(state.isin("CLOSED", "SOLVED"), after("elapsed_minutes")).alias("solved_at"),
-        F.concat_ws(
-            ",", F.expr("cast(elapsed_minutes * 100 div sla_minutes as string)"), "line_text"
-        ).alias("progress_text"),
-        _flag(state == "CLOSED").alias("closed_in_period"),
-        F.when(state == "CLOSED", met).otherwise(0).alias("closed_met_sla"),
-        _flag(state == "SOLVED").alias("solved_pending_close"),
-        F.when(state == "SOLVED", met).otherwise(0).alias("solved_pending_close_met_sla"),
-        _flag(pending).alias("still_pending"),
-        F.when(pending, met).otherwise(0).alias("still_pending_met_sla"),
-    ).drop("line_text")
+    return _lines(spark, sf_dir).selectExpr(*CASE_EXPRESSIONS).selectExpr("*", *DERIVED_EXPRESSIONS)
 
 
 def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per region and day of the month."""
     return (
-        _table(spark, sf_dir, "region")
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(31))).alias("day"))
-        .select(
-            F.col("r_name").alias("area"),
-            "day",
-            ((F.col("r_regionkey") + 1) * 100 * (32 - F.col("day"))).cast("double").alias("p0"),
+        table(spark, sf_dir, "region")
+        .selectExpr("*", "explode(sequence(1, 31)) AS day")
+        .selectExpr(
+            "r_name AS area", "day", "cast((r_regionkey + 1) * 100 * (32 - day) AS double) AS p0"
         )
     )
 
@@ -145,12 +141,12 @@ def client_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines stand for the cases that wait for the client."""
     return (
         _lines(spark, sf_dir)
-        .filter(F.col("l_returnflag") == "R")
-        .select(
-            F.col("r_name").alias("area"),
-            F.col("s_name").alias("specialist"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("case_id"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("service"),
+        .filter("l_returnflag = 'R'")
+        .selectExpr(
+            "r_name AS area",
+            "s_name AS specialist",
+            "l_orderkey * 10 + l_linenumber AS case_id",
+            "p_type AS category",
+            "p_brand AS service",
         )
     )
