@@ -18,8 +18,8 @@ _ADDED = ("total", "due", "p0", "spare", "cap_total", "solved")
 _AVERAGED = ("probability", "quota_pct")
 # What every area shows when no case is open.
 WHEN_IDLE = {
-    "total": 0, "due": 0, "p0": 1, "probability": 100, "spare": 0, "cap_total": 0,
-    "solved": 0, "quota_pct": 100,
+    "total": 0, "due": 0, "p0": 1.0, "probability": 100.0, "spare": 0.0, "cap_total": 0.0,
+    "solved": 0, "quota_pct": 100.0,
 }
 
 
@@ -110,13 +110,13 @@ def with_total_row(measured: DataFrame, plain_sums: list[str], label: str) -> Da
         F.max("_counted").alias("_counted"),
         (F.grouping("area") == 1).alias("_is_total"),
     )
-    shown = {c: F.col(c) for c in rows.columns if c not in keys}
-    for name, value in WHEN_IDLE.items():
-        shown[name] = F.when(idle, F.lit(value).cast(rows.schema[name].dataType)).otherwise(
-            F.col(name)
-        )
-    area = F.when(F.col("_is_total"), F.lit(label)).otherwise(F.col("area"))
-    return rows.select(area.alias("area"), *[c.alias(n) for n, c in shown.items()])
+    return rows.select(
+        F.when(F.col("_is_total"), F.lit(label)).otherwise(F.col("area")).alias("area"),
+        *plain_sums,
+        *[F.when(idle, F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in WHEN_IDLE.items()],
+        "_idle",
+        "_counted",
+    )
 
 
 def capacity_outlook(

@@ -50,10 +50,11 @@ def _sums(df: DataFrame, by: list[str], total: bool, measures: dict[str, Column]
 
 
 def _compliance_sums(included_only: bool = False) -> dict[str, Column]:
-    keep = (lambda c: F.col(c)) if included_only else (
-        lambda c: F.when(F.col("inclusion") == INCLUDED, F.col(c))
-    )
-    return {"met": keep("met_sla"), "closed": keep("closed_in_period")}
+    met, closed = F.col("met_sla"), F.col("closed_in_period")
+    if not included_only:
+        counts = F.col("inclusion") == INCLUDED
+        met, closed = F.when(counts, met), F.when(counts, closed)
+    return {"met": met, "closed": closed}
 
 
 def _speed_sums() -> dict[str, Column]:
@@ -76,23 +77,20 @@ def _missed_sums() -> dict[str, Column]:
 
 
 def _ics() -> Column:
-    return ratio(F.col("met"), F.col("closed"))
+    return F.expr("try_divide(met, closed)")
 
 
 def _ivs() -> Column:
-    return ratio(F.col("elapsed"), F.col("allowed"))
+    return F.expr("try_divide(elapsed, allowed)")
 
 
 def _ies() -> Column:
-    done = F.col("closed_in_period") + F.col("solved_pending_close")
-    base = (
-        F.col("closed_early_next")
-        + F.col("due_in_month")
-        + F.col("solved_early_next")
-        + F.col("overdue_prev_months")
-        - F.col("closed_early_prev")
+    return F.expr(
+        """try_divide(
+             closed_in_period + solved_pending_close,
+             closed_early_next + due_in_month + solved_early_next + overdue_prev_months
+               - closed_early_prev)"""
     )
-    return ratio(done, base)
 
 
 def _missed_percent() -> Column:
@@ -121,26 +119,29 @@ def kpi_effectiveness(cases: DataFrame, by: list[str] = [], total: bool = True)
 
 def kpi_missed(cases: DataFrame, by: list[str] = [], total: bool = True) -> DataFrame:
     """Missed cases, their share in percent and the limit (5 % of all cases)."""
-    return _sums(cases, list(by), total, _missed_sums()).select(
-        *by,
-        "missed",
-        _missed_percent().alias("missed_pct"),
-        _missed_limit().alias("missed_limit"),
-        bands.missed_band(F.col("missed"), _missed_limit()).alias("missed_band"),
+    return (
+        _sums(cases, list(by), total, _missed_sums())
+        .select(
+            *by,
+            "missed",
+            _missed_percent().alias("missed_pct"),
+            _missed_limit().alias("missed_limit"),
+        )
+        .withColumn("missed_band", bands.missed_band("missed", "missed_limit"))
     )
 
 
 def kpi_solved(outlook: DataFrame) -> DataFrame:
     """Solved so far against the month's quota, from the capacity outlook."""
     return outlook.select(
-        "area", "solved", "quota_pct", bands.quota_band(F.col("quota_pct")).alias("solved_band")
+        "area", "solved", "quota_pct", bands.quota_band("quota_pct").alias("solved_band")
     )
 
 
 def kpi_to_close(outlook: DataFrame) -> DataFrame:
     """Cases to close this month against capacity, from the capacity outlook."""
     return outlook.select(
-        "area", "due", "p0", bands.capacity_band(F.col("due"), F.col("p0")).alias("to_close_band")
+        "area", "due", "p0", bands.capacity_band("due", "p0").alias("to_close_band")
     )
 
 
@@ -160,17 +161,16 @@ def _targets_wide(spark: SparkSession, targets, total_label: str) -> DataFrame:
 def _scored(
     cases: DataFrame, capacity: DataFrame, as_of: date, targets, total_label: str
 ) -> DataFrame:
-    sums = {
+    plain = {
         **_compliance_sums(),
         **_speed_sums(),
         **_effectiveness_sums(),
         **_missed_sums(),
-        **cap.backlog_sums(),
     }
+    sums = {**plain, **cap.backlog_sums()}
     per_area = cases.groupBy("area").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    plain = [n for n in sums if n not in cap.backlog_sums()]
     measured = cap.attach_capacity(per_area, capacity, as_of)
-    row = cap.with_total_row(measured, plain, total_label).select(
+    row = cap.with_total_row(measured, list(plain), total_label).select(
         "area",
         _ics().alias("ics"),
         _ivs().alias("ivs"),
@@ -186,12 +186,12 @@ def _scored(
     goals = _targets_wide(cases.sparkSession, targets, total_label)
     return row.join(goals, "area", "left").select(
         *row.columns,
-        bands.target_band(F.col("ics"), F.col("ics_target"), F.col("ics_tol")).alias("ics_band"),
-        bands.speed_band(F.col("ivs")).alias("ivs_band"),
-        bands.target_band(F.col("ies"), F.col("ies_target"), F.col("ies_tol")).alias("ies_band"),
-        bands.capacity_band(F.col("due"), F.col("p0")).alias("to_close_band"),
-        bands.quota_band(F.col("quota_pct")).alias("solved_band"),
-        bands.missed_band(F.col("missed"), F.col("missed_limit")).alias("missed_band"),
+        bands.target_band("ics", "ics_target", "ics_tol").alias("ics_band"),
+        bands.speed_band("ivs").alias("ivs_band"),
+        bands.target_band("ies", "ies_target", "ies_tol").alias("ies_band"),
+        bands.capacity_band("due", "p0").alias("to_close_band"),
+        bands.quota_band("quota_pct").alias("solved_band"),
+        bands.missed_band("missed", "missed_limit").alias("missed_band"),
         "ics_target",
         "ics_tol",
         "ies_target",
