@@ -72,9 +72,8 @@ def attach_capacity(per_area: DataFrame, capacity: DataFrame, as_of: date) -> Da
     first = capacity.filter(F.col("day") == 1).select("area", F.col("p0").alias("cap_total"))
     joined = per_area.join(today, "area", "left").join(first, "area", "left")
     p0, due = F.col("p0"), F.col("due")
-    chance = F.when((due == 0) & (p0 > 0), F.lit(100.0)).otherwise(
-        F.least(F.lit(100.0), 100 * ratio(p0, due))
-    )
+    uncapped = 100 * ratio(p0, due)
+    chance = F.when(((due == 0) & (p0 > 0)) | (uncapped > 100), F.lit(100.0)).otherwise(uncapped)
     counted = (
         (F.col("total") > 0)
         & (F.col("solved") > 0)
@@ -127,7 +126,9 @@ def capacity_outlook(
     If no case is open at all, every area of the capacity table and the total get the
     same constant row.
     """
-    areas = capacity.select("area").distinct()
+    areas = capacity.select("area").distinct().withColumn("_listed", F.lit(True))
     per_area = backlog_by_area(cases).join(areas, "area", "full")
-    rows = with_total_row(attach_capacity(per_area, capacity, as_of), [], total_label)
+    measured = attach_capacity(per_area, capacity, as_of)
+    shown = measured.filter(~F.col("_idle") | F.col("_listed"))
+    rows = with_total_row(shown, [], total_label)
     return rows.filter(F.col("_counted") | F.col("_idle")).select(*OUTLOOK_COLUMNS)

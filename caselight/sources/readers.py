@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselight import schema
 from caselight.functions import fixed_values as fv
-from caselight.functions.columns import parse_stamp
+from caselight.functions.columns import decimal_comma, parse_stamp
 
 CSV_OPTIONS = {"sep": ";", "header": "true", "encoding": "ISO-8859-1"}
 
@@ -31,23 +31,27 @@ def normalise_columns(df: DataFrame, headers: dict[str, str] = fv.CASE_HEADERS)
 
 
 def _typed(df: DataFrame, layout: T.StructType, codes: dict[str, dict[str, str]]) -> DataFrame:
-    """Project text columns to the layout: blanks stay ``''`` in text, NULL elsewhere."""
-    out = []
-    for field in layout.fields:
-        text = F.col(f"`{field.name}`")
+    """Project text columns to the layout.
+
+    Blanks stay ``''`` in text and are NULL elsewhere. A column that the table lacks is
+    blank or NULL throughout.
+    """
+    given = set(df.columns)
+
+    def typed(field: T.StructField) -> Column:
+        raw = F.col(field.name) if field.name in given else F.lit(None).cast("string")
         if isinstance(field.dataType, T.StringType):
-            text = F.coalesce(text, F.lit(""))
+            value = F.coalesce(raw, F.lit(""))
             for word, code in codes.get(field.name, {}).items():
-                text = F.when(F.col(f"`{field.name}`") == word, F.lit(code)).otherwise(text)
-            value = text
-        elif isinstance(field.dataType, T.TimestampNTZType):
-            value = parse_stamp(text)
-        elif isinstance(field.dataType, T.DoubleType):
-            value = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
-        else:
-            value = F.trim(text).try_cast(field.dataType)
-        out.append(value.alias(field.name))
-    return df.select(*out)
+                value = F.when(raw == word, F.lit(code)).otherwise(value)
+            return value
+        if isinstance(field.dataType, T.TimestampNTZType):
+            return parse_stamp(raw)
+        if isinstance(field.dataType, T.DoubleType):
+            return decimal_comma(raw)
+        return F.trim(raw).try_cast(field.dataType)
+
+    return df.select(*[typed(f).alias(f.name) for f in layout.fields])
 
 
 def _read(

@@ -1,0 +1,169 @@
+"""Detail tables, pivots and lists."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from caselight import schema
+from caselight.operators import detail, lists, pivot
+
+T0 = datetime(2016, 6, 1, 8)
+
+
+@pytest.mark.parametrize("level", [n for n in detail.LEVELS if n != "total"])
+def test_shares_add_up(small_cases, level):
+    table = detail.indicator_detail(small_cases, level)
+    sums = table.agg(F.sum("prop_total").alias("p"), F.sum("missed").alias("m")).first()
+    assert abs(sums.p - 1) < 1e-9
+    assert sums.m == small_cases.filter("missed = 1").count()
+    missed = [r.missed for r in table.collect()]
+    assert missed == sorted(missed, reverse=True)
+    assert not detail.LEVELS[level].missed_only or min(missed) > 0
+
+
+def test_area_filter_keeps_the_overall_share(small_cases):
+    whole = {r.grp: r for r in detail.indicator_detail(small_cases, "group").collect() if r.area == "ASIA"}
+    part = {r.grp: r for r in detail.indicator_detail(small_cases, "group", "ASIA").collect()}
+    assert part == whole
+    assert detail.indicator_detail(small_cases, "total", "ASIA").count() == 0
+    assert detail.indicator_detail(small_cases, "total").count() == 1
+
+
+def test_detail_values(make_cases):
+    cases = make_cases(
+        dict(area="A", met_sla=1, inclusion="INCLUDED", closed_in_period=1, closed_met_sla=1, due_in_month=1),
+        dict(area="A", met_sla=0, inclusion="INCLUDED", closed_in_period=1, due_in_month=1),
+        dict(area="A", met_sla=1, inclusion="EXCLUDED", still_pending=1, still_pending_met_sla=1,
+             overdue_prev_months=1),
+        dict(area="A", met_sla=1, solved_pending_close=1, solved_early_next=1),
+        dict(area="B", met_sla=1),
+    )
+    a, b = detail.indicator_detail(cases, "area").collect()
+    assert (a.area, a.missed, a.cases, a.prop_cases, a.prop_total) == ("A", 1, 4, 0.25, 1.0)
+    assert (a.ics, a.ics_est, a.ies_est, a.ies2) == (0.75, 0.5, 0.5, 1.0)
+    assert (b.area, b.prop_total, b.ics, b.ics_est, b.ies_est) == ("B", 0.0, 1.0, None, None)
+
+
+def test_no_missed_case_at_all(make_cases):
+    cases = make_cases(dict(area="A", met_sla=1))
+    assert detail.indicator_detail(cases, "area").first().prop_total is None
+    assert detail.indicator_detail(cases, "area_category").count() == 0
+
+
+AGGREGATES = {
+    "sum": sum,
+    "count": len,
+    "avg": lambda v: sum(v) / len(v),
+    "min": min,
+    "max": max,
+    "count_distinct": lambda v: len(set(v)),
+}
+
+
+@pytest.mark.parametrize("agg", AGGREGATES)
+def test_pivot_aggregates(spark, agg):
+    data = [("a", "x", "I", 1), ("a", "x", "I", 5), ("a", "y", "R", 5), ("b", "x", "R", 7), ("b", "x", "R", 7)]
+    df = spark.createDataFrame(data, "area string, grp string, case_type string, v int")
+    table = pivot.pivot_summary(df, ["area", "grp"], {"case_type": ["I", "R"]}, "v", agg)
+    assert table.columns == ["area", "grp", "level", "I", "R", "total"]
+    for r in table.collect():
+        match = [
+            d for d in data
+            if (r.level > 1 or d[0] == r.area) and (r.level > 0 or d[1] == r.grp)
+        ]
+        for name in ("I", "R", "total"):
+            values = [d[3] for d in match if name in (d[2], "total")]
+            expected = AGGREGATES[agg](values) if values else None
+            if expected is None and agg == "count_distinct":
+                expected = 0
+            assert r[name] == expected
+    assert sorted(r.level for r in table.collect()) == [0, 0, 0, 1, 1, 2]
+
+
+def test_pivot_of_two_columns_and_of_none(spark, small_cases):
+    base = pivot.pivot_input(small_cases)
+    assert base.columns == list(schema.PIVOT_COLUMNS)
+    two = pivot.pivot_summary(
+        base, ["area"], {"case_type": ["INCIDENT"], "state": ["OPEN", "PENDING"]}, agg="count"
+    )
+    assert two.columns == ["area", "level", "INCIDENT_OPEN", "INCIDENT_PENDING", "total"]
+    grand = pivot.pivot_summary(base, []).first()
+    assert (grand.level, grand.missed) == (0, base.filter("missed = 1").count())
+    top = pivot.pivot_summary(base, ["area", "grp", "subgrp"]).filter("level = 3").first()
+    assert top.missed == grand.missed
+    with pytest.raises(ValueError):
+        pivot.pivot_summary(base, ["area"], agg="median")
+    assert spark
+
+
+def test_frequent_ci(make_cases):
+    rows = [dict(area="A", grp="", ci="", service="s", case_type="INCIDENT", registered_at=T0)] * 3
+    rows += [dict(area="A", ci="c", service="s", case_type="INCIDENT", registered_at=T0)] * 2
+    rows += [dict(area="A", ci="c", service="s", case_type="REQUEST", registered_at=T0)] * 9
+    # 0.5 * 5 rounds half-even to 2: only counts above 2 stay.
+    got = [tuple(r) for r in pivot.frequent_ci(make_cases(*rows), 0.5).collect()]
+    assert got == [("A", "No_Group", "CI not_registered", "s", "01-06-2016", 3)]
+    tree = pivot.frequent_ci_tree(pivot.frequent_ci(make_cases(*rows), 0.1))
+    sizes = {(r.level, r.ci): r.size for r in tree.collect()}
+    assert (sizes[5, None], sizes[4, None], sizes[3, "c"]) == (5, 5, 2)
+
+
+def test_top_specialists_fan_out(make_cases):
+    rows = [dict(specialist="x", area=a, met_sla=0) for a in ("A", "A", "B")]
+    rows += [dict(specialist="y", area="A", met_sla=0), dict(specialist="z", area="A", met_sla=1)]
+    got = [tuple(r) for r in lists.top_specialists(make_cases(*rows), 2).collect()]
+    assert sorted(got) == [
+        ("x", 3, "A", "3 missed - A"),
+        ("x", 3, "B", "3 missed - B"),
+        ("y", 1, "A", "1 missed - A"),
+    ]
+
+
+def test_top_sites(make_cases):
+    row = dict(service_type="END_USER", case_type="INCIDENT", category="k")
+    cases = make_cases(*[dict(row, site=s) for s in "aabbc"], dict(row, site="c", case_type="REQUEST"))
+    got = [(r.site, r.message) for r in lists.top_sites(cases, 2).collect()]
+    assert got == [("a", "2 : Incidents : k"), ("b", "2 : Incidents : k")]
+
+
+def test_first_per_case_with_a_hot_id(spark):
+    # A third of all rows share one id, spread over all partitions.
+    rows = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 7, id + 100) AS case_id", "id % 1000 AS rank", "id"
+    ).repartition(8)
+    got = lists.first_per_case(rows, ["rank", "id"])
+    assert got.count() == 20_001
+    assert got.filter("case_id = 7").first().id == 0
+
+
+def test_recurrence_and_distinct(spark, make_cases):
+    rows = [("A", "s", 1, "c", "v"), ("A", "s", 1, "c", "w"), ("A", "t", 1, "c", "v"), ("B", "s", 2, "c", "v")]
+    pending = spark.createDataFrame(rows, schema.CLIENT_PENDING)
+    assert [tuple(r) for r in lists.recurrent_cases(pending).collect()] == [("A", "s", 1, 2)]
+    assert lists.recurrent_cases(pending, "B").count() == 0
+    cases = make_cases(dict(specialist="s", area="A"), dict(specialist="s", area="A"))
+    assert lists.distinct_pairs(cases, ["specialist", "area"]).count() == 1
+
+
+def test_lists_of_open_cases(make_cases):
+    cases = make_cases(
+        dict(case_id=1, state="OPEN", area="A", grp="g", service="s", progress_text="50,5", elapsed_minutes=10),
+        dict(case_id=2, state="OPEN", area="A", progress_text="0", elapsed_minutes=10),
+        dict(case_id=3, state="DENIED", area="A", progress_text="x", elapsed_minutes=10),
+        dict(case_id=4, state="CLOSED", area="A", progress_text="60", elapsed_minutes=10),
+        dict(case_id=5, state="OPEN", area="B", progress_text="60", elapsed_minutes=20,
+             registered_at=T0 + timedelta(1)),
+    )
+    work = lists.worklist(cases, "A")
+    assert work.columns == list(schema.WORKLIST_COLUMNS)
+    assert sorted(r.case_id for r in work.collect()) == [1, 2]
+    points = {r.case_id: r for r in lists.scatter_points(cases).collect()}
+    assert set(points) == {1, 2, 3, 5}
+    assert (points[1].label, points[1].progress, points[3].progress) == ("g  -  s", 50.5, None)
+    assert {r.case_id for r in lists.scatter_points(cases, log_axes=True).collect()} == {1, 5}
+    picked = lists.select_region(cases, "A", (0, 50.5), (10, 10))
+    assert sorted(r.case_id for r in picked.collect()) == [1, 2]
+    matrix = {(r.state, r.specialist): r.total for r in pivot.state_matrix(cases, "A").collect()}
+    assert matrix == {("OPEN", ""): 2}
+    assert lists.case_listing(cases).columns == list(schema.CASE_COLUMNS)
