@@ -11,16 +11,16 @@ from caselight.operators.prepare import by_area, missed_cases, open_cases, scope
 
 
 def _edges(
-    df: DataFrame, raw: list[str], path: list[Column], loose: tuple[int, ...] = ()
+    combos: DataFrame, path: list[Column], loose: tuple[int, ...] = ()
 ) -> DataFrame:
     """Count the steps of a path; step i leads from ``path[i]`` to ``path[i + 1]``.
 
-    Rows are first counted per combination of the raw columns, so the label work and the
-    split into steps run once per combination and not once per case. Steps with a
-    missing end are dropped, except the ``loose`` ones. Steps stay apart even where two
-    of them have the same labels.
+    ``combos`` holds one row per combination of the columns in the path with its count
+    ``_rows``, so labels are cut and steps spread out once per combination and not once
+    per case. Accents are folded later still, on the edges, which are fewest; edges that
+    become equal are added up then. Steps with a missing end are dropped, except the
+    ``loose`` ones. Steps stay apart even where two of them have the same labels.
     """
-    combos = df.groupBy(*raw).agg(F.count(F.lit(1)).alias("_rows"))
     steps = F.array(
         *[
             F.struct(F.lit(i).alias("step"), a.alias("source"), b.alias("target"))
@@ -31,13 +31,24 @@ def _edges(
     complete = F.col("source").isNotNull() & F.col("target").isNotNull()
     if loose:
         complete = complete | F.col("step").isin(list(loose))
+    keys = ["step", "source", "target"]
+    counted = edges.filter(complete).groupBy(*keys).agg(F.sum("_rows").alias("value"))
     return (
-        edges.filter(complete)
-        .groupBy("step", "source", "target")
-        .agg(F.sum("_rows").alias("value"))
+        counted.select(
+            "step",
+            fold_accents(F.col("source")).alias("source"),
+            fold_accents(F.col("target")).alias("target"),
+            "value",
+        )
+        .groupBy(*keys)
+        .agg(F.sum("value").alias("value"))
     )
 
 
+def _combinations(df: DataFrame, *columns: str) -> DataFrame:
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+
+
 def _result(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target", "value")
 
@@ -57,18 +68,19 @@ def category_flow(
     rows = scope(cases, case_type=case_type)
     if missed_only:
         rows = missed_cases(rows)
-    levels = [fold_accents(c) for c in category_levels(F.col("category_path"))]
+    levels = category_levels(F.col("category_path"))
     if tag_level_2:
         levels[1] = F.concat(levels[1], F.lit(" "))
-    group = fold_accents(blank_to(F.col("grp"), labels.no_group_flow))
-    path = [fold_accents(F.col("area")), group, *levels]
-    return _result(_edges(rows, ["area", "grp", "category_path"], path, loose=(0,)))
+    path = [F.col("area"), blank_to(F.col("grp"), labels.no_group_flow), *levels]
+    return _result(_edges(_combinations(rows, "area", "grp", "category_path"), path, loose=(0,)))
 
 
 def open_flow(cases: DataFrame, labels: fv.Labels = fv.ENGLISH) -> DataFrame:
     """area -> specialist -> state for open cases; blanks of the second step are labelled."""
     names = ["area", "specialist", "state"]
-    edges = _edges(open_cases(cases, "state"), names, [fold_accents(F.col(c)) for c in names])
+    edges = _edges(
+        _combinations(open_cases(cases, "state"), *names), [F.col(c) for c in names]
+    )
     second = F.col("step") == 1
     source, target = F.col("source"), F.col("target")
     return edges.select(
@@ -84,7 +96,7 @@ def ci_state_flow(cases: DataFrame, labels: fv.Labels = fv.ENGLISH) -> DataFrame
     """ci -> state for open cases, incomplete steps included."""
     names = ["ci", "state"]
     edges = _edges(
-        open_cases(cases, "state"), names, [fold_accents(F.col(c)) for c in names], loose=(0,)
+        _combinations(open_cases(cases, "state"), *names), [F.col(c) for c in names], loose=(0,)
     )
     return edges.select(
         blank_to(F.col("source"), labels.no_ci_flow).alias("source"),
@@ -96,6 +108,6 @@ def ci_state_flow(cases: DataFrame, labels: fv.Labels = fv.ENGLISH) -> DataFrame
 def client_pending_flow(pending: DataFrame, area: str | None = None) -> DataFrame:
     """area -> service -> category -> specialist; categories end in a dot."""
     names = ["area", "service", "category", "specialist"]
-    path = [fold_accents(F.col(c)) for c in names]
+    path = [F.col(c) for c in names]
     path[2] = F.concat(path[2], F.lit("."))
-    return _result(_edges(by_area(pending, area), names, path, loose=(0,)))
+    return _result(_edges(_combinations(by_area(pending, area), *names), path, loose=(0,)))

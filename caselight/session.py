@@ -6,12 +6,15 @@ from pyspark.sql import SparkSession
 
 
 def build_session(
-    app_name: str = "caselight", master: str | None = None, shuffle_partitions: int | None = None
+    app_name: str = "caselight",
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    driver_memory: str | None = None,
 ) -> SparkSession:
     """Adaptive execution chooses joins and partition counts from measured sizes.
 
-    On a cluster leave ``master`` and ``shuffle_partitions`` unset: the former comes
-    from spark-submit, the latter from the cluster's own settings.
+    On a cluster leave the last three unset: they come from spark-submit and the
+    cluster's own settings. In local mode the driver's memory is all there is.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -26,4 +29,6 @@ def build_session(
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()

@@ -57,7 +57,7 @@ def mismatch(spark, con, sf_dir: str, name: str) -> str | None:
 def main(sf_dir: str, names: list[str]) -> None:
     from caselight.session import build_session
 
-    spark = build_session(master="local[8]", shuffle_partitions=8)
+    spark = build_session(master="local[8]", shuffle_partitions=8, driver_memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

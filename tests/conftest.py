@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("caselight-tests", "local[8]", shuffle_partitions=4)
+    session = build_session("caselight-tests", "local[8]", shuffle_partitions=4, driver_memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
