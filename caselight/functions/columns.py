@@ -41,9 +41,16 @@ def hour_start(stamp: Column) -> Column:
     )
 
 
-def next_hour(stamp: Column) -> Column:
-    """First full hour strictly after the stamp: 10:00:00 counts from 11:00."""
-    return hour_start(stamp) + F.expr("INTERVAL '1' HOUR")
+def hour_number(stamp: Column) -> Column:
+    """Hours since the epoch: a cheap grouping key for hours, with no interval arithmetic."""
+    return F.unix_date(F.to_date(stamp)) * 24 + F.hour(stamp)
+
+
+def hour_of_number(number: Column) -> Column:
+    """The stamp of an hour number; meant for grouped rows."""
+    hour = F.pmod(number, F.lit(24))
+    day = F.date_from_unix_date(((number - hour) / 24).cast("int"))
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, F.lit(0), F.lit(0))
 
 
 def day_text(stamp: Column) -> Column:

@@ -7,6 +7,7 @@ grouping sets over the fact table would do.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,23 +102,23 @@ def _missed_limit() -> Column:
     return half_even(F.col("cases") * fv.MISSED_SHARE).cast("bigint")
 
 
-def kpi_compliance(cases: DataFrame, by: list[str] = [], total: bool = True) -> DataFrame:
+def kpi_compliance(cases: DataFrame, by: Sequence[str] = (), total: bool = True) -> DataFrame:
     """ICS: met over closed, included rows only."""
     sums = _sums(included(cases), list(by), total, _compliance_sums(included_only=True))
     return sums.select(*by, _ics().alias("ics"))
 
 
-def kpi_speed(cases: DataFrame, by: list[str] = [], total: bool = True) -> DataFrame:
+def kpi_speed(cases: DataFrame, by: Sequence[str] = (), total: bool = True) -> DataFrame:
     """IVS: minutes used over minutes allowed, all rows."""
     return _sums(cases, list(by), total, _speed_sums()).select(*by, _ivs().alias("ivs"))
 
 
-def kpi_effectiveness(cases: DataFrame, by: list[str] = [], total: bool = True) -> DataFrame:
+def kpi_effectiveness(cases: DataFrame, by: Sequence[str] = (), total: bool = True) -> DataFrame:
     """IES: closed or solved over what had to be closed in the month."""
     return _sums(cases, list(by), total, _effectiveness_sums()).select(*by, _ies().alias("ies"))
 
 
-def kpi_missed(cases: DataFrame, by: list[str] = [], total: bool = True) -> DataFrame:
+def kpi_missed(cases: DataFrame, by: Sequence[str] = (), total: bool = True) -> DataFrame:
     """Missed cases, their share in percent and the limit (5 % of all cases)."""
     return (
         _sums(cases, list(by), total, _missed_sums())

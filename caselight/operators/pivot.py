@@ -89,20 +89,26 @@ def frequent_ci(
     cases: DataFrame, pct: float = fv.FREQUENT_SHARE, labels: fv.Labels = fv.ENGLISH
 ) -> DataFrame:
     """Combinations of incidents that occur more often than a share of all incidents."""
-    incidents = scope(cases, case_type="INCIDENT")
-    keys = ["area", "grp", "ci", "service", "day"]
+    keys = ["area", "grp", "ci", "service"]
     counts = (
-        incidents.select("area", "grp", "ci", "service", day_text(F.col("registered_at")).alias("day"))
-        .groupBy(*keys)
+        scope(cases, case_type="INCIDENT")
+        .groupBy(*keys, F.to_date("registered_at").alias("_on"))
         .agg(F.count(F.lit(1)).alias("total"))
     )
     # The subquery sums the same grouped counts, so it shares their shuffle.
     floor = counts.agg(half_even(F.sum("total") * F.lit(pct)).alias("floor")).scalar()
     return (
         counts.filter(F.col("total") > floor)
-        .orderBy(F.desc("total"), *keys)
-        .withColumn("ci", blank_to(F.col("ci"), labels.no_ci))
-        .withColumn("grp", blank_to(F.col("grp"), labels.no_group))
+        .withColumn("day", day_text(F.col("_on")))
+        .orderBy(F.desc("total"), *keys, "day")
+        .select(
+            "area",
+            blank_to(F.col("grp"), labels.no_group).alias("grp"),
+            blank_to(F.col("ci"), labels.no_ci).alias("ci"),
+            "service",
+            "day",
+            "total",
+        )
     )
 
 

@@ -6,13 +6,20 @@ work on those rows, whose number is bounded by the calendar and not by the data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselight.functions import fixed_values as fv
-from caselight.functions.columns import hour_start, is_weekday, month_start, next_hour, ratio
+from caselight.functions.columns import (
+    hour_number,
+    hour_of_number,
+    is_weekday,
+    month_start,
+    ratio,
+)
 from caselight.operators.lists import first_per_case
 from caselight.operators.prepare import by_area, included, scope, solved_cases
 
@@ -21,7 +28,7 @@ def hourly_arrivals(
     cases: DataFrame,
     area: str | None = None,
     case_type: str | None = None,
-    order: list[str] = ["registered_at"],
+    order: Sequence[str] = ("registered_at",),
 ) -> DataFrame:
     """Cases registered per hour, each case id once; NULL where a type has none.
 
@@ -31,16 +38,19 @@ def hourly_arrivals(
     first = first_per_case(kept.select("case_id", "case_type", *_unique(order)), order)
     names = {"INCIDENT": "incidents", "REQUEST": "requests"}
     wanted = [case_type] if case_type else list(names)
-    series = first.groupBy(hour_start(F.col("registered_at")).alias("hour")).agg(
+    counts = first.groupBy(hour_number(F.col("registered_at")).alias("_n")).agg(
         *[F.sum(F.when(F.col("case_type") == t, 1)).alias(names[t]) for t in wanted]
     )
+    series = counts.select(
+        hour_of_number(F.col("_n")).alias("hour"), *[names[t] for t in wanted]
+    )
     if case_type:
         return series
     total = F.coalesce("incidents", F.lit(0)) + F.coalesce("requests", F.lit(0))
     return series.withColumn("total", total)
 
 
-def _unique(order: list[str]) -> list[str]:
+def _unique(order: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(["registered_at", *order]))
 
 
@@ -91,7 +101,8 @@ def backlog_trend(
     hours = _hours(spark, as_of)
     business = _is_business(F.col("t"), holidays)
     last = hours.filter(business).agg(F.max("t")).scalar()
-    start, end = hours.agg(F.min("t")).scalar(), hours.agg(F.max("t")).scalar()
+    end = hours.agg(F.max("t")).scalar()
+    start = hours.agg(F.min(hour_number(F.col("t")))).scalar()
 
     kinds = {"registered": "registered_at", "solved": "solved_at", "due": "due_at"}
     events = (
@@ -108,13 +119,15 @@ def backlog_trend(
         )
         .filter(F.col("at") < end)
     )
-    counted = events.groupBy(F.greatest(next_hour(F.col("at")), start).alias("t")).agg(
+    # The first full hour after the event, or the first of the grid.
+    counts_from = F.greatest(hour_number(F.col("at")) + 1, start)
+    counted = events.groupBy(counts_from.alias("n")).agg(
         *[F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds]
     )
     so_far = (
         Window.partitionBy("as_of").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     )
-    running = hours.join(counted, "t", "left").select(
+    running = hours.withColumn("n", hour_number(F.col("t"))).join(counted, "n", "left").select(
         "t",
         *[F.sum(F.coalesce(F.col(k), F.lit(0))).over(so_far).alias(k) for k in kinds],
     )
@@ -180,7 +193,7 @@ def running_compliance(
 
 
 def rolling_mean(
-    df: DataFrame, ts: str, cols: list[str], n: int, partition_by: list[str] = []
+    df: DataFrame, ts: str, cols: Sequence[str], n: int, partition_by: Sequence[str] = ()
 ) -> DataFrame:
     """Mean over the last n points, NULL points left out; n = 1 changes nothing.
 

@@ -85,7 +85,7 @@ def read_client_pending(spark: SparkSession, path: str, **options: str) -> DataF
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Stored snapshot written by ``refresh_snapshot``."""
-    return spark.read.schema(schema.CASES).parquet(path)
+    return spark.read.schema(schema.CASES).parquet(path).select(*schema.CASE_COLUMNS)
 
 
 def snapshot_freshness(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,15 +11,20 @@ from pyspark.sql import types as T
 from caselight.sources.readers import CSV_OPTIONS, read_cases
 
 
-def refresh_snapshot(spark: SparkSession, src: str, dst: str, **options: str) -> None:
+def refresh_snapshot(
+    spark: SparkSession, src: str, dst: str, partition_by: Sequence[str] = (), **options: str
+) -> None:
     """Replace the stored snapshot by a delivered extract.
 
     Rows are clustered by area inside each file, so that an area filter skips row
-    groups; no shuffle is needed for it.
+    groups; no shuffle is needed for it. ``partition_by`` puts values into folders.
     """
-    read_cases(spark, src, **options).sortWithinPartitions("area", "registered_at").write.mode(
-        "overwrite"
-    ).parquet(dst)
+    writer = (
+        read_cases(spark, src, **options)
+        .sortWithinPartitions(*partition_by, "area", "registered_at")
+        .write.mode("overwrite")
+    )
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(dst)
 
 
 def write_semicolon_csv(df: DataFrame, path: str) -> None:

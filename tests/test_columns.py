@@ -53,10 +53,11 @@ def test_stamps(spark):
         datetime(2016, 6, 6, 10),
         None,
     ]
-    assert values(spark, k.next_hour(F.col("c")), stamps, "timestamp_ntz") == [
-        datetime(2016, 6, 4, 10),
-        datetime(2016, 6, 6, 11),
-        None,
+    old = [datetime(1969, 12, 31, 23, 59), datetime(1970, 1, 1), datetime(1970, 1, 2, 1, 30)]
+    number = k.hour_number(F.col("c"))
+    assert values(spark, number, [*old, None], "timestamp_ntz") == [-1, 0, 25, None]
+    assert values(spark, k.hour_of_number(number), [*old, *stamps], "timestamp_ntz") == [
+        t and t.replace(minute=0, second=0) for t in [*old, *stamps]
     ]
     assert values(spark, k.is_weekday(F.col("c")), stamps, "timestamp_ntz") == [False, True, None]
     assert values(spark, k.day_text(F.col("c")), stamps, "timestamp_ntz")[0] == "04-06-2016"

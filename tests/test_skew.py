@@ -1,0 +1,86 @@
+"""Results and plans when nothing may be broadcast and one key is very frequent."""
+
+from contextlib import contextmanager
+
+import pytest
+from compare import connect, mismatch
+from conftest import SMALL
+
+from caselight.operators import detail, flows, lists, prepare
+
+
+@contextmanager
+def settings(spark, **values):
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "kpi_scorecard", "capacity_outlook", "detail_group", "frequent_ci", "pseudonymise",
+        "backlog_trend", "running_compliance", "flow_requests", "dedup_cases",
+    ],
+)
+def test_equal_without_broadcast(spark, name):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        assert mismatch(spark, connect(SMALL), SMALL, name) is None
+
+
+@pytest.fixture(scope="module")
+def hot_cases(spark):
+    """Cases of which a third share specialist, area, category and case id."""
+    return spark.range(60_000).repartition(8).selectExpr(
+        "if(id % 3 = 0, 7, id + 100) AS case_id",
+        "if(id % 3 = 0, 'HOT', concat('s', id % 5000)) AS specialist",
+        "if(id % 3 = 0, 'A', concat('a', id % 4)) AS area",
+        "concat('g', id % 2) AS grp",
+        "if(id % 3 = 0, 'x.y', concat('x.', id % 400)) AS category_path",
+        "'INCIDENT' AS case_type",
+        "'EXCLUDED' AS inclusion",
+        "cast(id % 2 AS int) AS met_sla",
+        "cast(1 - id % 2 AS int) AS missed",
+        "0 AS closed_in_period",
+        """cast(timestamp_seconds(1464739200 + id) AS timestamp_ntz) AS registered_at""",
+        "rpad('', 40, sha2(cast(id AS string), 256)) AS note",
+    )
+
+
+def test_a_frequent_name_is_split_in_the_join(spark, hot_cases):
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="100k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="100k",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__shuffle__partitions="16",
+    ):
+        named = prepare.pseudonymise(hot_cases)
+        rows = named.groupBy("specialist").count().collect()
+        named.write.format("noop").mode("overwrite").save()
+        named.collect()
+        plan = named._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin(skew=true)" in plan
+    assert sum(r["count"] for r in rows) == 60_000
+    assert max(r["count"] for r in rows) == 20_000
+    assert len(rows) == hot_cases.select("specialist").distinct().count()
+
+
+def test_frequent_keys_keep_whole_results(hot_cases):
+    table = detail.indicator_detail(hot_cases, "specialist_category")
+    assert table.groupBy().sum("cases").first()[0] == 60_000
+    edges = flows.category_flow(hot_cases, "INCIDENT", tag_level_2=False)
+    steps = {(r.source, r.target): r.value for r in edges.collect()}
+    assert steps["x", "y"] == 20_000
+    assert sum(v for (a, _), v in steps.items() if a in ("A", "a0", "a1", "a2", "a3")) == 60_000
+    top = lists.top_specialists(hot_cases, 1).first()
+    assert (top.specialist, top.missed) == ("HOT", 10_000)

@@ -92,6 +92,17 @@ def test_refresh_and_freshness(spark, extract, tmp_path):
     assert readers.snapshot_freshness(again).first().modified_at >= first
 
 
+def test_partitioned_snapshot(spark, extract, tmp_path):
+    target = str(tmp_path / "snapshot")
+    writers.refresh_snapshot(spark, extract, target, partition_by=["case_type"])
+    stored = readers.read_snapshot(spark, target)
+    assert stored.columns == list(schema.CASE_COLUMNS)
+    part = stored.filter("case_type = 'REQUEST'")
+    assert [r.case_id for r in part.collect()] == [2]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(case_type" in plan
+
+
 def test_semicolon_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         [("á", 1.5, 2, None), ("", None, 3, "x;y")], "a string, b double, c int, d string"
