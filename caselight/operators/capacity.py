@@ -61,16 +61,32 @@ def _over_all_areas(sum_of: str) -> Column:
     return F.coalesce(F.sum(sum_of).over(Window.partitionBy()), F.lit(0))
 
 
-def attach_capacity(per_area: DataFrame, capacity: DataFrame, as_of: date) -> DataFrame:
+def _month_capacity(capacity: DataFrame, as_of: date) -> DataFrame:
+    """Capacity of the day and of day 1 in one row per area.
+
+    The table has one row per area and day; of repeated ones the largest counts.
+    """
+
+    def on(day: int) -> Column:
+        return F.max(F.when(F.col("day") == day, F.col("p0")))
+
+    return (
+        capacity.groupBy("area")
+        .agg(on(as_of.day).alias("p0"), on(1).alias("cap_total"))
+        .withColumn("_listed", F.lit(True))
+    )
+
+
+def attach_capacity(
+    per_area: DataFrame, capacity: DataFrame, as_of: date, how: str = "left"
+) -> DataFrame:
     """Capacity of the day and of day 1, chance to finish, spare capacity and quota.
 
     ``_counted`` marks the areas that have open cases, solved cases and both capacities;
     only those enter the outlook. ``_idle`` tells that no area has an open case: then
-    every area shows the same constants.
+    every area shows the same constants. ``how="full"`` keeps areas without cases.
     """
-    today = capacity.filter(F.col("day") == as_of.day).select("area", "p0")
-    first = capacity.filter(F.col("day") == 1).select("area", F.col("p0").alias("cap_total"))
-    joined = per_area.join(today, "area", "left").join(first, "area", "left")
+    joined = per_area.join(_month_capacity(capacity, as_of), "area", how)
     p0, due = F.col("p0"), F.col("due")
     uncapped = 100 * ratio(p0, due)
     chance = F.when(((due == 0) & (p0 > 0)) | (uncapped > 100), F.lit(100.0)).otherwise(uncapped)
@@ -126,9 +142,7 @@ def capacity_outlook(
     If no case is open at all, every area of the capacity table and the total get the
     same constant row.
     """
-    areas = capacity.select("area").distinct().withColumn("_listed", F.lit(True))
-    per_area = backlog_by_area(cases).join(areas, "area", "full")
-    measured = attach_capacity(per_area, capacity, as_of)
+    measured = attach_capacity(backlog_by_area(cases), capacity, as_of, how="full")
     shown = measured.filter(~F.col("_idle") | F.col("_listed"))
     rows = with_total_row(shown, [], total_label)
     return rows.filter(F.col("_counted") | F.col("_idle")).select(*OUTLOOK_COLUMNS)

@@ -20,6 +20,8 @@ def test_shares_add_up(small_cases, level):
     missed = [r.missed for r in table.collect()]
     assert missed == sorted(missed, reverse=True)
     assert not detail.LEVELS[level].missed_only or min(missed) > 0
+    plain = detail.indicator_detail(small_cases, level, ordered=False)
+    assert "Sort [missed" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
 def test_area_filter_keeps_the_overall_share(small_cases):
