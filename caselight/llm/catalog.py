@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import packing
+from caselight.llm import bpe, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokens_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), path)
+
+
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     packed = packing.pack_documents(_read(spark, sf_dir, "documents"), path, keep_ids=False)
@@ -25,6 +30,7 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op7_bpe": tokens_round_trip,
     "op8_packing": packed_sequences,
 }
 
