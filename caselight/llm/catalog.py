@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, packing
+from caselight.llm import bpe, fingerprints, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def edited_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(_read(spark, sf_dir, "documents"))
+
+
 def tokens_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.round_trip(_read(spark, sf_dir, "documents"), path)
@@ -30,6 +34,7 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_fingerprints": edited_fingerprints,
     "op7_bpe": tokens_round_trip,
     "op8_packing": packed_sequences,
 }
