@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, fingerprints, packing
+from caselight.llm import bpe, fingerprints, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,10 +33,15 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_fingerprints": edited_fingerprints,
     "op7_bpe": tokens_round_trip,
     "op8_packing": packed_sequences,
+    "op10_pii": personal_data,
 }
 
 #: DuckDB SQL where it can express the operator.
