@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, fingerprints, packing, pii
+from caselight.llm import bpe, fingerprints, licenses, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,12 +33,17 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_read(spark, sf_dir, "documents"))
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op3_fingerprints": edited_fingerprints,
+    "op5_licenses": license_notices,
     "op7_bpe": tokens_round_trip,
     "op8_packing": packed_sequences,
     "op10_pii": personal_data,
