@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, fingerprints, licenses, packing, pii, toxicity
+from caselight.llm import bpe, fingerprints, licenses, neighbours, packing, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(_read(spark, sf_dir, "documents"))
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_read(spark, sf_dir, "embeddings"), each=20)
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op5_licenses": license_notices,
     "op7_bpe": tokens_round_trip,
     "op8_packing": packed_sequences,
+    "op9_neighbours": nearest_vectors,
     "op10_pii": personal_data,
 }
 
