@@ -202,15 +202,16 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", column: str = "em
     )
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: DataFrame, nearest: int = NEAREST,
+def search_index(index: DataFrame, queries: DataFrame, nearest: int = NEAREST,
                  beam: int = SEARCH_BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of each query (vec_id, vector) searched in every shard."""
     blocks = max(1, -(-queries.count() // query_block))
     asked = queries.select(
-        F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), F.size("vector").alias("size"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"),
+        F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), F.size("vector").alias("length"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("part"),
     )
-    asked = asked.join(shards, "size")
+    shards = index.select((F.col("shard") + 0).alias("of"), (F.col("size") + 0).alias("length")).distinct()
+    asked = asked.join(shards, "length")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def look(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -240,9 +241,8 @@ def search_index(index: DataFrame, queries: DataFrame, shards: DataFrame, neares
                 found += sorted(mine, key=lambda m: (-m[2], m[1]))[:nearest]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]) if found else empty
 
-    keys = ("shard", "size", "block")
     parts = (
-        held.groupBy(*keys).cogroup(asked.groupBy(*keys))
+        held.groupBy("shard", "size", "block").cogroup(asked.groupBy("of", "length", "part"))
         .applyInPandas(look, "query_id long, vec_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -255,5 +255,4 @@ def nearest_neighbours(vectors: DataFrame, each: int, id_column: str = "vec_id",
     """The nearest of every row whose id is divisible by ``each``, among all other rows."""
     index = checkpointed(build_index(vectors, id_column, column, nearest))
     queries = _taking_part(vectors, id_column, column).filter(F.col("vec_id") % each == 0)
-    shards = index.select("shard", "size").distinct()
-    return search_index(index, queries, shards, nearest, beam)
+    return search_index(index, queries, nearest, beam)
