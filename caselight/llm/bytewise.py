@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,17 @@ class PrefixHash:
     """
 
     def __init__(self, seed: int) -> None:
+        self.seed = seed
         self.letters = scramble(np.arange(256, dtype=np.uint64), seed)
         self.base = int(scramble(np.array([seed], np.uint64), 77)[0]) | 1
         self.inverse_base = pow(self.base, -1, 1 << 64)
         self.powers = np.ones(1, np.uint64)
         self.inverses = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        # A task gets the one instance of its process, not a copy of the tables.
+        return prefix_hash, (self.seed,)
+
     def _grow(self, n: int) -> None:
         if len(self.powers) > n:
             return
@@ -61,6 +67,11 @@ class PrefixHash:
         return scramble(raw ^ (end - start).astype(np.uint64) * np.uint64(_ODD))
 
 
+@functools.cache
+def prefix_hash(seed: int) -> PrefixHash:
+    return PrefixHash(seed)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow string column as one byte array, and their bounds; null is empty."""
     filled = pc.fill_null(column, "")

@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, fingerprints, licenses, neighbours, packing, pii, toxicity
+from caselight.llm import bpe, fingerprints, licenses, lines, neighbours, packing, pii, toxicity
+from caselight.llm.shared import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +40,10 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_read(spark, sf_dir, "documents"))
+
+
 def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(_read(spark, sf_dir, "documents"))
 
@@ -53,6 +59,7 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_toxicity": toxicity_scores,
     "op3_fingerprints": edited_fingerprints,
+    "op4_lines": repeated_lines,
     "op5_licenses": license_notices,
     "op7_bpe": tokens_round_trip,
     "op8_packing": packed_sequences,

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselight.llm.bytewise import PrefixHash, owners, runs, scramble, text_slices
+from caselight.llm.bytewise import owners, prefix_hash, runs, scramble, text_slices
 
 #: 16-bit numbers of the two parts.
 DIGEST_LANES, PAIR_LANES = 64, 192
 ROWS_AT_ONCE = 256
-_HASH = PrefixHash(3)
+_HASH = prefix_hash(3)
 
 
 def _digest_part(texts: list[bytes]) -> np.ndarray:

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.bytewise import PrefixHash, lower_ascii, owners, runs, text_slices
+from caselight.llm.bytewise import lower_ascii, owners, prefix_hash, runs, text_slices
 
-_HASH = PrefixHash(5)
+_HASH = prefix_hash(5)
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 

@@ -1,10 +1,24 @@
-"""The folder that all executors share, for results that several jobs read."""
+"""What a session's executors share: this package, and the folder for intermediate results."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, too.
+
+    On a cluster the package is installed or sent with --py-files; a local session may have been
+    started from any folder.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.bytewise import PrefixHash, lower_ascii, owners, runs, scramble, text_slices
+from caselight.llm.bytewise import lower_ascii, owners, prefix_hash, runs, scramble, text_slices
 
 SAMPLE = 8192
 FEATURES = 512
@@ -53,7 +53,7 @@ IDENTITY_TERMS = (
     ("cristianos", "judíos", "musulmanes", "hindúes"),
 )
 
-_HASH = PrefixHash(2)
+_HASH = prefix_hash(2)
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _TERM = {t: row for row in IDENTITY_TERMS for t in row}
