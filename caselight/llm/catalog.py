@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, fingerprints, licenses, lines, neighbours, packing, pii, toxicity
+from caselight.llm import bpe, fingerprints, jaccard, licenses, lines, neighbours, packing, pii, toxicity
 from caselight.llm.shared import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def edited_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_read(spark, sf_dir, "documents"))
 
 
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_read(spark, sf_dir, "documents"))
+
+
 def tokens_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.round_trip(_read(spark, sf_dir, "documents"), path)
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_fingerprints": edited_fingerprints,
     "op4_lines": repeated_lines,
     "op5_licenses": license_notices,
+    "op6_jaccard": similar_documents,
     "op7_bpe": tokens_round_trip,
     "op8_packing": packed_sequences,
     "op9_neighbours": nearest_vectors,
