@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, fingerprints, jaccard, licenses, lines, neighbours, packing, pii, toxicity
+from caselight.llm import bpe, fingerprints, jaccard, licenses, lines, neighbours, packing, pii, substrings, toxicity
 from caselight.llm.shared import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_read(spark, sf_dir, "documents"))
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.report(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
@@ -61,6 +65,7 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substrings": repeated_substrings,
     "op2_toxicity": toxicity_scores,
     "op3_fingerprints": edited_fingerprints,
     "op4_lines": repeated_lines,
