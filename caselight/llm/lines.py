@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.llm.bytewise import prefix_hash, scramble, text_slices
+from caselight.llm.shared import identified
 
 EDITS = 2
 LEAST_BYTES = 24
@@ -76,24 +77,6 @@ def _keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int):
     return np.concatenate(lines), np.concatenate(keys)
 
 
-_NO_ID = (1 << 63) - 1
-
-
-def _identified(docs: DataFrame) -> DataFrame:
-    """d, tie, text and the other columns as x0, x1 and so on.
-
-    d and tie tell documents apart and order them; tie is odd where the id is missing.
-    """
-    text, missing = F.col("text").cast("string"), F.col("doc_id").isNull().cast("long")
-    others = [n for n in docs.columns if n not in ("doc_id", "text")]
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"),
-        F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(missing).alias("tie"),
-        text.alias("text"),
-        *[F.col(f"`{n}`").alias(f"x{i}") for i, n in enumerate(others)],
-    )
-
-
 def _each_slice(batches, least: int):
     for batch in batches:
         for first, last, data, bounds in text_slices(batch.column(2)):
@@ -115,12 +98,12 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
                     batch.column(1).take(take),
                     pa.array(number, pa.int32()),
                     pa.array(_HASH.spans(_HASH.sums(data), start, end).view(np.int64)),
-                    pa.array(_OTHER.spans(_OTHER.sums(data), start, end).view(np.int64)),
+                    pa.array((_OTHER.spans(_OTHER.sums(data), start, end) >> np.uint64(33)).astype(np.int32)),
                 ],
                 ["d", "tie", "number", "h1", "h2"],
             )
 
-    return docs.mapInArrow(run, "d long, tie long, number int, h1 long, h2 long")
+    return docs.mapInArrow(run, "d long, tie long, number int, h1 long, h2 int")
 
 
 def _meetings(docs: DataFrame, least: int, edits: int) -> DataFrame:
@@ -132,6 +115,7 @@ def _meetings(docs: DataFrame, least: int, edits: int) -> DataFrame:
             names = _HASH.spans(sums, start, end)
             names, once = np.unique(names, return_index=True)
             line, key = _keys(sums, start[once], end[once], edits)
+            key >>= np.uint64(16)  # keys only say which lines to compare; 48 bits tell enough of them apart
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(names[line].view(np.int64))], ["key", "h1"]
             )
@@ -242,7 +226,7 @@ def _repeated(rows: DataFrame, edits: int, least_bytes: int) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """The given columns, ``text`` without its repeated lines, and n_lines and n_dropped."""
-    rows = _identified(docs)
+    rows = identified(docs)
     both = rows.join(_repeated(rows, edits, least_bytes), ["d", "tie"], "left")
     line = F.split("text", "\n", -1)
     kept = F.filter(line, lambda _, i: ~F.array_contains("dropped", i))

@@ -7,6 +7,9 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_NO_ID = (1 << 63) - 1
 
 
 def let_workers_import(spark: SparkSession) -> None:
@@ -36,3 +39,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """d, tie, text and the other columns as x0, x1 and so on.
+
+    d and tie tell documents apart and order them: by id, those without id last, rows with equal
+    ids by a hash of their text. tie is odd where the id is missing, and 0 or 1 where ids are unique.
+    """
+    others = [n for n in docs.columns if n not in ("doc_id", "text")]
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d")
+    tie = F.col("doc_id").isNull().cast("long")
+    if not docs.groupBy(d).count().filter("count > 1").isEmpty():
+        tie = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(-2)).bitwiseOR(tie)
+    rest = [F.col(f"`{n}`").alias(f"x{i}") for i, n in enumerate(others)]
+    return docs.select(d, tie.alias("tie"), F.col("text").cast("string").alias("text"), *rest)

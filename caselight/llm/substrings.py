@@ -32,14 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.llm.bytewise import owners, prefix_hash, scramble, text_slices
-from caselight.llm.shared import checkpointed
+from caselight.llm.shared import checkpointed, identified
 
 LENGTH = 100
 #: Bytes that the rolling hash sees.
 TRIGGER = 24
 #: Suffixes sorted at once inside a task.
 SUFFIXES = 200_000
-_NO_ID = (1 << 63) - 1
 _HASH = prefix_hash(11)
 
 
@@ -201,18 +200,6 @@ def _compare(length: int):
     return run
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """d, tie and text. tie is odd without id, and a hash of the text where ids are not unique."""
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"),
-        F.col("doc_id").isNull().cast("long").alias("tie"),
-        F.col("text").cast("string").alias("text"),
-    )
-    if rows.groupBy("d").count().filter("count > 1").isEmpty():
-        return rows
-    return rows.withColumn("tie", F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("tie")))
-
-
 def _repeats(rows: DataFrame, length: int) -> DataFrame:
     """d, tie, first, count: runs of stretches that occurred before."""
     parsed = rows.mapInArrow(
@@ -271,7 +258,7 @@ def _cut(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed spans, and ``kept``, the bytes left."""
-    rows = _identified(docs)
+    rows = identified(docs.select("doc_id", "text"))
     gone = _repeats(rows, length).groupBy("d", "tie").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     return (
         rows.join(gone, ["d", "tie"], "left")
