@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from caselight.llm.bytewise import lower_ascii, owners, prefix_hash, runs, scramble, text_slices
-from caselight.llm.shared import checkpointed
+from caselight.llm.shared import checkpointed, identified
 
 WORDS = 3
 #: Similarity in hundredths.
@@ -80,18 +80,18 @@ def _nodes(row: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarray, np
 
 
 def _named_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, size of each document; no node for an empty set."""
+    """d, tie, node, size of each document; no node for an empty set."""
 
     def run(batches):
         for batch in batches:
-            for first, last, data, bounds in text_slices(batch.column(1)):
+            for first, last, data, bounds in text_slices(batch.column(2)):
                 node, size = _nodes(*_sets(data, bounds, words), last - first)
+                own = [batch.column(i).slice(first, last - first) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(node, mask=size == 0), pa.array(size, pa.int64())],
-                    ["doc_id", "node", "size"],
+                    [*own, pa.array(node, mask=size == 0), pa.array(size, pa.int64())], ["d", "tie", "node", "size"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long")
+    return docs.mapInArrow(run, "d long, tie long, node long, size long")
 
 
 def _counts(docs: DataFrame, words: int) -> np.ndarray:
@@ -100,7 +100,7 @@ def _counts(docs: DataFrame, words: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(PLACES, np.int64)
         for batch in batches:
-            for _, _, data, bounds in text_slices(batch.column(1)):
+            for _, _, data, bounds in text_slices(batch.column(2)):
                 _, gram = _ngrams(data, bounds, words)
                 total += np.bincount((gram % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
         yield pa.RecordBatch.from_arrays(
@@ -126,7 +126,7 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
     def run(batches):
         often = table.value
         for batch in batches:
-            for first, last, data, bounds in text_slices(batch.column(1)):
+            for first, last, data, bounds in text_slices(batch.column(2)):
                 row, gram = _sets(data, bounds, words)
                 node, size = _nodes(row, gram, last - first)
                 _, once = np.unique(node, return_index=True)
@@ -302,9 +302,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id of the document's group."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
+    """d, tie, node, size and part of each row of (d, tie, text); neither node nor part for an empty set."""
     sets = checkpointed(_named_sets(rows, words))
     entries = _prefixes(rows, words, least, _counts(rows, words))
     one_gram = Window.partitionBy("gram")
@@ -318,10 +317,10 @@ def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame
 
     def name(batches):
         for batch in batches:
-            for first, last, data, bounds in text_slices(batch.column(1)):
+            for first, last, data, bounds in text_slices(batch.column(2)):
                 node, size = _nodes(*_sets(data, bounds, words), last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node, mask=size == 0), batch.column(1).slice(first, last - first)], ["node", "text"]
+                    [pa.array(node, mask=size == 0), batch.column(2).slice(first, last - first)], ["node", "text"]
                 )
 
     texts = rows.mapInArrow(name, "node long, text string").join(wanted, "node", "left_semi")
@@ -344,10 +343,36 @@ def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame
     second = _compared(rest, texts, words, least)
     parts = components(first.union(second))
 
-    named = sets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    return sets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+
+def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id of the document's group."""
+    named = _grouped(identified(docs.select("doc_id", "text")), words, least)
+    named = named.withColumn("doc_id", F.when(F.col("tie").bitwiseAND(F.lit(1)) == 0, F.col("d")))
     smallest = named.filter("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, "part", "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
     )
+
+
+def one_of_each_group(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """The given columns of the first document, by id, of each group; those without n-grams all stay.
+
+    Rows equal in id and text count as one document.
+    """
+    rows = identified(docs)
+    named = _grouped(rows.select("d", "tie", "text"), words, least)
+    first = named.filter("part IS NOT NULL").groupBy("part").agg(F.min(F.struct("d", "tie")).alias("first")).select("first.*")
+    stay = first.union(named.filter("part IS NULL").select("d", "tie")).distinct()
+    kept = rows.join(stay, ["d", "tie"]).dropDuplicates(["d", "tie"])
+    doc_id = F.when(F.col("tie").bitwiseAND(F.lit(1)) == 0, F.col("d"))
+    others = iter(range(len(docs.columns)))
+    return kept.select(
+        *[
+            doc_id.alias(n) if n == "doc_id" else F.col("text") if n == "text" else F.col(f"x{next(others)}").alias(n)
+            for n in docs.columns
+        ]
+    )

@@ -1,10 +1,69 @@
-"""The corpus pipeline: documents through five stages, each written and read again."""
+"""The corpus pipeline: documents pass five stages, each written as Parquet and read again.
+
+toxicity    documents scored as toxic go; learnt from the labels beside the documents
+line dedup  lines that repeat an earlier one, exactly or by a small edit, are cut out
+near dedup  of each group of documents with nearly equal word n-grams one stays
+pii         personal data and secrets in the texts are replaced by their kind
+packing     token pieces of the documents are laid out in training sequences
+
+Each stage takes all that the one before kept and returns the columns of documents, but for the last,
+which returns one row per piece. ``n_chars`` follows the text. A document whose lines all repeat
+stays, with an empty text.
+"""
 
 from __future__ import annotations
 
-STAGES = ()
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caselight.llm import jaccard, lines, packing, pii, toxicity
+from caselight.llm.shared import let_workers_import
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    length = F.length("text").cast("long")
+    return docs.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return _measured(lines.drop_repeated_lines(docs), docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return jaccard.one_of_each_group(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(pii.mask(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+STAGES = (
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", keep_one_of_each_group),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+)
+#: SQL expresses neither the classifier nor the tokenizer; the stages are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
