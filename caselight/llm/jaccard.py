@@ -175,7 +175,7 @@ def _blocks(n: int):
     """Pairs (later, earlier) of positions below n, a bounded number at a time."""
     at = 1
     while at < n:
-        rows = max(1, min(n - at, PAIRS // max(at, 1)))
+        rows = min(n - at, max(1, PAIRS // (at + 1000)))
         a = np.repeat(np.arange(at, at + rows), np.arange(at, at + rows))
         b = np.concatenate([np.arange(i) for i in range(at, at + rows)])
         yield a, b
@@ -333,7 +333,7 @@ def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
     placed = candidates.drop("partner").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     split = placed.withColumn("meets", F.min("part").over(one_gram) != F.max("part").over(one_gram)).filter("meets")
     rest = (
-        split.drop("meets")
+        split.select("gram", "node", "size", "place", "classes", "part")
         .repartition("gram")
         .sortWithinPartitions("gram", "size", "node")
         .mapInArrow(_across(least), "x long, y long")

@@ -154,11 +154,12 @@ def _found(pieces: Column, kind: Kind, rank: int, least: float) -> Column:
 def find_spans(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The given columns and ``pii_spans``: (start, rank, end, kind, score), by start and kind.
 
-    Positions are code points, the end is exclusive. ``pii_base`` holds the base kinds alone.
+    Positions are code points, the end is exclusive. ``pii_base`` holds the base kinds alone. Given
+    columns of these two names are replaced.
     """
     kinds = [*BASE, *MORE]
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARK, _STAND_IN)
-    kept = [F.col(f"`{c}`") for c in docs.columns]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("pii_base", "pii_spans")]
     cut = docs.select(*kept, text.alias("__text")).select(
         *kept, *[_pieces(F.col("__text"), k).alias(f"__{k.name}") for k in kinds]
     )
@@ -211,5 +212,7 @@ def mask(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
         "pii_spans", begin, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1))
     )
     masked = F.when(text.isNull() | (F.size("pii_spans") == 0), text).otherwise(whole)
-    found = find_spans(docs, least_score)
-    return found.select(*[masked.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    # The other columns go by names of their own meanwhile.
+    names = {c: c if c == "text" else f"x{i}" for i, c in enumerate(docs.columns)}
+    found = find_spans(docs.toDF(*names.values()), least_score)
+    return found.select(*[(masked if c == "text" else F.col(x)).alias(c) for c, x in names.items()])
