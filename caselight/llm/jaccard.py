@@ -7,9 +7,9 @@ bound of the sets' difference from how their n-grams fall into a few classes) be
 are compared, once per pair.
 
 Sets that are equal are one node from the start, so copies cost nothing. Links matter only for
-the groups they form, so a large group of near copies is not compared pair by pair: first every
-node is compared with the earliest node that it can match at each n-gram, and the groups of these
-links are formed; then all remaining pairs that lie in different groups are compared. No link
+the groups they form, so a large group of near copies is not compared pair by pair: at each n-gram a
+node notes the earliest node that it can match; first it is compared with the one it notes most
+often, and the groups of these links are formed; then all remaining pairs that lie in different groups are compared. No link
 between groups is lost.
 
 The order's counts come from all documents. They are kept in a table of fixed size, in which
@@ -23,6 +23,8 @@ the group has none; an empty table gives no rows; other columns are kept by ``gr
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,9 @@ WORDS = 3
 LEAST = 90
 #: Places of the count table, each four bytes, and classes of the suffix filter.
 PLACES = 1 << 18
-CLASSES = 16
+CLASSES = 8
+#: Bits of the table that tells most texts without a candidate apart before they are shuffled.
+BITS = 1 << 26
 #: Pairs compared at once inside a task.
 PAIRS = 1 << 20
 _HASH = prefix_hash(6)
@@ -135,7 +139,7 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
                 row, gram = row[chosen[row]], gram[chosen[row]]
                 kind = (scramble(gram, 9) % np.uint64(CLASSES)).astype(np.int64)
                 classes = np.bincount(row * CLASSES + kind, minlength=(last - first) * CLASSES)
-                classes = np.minimum(classes, 65535).astype("<u2").reshape(-1, CLASSES)
+                classes = np.minimum(classes, 255).astype(np.uint8).reshape(-1, CLASSES)
                 order = np.lexsort((gram, often[(gram % np.uint64(PLACES)).astype(np.int64)], row))
                 row, gram = row[order], gram[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -143,7 +147,7 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
                 row, gram, place = row[early], gram[early], place[early]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(gram.view(np.int64)), pa.array(node[row]), pa.array(size[row], pa.int32()),
+                        pa.array((gram >> np.uint64(16)).view(np.int64)), pa.array(node[row]), pa.array(size[row], pa.int32()),
                         pa.array(place, pa.int32()), pa.array([x.tobytes() for x in classes], pa.binary()).take(pa.array(row)),
                     ],
                     ["gram", "node", "size", "place", "classes"],
@@ -152,6 +156,28 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
     return docs.mapInArrow(run, "gram long, node long, size int, place int, classes binary")
 
 
+def _bit_table(nodes: DataFrame) -> np.ndarray:
+    """One bit of a table of fixed size set for each node."""
+
+    def run(batches):
+        bits = np.zeros(BITS // 8, np.uint8)
+        for batch in batches:
+            place = (np.asarray(batch.column(0)).view(np.uint64) % np.uint64(BITS)).astype(np.int64)
+            np.bitwise_or.at(bits, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+        for i, part in enumerate(np.split(bits, 64)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(part, 1)])], ["part", "bits"])
+
+    def join(frame):
+        parts = [np.frombuffer(zlib.decompress(x), np.uint8) for x in frame["bits"]]
+        return frame.head(1).assign(bits=[np.bitwise_or.reduce(parts).tobytes()])
+
+    joined = nodes.mapInArrow(run, "part long, bits binary").groupBy("part").applyInPandas(join, "part long, bits binary")
+    table = np.zeros((64, BITS // 512), np.uint8)
+    for r in joined.collect():
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.ravel()
+
+
 class _Group:
     """Nodes that meet at one n-gram, in arrays."""
 
@@ -166,7 +192,8 @@ class _Group:
         good = (100 * smaller >= self.least * larger) & (np.minimum(size[a] - place[a], size[b] - place[b]) >= needed)
         left = np.flatnonzero(good)
         apart = np.abs(classes[a[left]] - classes[b[left]]).sum(axis=1)
-        full = (classes[a[left]] == 65535).any(axis=1) | (classes[b[left]] == 65535).any(axis=1)
+        # A class that is full says nothing.
+        full = (classes[a[left]] == 255).any(axis=1) | (classes[b[left]] == 255).any(axis=1)
         good[left] = full | (apart <= both[left] - 2 * needed[left])
         return good
 
@@ -202,7 +229,7 @@ def _by_group(batches):
 def _arrays(group: pa.Table):
     size, place = (np.asarray(group[c]).astype(np.int64) for c in ("size", "place"))
     joined = b"".join(group["classes"].to_pylist())
-    return np.asarray(group["node"]), size, place, np.frombuffer(joined, "<u2").reshape(-1, CLASSES).astype(np.int64)
+    return np.asarray(group["node"]), size, place, np.frombuffer(joined, np.uint8).reshape(-1, CLASSES).astype(np.int64)
 
 
 _ENTRY = "gram long, node long, size int, place int, classes binary"
@@ -314,21 +341,27 @@ def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
         .mapInArrow(_with_partner(least), _ENTRY + ", partner long")
     )
     wanted = candidates.select("node").distinct()
+    # Bits of fixed number keep most of the other texts from being shuffled; the join does the rest.
+    bits = rows.sparkSession.sparkContext.broadcast(_bit_table(wanted))
 
     def name(batches):
         for batch in batches:
             for first, last, data, bounds in text_slices(batch.column(2)):
                 node, size = _nodes(*_sets(data, bounds, words), last - first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node, mask=size == 0), batch.column(2).slice(first, last - first)], ["node", "text"]
-                )
+                place = (node.view(np.uint64) % np.uint64(BITS)).astype(np.int64)
+                at = pa.array(np.flatnonzero((size > 0) & (bits.value[place >> 3] >> (place & 7) & 1 > 0)))
+                yield pa.RecordBatch.from_arrays([pa.array(node).take(at), batch.column(2).slice(first, last - first).take(at)], ["node", "text"])
 
     texts = rows.mapInArrow(name, "node long, text string").join(wanted, "node", "left_semi")
     one_node = Window.partitionBy("node").orderBy("text")
     texts = checkpointed(texts.withColumn("n", F.row_number().over(one_node)).filter("n = 1").drop("n"))
 
+    # First each node with the one partner that it meets most often.
+    one_node = Window.partitionBy("node").orderBy(F.col("n").desc(), "partner")
+    met = candidates.filter("partner IS NOT NULL").groupBy("node", "partner").agg(F.count("*").alias("n"))
+    closest = met.withColumn("rank", F.row_number().over(one_node)).filter("rank = 1")
     pair = (F.least("node", "partner").alias("x"), F.greatest("node", "partner").alias("y"))
-    first = checkpointed(_compared(candidates.filter("partner IS NOT NULL").select(*pair).distinct(), texts, words, least))
+    first = checkpointed(_compared(closest.select(*pair).distinct(), texts, words, least))
     parts = components(first)
     placed = candidates.drop("partner").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     split = placed.withColumn("meets", F.min("part").over(one_gram) != F.max("part").over(one_gram)).filter("meets")
