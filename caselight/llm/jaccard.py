@@ -9,7 +9,8 @@ are compared, once per pair.
 Sets that are equal are one node from the start, so copies cost nothing. Links matter only for
 the groups they form, so a large group of near copies is not compared pair by pair: at each n-gram a
 node notes the earliest node that it can match; first it is compared with the one it notes most
-often, and the groups of these links are formed; then all remaining pairs that lie in different groups are compared. No link
+often, and the groups of these links are formed; a few rounds of one partner in another group each
+join most of them; then all remaining pairs that lie in different groups are compared. No link
 between groups is lost.
 
 The order's counts come from all documents. They are kept in a table of fixed size, in which
@@ -42,6 +43,8 @@ PLACES = 1 << 18
 CLASSES = 8
 #: Bits of the table that tells most texts without a candidate apart before they are shuffled.
 BITS = 1 << 26
+#: Rounds in which every node is compared with one partner of another group at each n-gram.
+ROUNDS = 3
 #: Pairs compared at once inside a task.
 PAIRS = 1 << 20
 _HASH = prefix_hash(6)
@@ -267,20 +270,39 @@ def _with_partner(least: int):
     return run
 
 
-def _across(least: int):
-    """Pairs of a group's rows that can match and belong to different components."""
+def _across(least: int, turn: int | None):
+    """Pairs of a group's rows that can match and belong to different components.
+
+    With a turn only one pair of each row: the first in an order that changes with the turn.
+    """
 
     def run(batches):
         check = _Group(least)
         for group in _by_group(batches):
             node, size, place, classes = _arrays(group)
             part = np.asarray(group["part"])
-            for a, b in _blocks(len(node)):
-                apart = part[a] != part[b]
-                a, b = a[apart], b[apart]
-                good = check.fits(size, place, classes, a, b)
-                if good.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[a[good]]), pa.array(node[b[good]])], ["x", "y"])
+
+            def pairs():
+                for a, b in _blocks(len(node)):
+                    apart = part[a] != part[b]
+                    a, b = a[apart], b[apart]
+                    good = check.fits(size, place, classes, a, b)
+                    yield a[good], b[good]
+
+            def order(a, b):
+                return scramble((node[a] ^ node[b]).view(np.uint64), 20 + turn)
+
+            if turn is not None:
+                best = np.full(len(node), np.uint64((1 << 64) - 1))
+                for a, b in pairs():
+                    np.minimum.at(best, a, order(a, b))
+                    np.minimum.at(best, b, order(a, b))
+            for a, b in pairs():
+                if turn is not None:
+                    first = (order(a, b) == best[a]) | (order(a, b) == best[b])
+                    a, b = a[first], b[first]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["x", "y"])
 
     return run
 
@@ -362,19 +384,23 @@ def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
     closest = met.withColumn("rank", F.row_number().over(one_node)).filter("rank = 1")
     pair = (F.least("node", "partner").alias("x"), F.greatest("node", "partner").alias("y"))
     first = checkpointed(_compared(closest.select(*pair).distinct(), texts, words, least))
-    parts = components(first)
-    placed = candidates.drop("partner").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    split = placed.withColumn("meets", F.min("part").over(one_gram) != F.max("part").over(one_gram)).filter("meets")
-    rest = (
-        split.select("gram", "node", "size", "place", "classes", "part")
-        .repartition("gram")
-        .sortWithinPartitions("gram", "size", "node")
-        .mapInArrow(_across(least), "x long, y long")
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        .distinct()
-    )
-    second = _compared(rest, texts, words, least)
-    parts = components(first.union(second))
+    links, tried = first, None
+    for turn in (*range(ROUNDS), None):
+        parts = components(links)
+        placed = candidates.drop("partner").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        split = placed.withColumn("meets", F.min("part").over(one_gram) != F.max("part").over(one_gram)).filter("meets")
+        rest = (
+            split.select("gram", "node", "size", "place", "classes", "part")
+            .repartition("gram")
+            .sortWithinPartitions("gram", "size", "node")
+            .mapInArrow(_across(least, turn), "x long, y long")
+            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            .distinct()
+        )
+        rest = checkpointed(rest if tried is None else rest.join(tried, ["x", "y"], "left_anti"))
+        tried = rest if tried is None else tried.union(rest)
+        links = checkpointed(links.union(_compared(rest, texts, words, least)))
+    parts = components(links)
 
     return sets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
 
