@@ -34,6 +34,13 @@ def parse_stamp(text: Column, pattern: str = fv.STAMP_FORMAT) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
 
+def strict_stamp(text: Column, pattern: str = fv.STAMP_FORMAT) -> Column:
+    """The same, but text that is neither blank nor a time is an error."""
+    told = F.concat(F.lit("not a time: "), text)
+    parsed = F.coalesce(parse_stamp(text, pattern), F.raise_error(told).cast("timestamp_ntz"))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", parsed)
+
+
 def hour_start(stamp: Column) -> Column:
     """Cut to the hour without leaving the zone-free type (``date_trunc`` would)."""
     return F.to_date(stamp).cast("timestamp_ntz") + F.make_dt_interval(

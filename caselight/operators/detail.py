@@ -67,6 +67,8 @@ def indicator_detail(
     if spec.missed_only:
         groups = groups.filter(F.col("missed") > 0)
     if area is not None:
+        # With an area the two sides cannot share a shuffle; the count needs no keys then.
+        overall = cases.agg(F.struct(F.sum("missed").alias("missed")).alias("sums"))
         # The total level has no area to show.
         groups = groups.filter(F.col("area") == area if "area" in spec.keys else F.lit(False))
 

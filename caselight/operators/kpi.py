@@ -22,14 +22,6 @@ from caselight.operators.prepare import included
 INCLUDED = "INCLUDED"
 
 
-def small_table(spark: SparkSession, rows, layout, max_rows: int = 10_000) -> DataFrame:
-    """Parameter rows as a broadcast table. The row count is checked here."""
-    rows = list(rows)
-    if len(rows) > max_rows:
-        raise ValueError(f"{len(rows)} parameter rows, at most {max_rows} are broadcast")
-    return F.broadcast(spark.createDataFrame(rows, layout))
-
-
 def add_total(sums: DataFrame, by: list[str], label: str = fv.TOTAL) -> DataFrame:
     """Append one row with the sums over all units to a table of sums per unit."""
     if not by:
@@ -147,16 +139,21 @@ def kpi_to_close(outlook: DataFrame) -> DataFrame:
 
 
 def _targets_wide(spark: SparkSession, targets, total_label: str) -> DataFrame:
-    by_area: dict[str, dict[str, tuple[float, float]]] = {}
-    for area, kpi, target, tolerance in targets:
-        area = total_label if area == fv.TOTAL else area
-        by_area.setdefault(area, {})[kpi] = (float(target), float(tolerance))
-    missing = (None, None)
-    rows = [(a, *k.get("ics", missing), *k.get("ies", missing)) for a, k in by_area.items()]
-    layout = (
-        "area string, ics_target double, ics_tol double, ies_target double, ies_tol double"
-    )
-    return small_table(spark, rows, layout)
+    """One row per area from (area, kpi, target, tolerance) rows or a DataFrame of any size.
+
+    No hint: Spark knows the size of parameter rows and broadcasts them if they are few.
+    """
+    if not isinstance(targets, DataFrame):
+        rows = [(area, kpi, float(goal), float(near)) for area, kpi, goal, near in targets]
+        layout = "area string, kpi string, target double, tolerance double"
+        targets = spark.createDataFrame(rows, layout)
+    area = F.when(F.col("area") == fv.TOTAL, F.lit(total_label)).otherwise(F.col("area"))
+    wide = [
+        F.max(F.when(F.col("kpi") == kpi, F.col(c).cast("double"))).alias(f"{kpi}_{short}")
+        for kpi in ("ics", "ies")
+        for c, short in (("target", "target"), ("tolerance", "tol"))
+    ]
+    return targets.groupBy(area.alias("area")).agg(*wide)
 
 
 def _scored(

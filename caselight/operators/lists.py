@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight import schema
@@ -30,24 +30,34 @@ def _with_progress(cases: DataFrame) -> DataFrame:
     )
 
 
+def _label() -> Column:
+    return F.concat(F.col("grp"), F.lit("  -  "), F.col("service"))
+
+
 def scatter_points(cases: DataFrame, log_axes: bool = False) -> DataFrame:
     """Progress against elapsed time of open cases; log axes show positive values only."""
     points = _with_progress(cases)
     if log_axes:
         points = points.filter((F.col("progress") > 0) & (F.col("elapsed_minutes") > 0))
-    label = F.concat(F.col("grp"), F.lit("  -  "), F.col("service"))
-    return points.withColumn("label", label).select(*schema.SCATTER_COLUMNS)
+    return points.withColumn("label", _label()).select(*schema.SCATTER_COLUMNS)
 
 
 def select_region(
-    cases: DataFrame, area: str, x_range: tuple[float, float], y_range: tuple[float, float]
+    cases: DataFrame,
+    area: str,
+    x_range: tuple[float, float],
+    y_range: tuple[float, float],
+    labelled: bool = False,
 ) -> DataFrame:
-    """Open cases inside a rectangle of progress and elapsed minutes, bounds included."""
-    return (
-        by_area(_with_progress(cases), area)
-        .filter(F.col("progress").between(*x_range) & F.col("elapsed_minutes").between(*y_range))
-        .select(*schema.SELECTION_COLUMNS)
+    """Open cases inside a rectangle of progress and elapsed minutes, bounds included.
+
+    ``labelled`` adds the label that the points carry.
+    """
+    chosen = by_area(_with_progress(cases), area).filter(
+        F.col("progress").between(*x_range) & F.col("elapsed_minutes").between(*y_range)
     )
+    columns = [F.col(c) for c in schema.SELECTION_COLUMNS]
+    return chosen.select(*columns, *([_label().alias("label")] if labelled else []))
 
 
 def recurrent_cases(pending: DataFrame, area: str | None = None) -> DataFrame:

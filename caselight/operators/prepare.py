@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.functions import fixed_values as fv
-from caselight.functions.columns import hour_start, month_start, not_in
+from caselight.functions.columns import month_start, not_in
 
 FINISHED = ("CLOSED", "SOLVED")
 DENIED = "DENIED"
@@ -19,7 +19,7 @@ def with_missed(df: DataFrame) -> DataFrame:
     return df.withColumn("missed", 1 - F.col("met_sla"))
 
 
-def exclude_cases(df: DataFrame, bad_ids=fv.BAD_CASE_IDS) -> DataFrame:
+def exclude_cases(df: DataFrame, bad_ids=()) -> DataFrame:
     """Drop listed cases; rows without an id stay.
 
     A Python list becomes a filter the scan can use. A DataFrame of any size is
@@ -30,9 +30,7 @@ def exclude_cases(df: DataFrame, bad_ids=fv.BAD_CASE_IDS) -> DataFrame:
     return df.filter(not_in(F.col("case_id"), bad_ids)) if bad_ids else df
 
 
-def exclude_units(
-    df: DataFrame, groups=fv.EXCLUDED_GROUPS, subgroups=fv.EXCLUDED_SUBGROUPS
-) -> DataFrame:
+def exclude_units(df: DataFrame, groups=(), subgroups=()) -> DataFrame:
     """Drop whole groups and subgroups; rows without a unit stay."""
     if groups:
         df = df.filter(not_in(F.col("grp"), groups))
@@ -96,30 +94,37 @@ def month_window(df: DataFrame, ts: str, as_of: date) -> DataFrame:
     return df.filter((F.col(ts) >= low) & (F.col(ts) <= high))
 
 
-def first_appearance(df: DataFrame, col: str, order_col: str) -> DataFrame:
+def first_appearance(
+    df: DataFrame, col: str, order_col: str, stretches: int = 256
+) -> DataFrame:
     """Number the distinct values 1, 2, ... by first appearance, ties by value.
 
-    The numbering is a two-step count, so the values never meet in one task: values are
-    ranked inside the hour in which they first appear, and each hour is moved up by the
-    number of values that appeared before it. Only the hours are ordered in one place,
-    and there are at most as many as the history has hours.
+    The values never meet in one task, whatever their stamps are: some of them, chosen by a hash,
+    cut the order of (first seen, value) into stretches; values are ranked inside their stretch
+    and moved up by the number of values in the stretches before it. Cuts follow from the values
+    alone, so a task that is run again finds the same ones. Their number is fixed by
+    ``stretches``; only cuts and stretches are ordered in one place.
     """
-    firsts = (
-        df.groupBy(col)
-        .agg(F.min(order_col).alias("first_seen"))
-        .withColumn("hour", hour_start(F.col("first_seen")))
-    )
-    per_hour = firsts.groupBy("hour").agg(F.count(F.lit(1)).alias("arrived"))
-    earlier = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_hour.select(
-        F.col("hour").alias("offset_hour"),
-        F.coalesce(F.sum("arrived").over(earlier), F.lit(0)).alias("shift"),
+    place = F.struct("first_seen", "value")
+    firsts = df.groupBy(F.col(col).alias("value")).agg(F.min(order_col).alias("first_seen"))
+    # Every fourth of four times as many chosen values: the stretches come out more even.
+    chosen = firsts.orderBy(F.xxhash64("value"), "value").limit(4 * stretches)
+    cuts = chosen.agg(F.array_sort(F.collect_list(place)).alias("cuts"))
+    cuts = cuts.select(F.filter("cuts", lambda _, i: i % 4 == 0).alias("cuts"))
+    before = F.size(F.filter("cuts", lambda cut: cut <= place))
+    placed = firsts.withColumn("cuts", cuts.scalar()).select("*", before.alias("stretch")).drop("cuts")
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("stretch")
+        .agg(F.count(F.lit(1)).alias("arrived"))
+        .withColumn("shift", F.coalesce(F.sum("arrived").over(earlier), F.lit(0)))
+        .select(F.col("stretch").alias("of"), "shift")
     )
-    within = Window.partitionBy("hour").orderBy("first_seen", col)
+    within = Window.partitionBy("stretch").orderBy("first_seen", "value")
     return (
-        firsts.withColumn("rank", F.row_number().over(within))
-        .join(offsets, F.col("hour").eqNullSafe(F.col("offset_hour")))
-        .select(F.col(col).alias("value"), (F.col("rank") + F.col("shift")).alias("number"))
+        placed.withColumn("rank", F.row_number().over(within))
+        .join(offsets, F.col("stretch") == F.col("of"))
+        .select("value", (F.col("rank") + F.col("shift")).alias("number"))
     )
 
 

@@ -35,7 +35,9 @@ def hourly_arrivals(
     With a case type only that column is returned.
     """
     kept = scope(by_area(cases, area), case_type=case_type)
-    first = first_per_case(kept.select("case_id", "case_type", *_unique(order)), order)
+    # The type settles ties that the given order leaves.
+    ordered = [*order, *(c for c in ("registered_at", "case_type") if c not in order)]
+    first = first_per_case(kept.select("case_id", *_unique(ordered)), ordered)
     names = {"INCIDENT": "incidents", "REQUEST": "requests"}
     wanted = [case_type] if case_type else list(names)
     counts = first.groupBy(hour_number(F.col("registered_at")).alias("_n")).agg(
@@ -160,8 +162,10 @@ def running_compliance(
     )
     sums = ("missed", "met", "closed")
     # The frame holds every row up to and including the day. Its input is at most one
-    # row per area and calendar day, and its result at most one entry per area.
+    # row per area and calendar day, and its result at most one entry per area. One row of
+    # each day adds the zero rows, so there are as many as areas and days.
     seen = F.collect_set("area").over(Window.orderBy("solved_on"))
+    first = F.row_number().over(Window.partitionBy("solved_on").orderBy("area")) == 1
 
     def entry(area: Column, values) -> Column:
         return F.struct(area.alias("area"), *[v.alias(s) for s, v in zip(sums, values)])
@@ -173,7 +177,7 @@ def running_compliance(
         F.transform("_seen", lambda a: entry(a, nothing)),
     )
     grid = (
-        daily.withColumn("_seen", seen)
+        daily.withColumn("_seen", F.when(first, seen).otherwise(F.array().cast("array<string>")))
         .select("solved_on", F.inline(entries))
         .groupBy("area", "solved_on")
         .agg(*[F.sum(s).alias(s) for s in sums])

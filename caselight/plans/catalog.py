@@ -87,10 +87,17 @@ def _trend(cases: DataFrame) -> DataFrame:
     return _rounded(series.backlog_trend(cases, AS_OF, HOLIDAYS), "lag_pct", "managed_pct")
 
 
-def _grid(cases: DataFrame) -> DataFrame:
-    return series.business_grid(
-        cases.sparkSession, series.latest_day(cases, until=AS_OF), HOLIDAYS
-    )
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A case is registered on the day of its order, so the orders alone give the day.
+    orders = star_tables.table(spark, sf_dir, "orders")
+    days = orders.select(F.col("o_orderdate").alias("registered_at"))
+    return series.business_grid(spark, series.latest_day(days, until=AS_OF), HOLIDAYS)
+
+
+def _bad_ids(cases: DataFrame) -> DataFrame:
+    """The listed cases as a table, as a long list would come."""
+    rows = [(i,) for i in BAD_IDS]
+    return cases.sparkSession.createDataFrame(rows, "case_id bigint")
 
 
 def _split(cases: DataFrame) -> DataFrame:
@@ -127,6 +134,9 @@ QUERIES: dict[str, Query] = {
     "case_listing": _on_cases(_listed),
     "base_missed": _on_cases(lambda c: c.select("case_id", "area", "met_sla", "missed")),
     "exclude_ids": _on_cases(lambda c: _listed(prepare.exclude_cases(c, BAD_IDS))),
+    "exclude_ids_join": _on_cases(
+        lambda c: _listed(prepare.exclude_cases(c, _bad_ids(c)))
+    ),
     "exclude_units": _on_cases(
         lambda c: _listed(prepare.exclude_units(c, EXCLUDED_GROUPS, EXCLUDED_SUBGROUPS))
     ),
@@ -148,6 +158,10 @@ QUERIES: dict[str, Query] = {
     "scatter_selection": _on_cases(
         lambda c: lists.select_region(c, AREA, PROGRESS_RANGE, ELAPSED_RANGE)
     ),
+    "selection_labels": _on_cases(
+        lambda c: lists.select_region(c, AREA, PROGRESS_RANGE, ELAPSED_RANGE, labelled=True)
+    ),
+    "worklist_area": _on_cases(lambda c: lists.worklist(c, AREA)),
     "scatter_points": _on_cases(lists.scatter_points),
     "month_window": _on_cases(lambda c: prepare.month_window(_arrivals()(c), "hour", AS_OF)),
     # Indicators
@@ -169,6 +183,9 @@ QUERIES: dict[str, Query] = {
     "detail_specialist": _detail("specialist"),
     "detail_specialist_category": _detail("specialist_category"),
     "detail_service_category": _detail("service_category"),
+    "detail_subgroup_area": _on_cases(
+        lambda c: detail.indicator_detail(c, "subgroup", area=AREA)
+    ),
     "active_backlog": _on_cases(capacity.active_backlog),
     "capacity_outlook": _on_both(
         lambda c, p: _rounded(_outlook(c, p), "probability", "spare", "quota_pct")
@@ -186,12 +203,20 @@ QUERIES: dict[str, Query] = {
             prepare.by_area(pivot.pivot_input(c), AREA), ["area", "grp", "subgrp"]
         )
     ),
+    "pivot_avg": _on_cases(
+        lambda c: _rounded(
+            pivot.pivot_summary(pivot.pivot_input(c), ["area", "grp"], value="met_sla", agg="avg"),
+            "met_sla",
+        )
+    ),
     "frequent_ci": _on_cases(lambda c: pivot.frequent_ci(c, FREQUENT_SHARE)),
     "frequent_ci_tree": _on_cases(
         lambda c: pivot.frequent_ci_tree(pivot.frequent_ci(c, FREQUENT_SHARE))
     ),
     "state_matrix": _on_cases(pivot.state_matrix),
+    "state_matrix_area": _on_cases(lambda c: pivot.state_matrix(c, AREA)),
     "recurrent_cases": _on_pending(lists.recurrent_cases),
+    "recurrent_cases_area": _on_pending(lambda p: lists.recurrent_cases(p, AREA)),
     "distinct_pairs": _on_cases(lambda c: lists.distinct_pairs(c, ["specialist", "area"])),
     "dedup_cases": _on_cases(lambda c: _listed(lists.first_per_case(c, CASE_ORDER))),
     # Time series
@@ -199,7 +224,7 @@ QUERIES: dict[str, Query] = {
     "hourly_arrivals_area": _on_cases(_arrivals(area=AREA)),
     "hourly_incidents": _on_cases(_arrivals(case_type="INCIDENT")),
     "hourly_requests": _on_cases(_arrivals(case_type="REQUEST")),
-    "business_grid": _on_cases(_grid),
+    "business_grid": _grid,
     "backlog_trend": _on_cases(_trend),
     "backlog_ratios": _on_cases(lambda c: series.backlog_ratios(_trend(c))),
     "running_compliance": _on_cases(
@@ -208,6 +233,9 @@ QUERIES: dict[str, Query] = {
     "running_compliance_total": _on_cases(
         lambda c: _rounded(series.running_compliance(c, series="TOTAL"), "ics_pct")
     ),
+    "running_compliance_area": _on_cases(
+        lambda c: _rounded(series.running_compliance(c, series=AREA), "ics_pct")
+    ),
     "rolling_arrivals": _on_cases(
         lambda c: _rounded(
             series.rolling_mean(
@@ -235,6 +263,7 @@ QUERIES: dict[str, Query] = {
     "flow_open": _on_cases(flows.open_flow),
     "flow_ci_state": _on_cases(flows.ci_state_flow),
     "flow_client_pending": _on_pending(flows.client_pending_flow),
+    "flow_client_pending_area": _on_pending(lambda p: flows.client_pending_flow(p, AREA)),
     # Scalar functions
     "split_category": _on_cases(_split),
     "fold_accents": _folded,

@@ -10,9 +10,16 @@ from pyspark.sql import types as T
 
 from caselight import schema
 from caselight.functions import fixed_values as fv
-from caselight.functions.columns import decimal_comma, parse_stamp
+from caselight.functions.columns import decimal_comma, parse_stamp, strict_stamp
 
-CSV_OPTIONS = {"sep": ";", "header": "true", "encoding": "ISO-8859-1"}
+#: Header names of all files of a folder must agree, and rows must have as many fields as the header.
+CSV_OPTIONS = {
+    "sep": ";",
+    "header": "true",
+    "encoding": "ISO-8859-1",
+    "enforceSchema": "false",
+    "mode": "FAILFAST",
+}
 
 
 def normalise_columns(df: DataFrame, headers: dict[str, str] = fv.CASE_HEADERS) -> DataFrame:
@@ -46,7 +53,8 @@ def _typed(df: DataFrame, layout: T.StructType, codes: dict[str, dict[str, str]]
                 value = F.when(raw == word, F.lit(code)).otherwise(value)
             return value
         if isinstance(field.dataType, T.TimestampNTZType):
-            return parse_stamp(raw)
+            # A solve time that is lost would turn a solved case into an open one.
+            return strict_stamp(raw) if field.name == "solved_at" else parse_stamp(raw)
         if isinstance(field.dataType, T.DoubleType):
             return decimal_comma(raw)
         return F.trim(raw).try_cast(field.dataType)
@@ -59,28 +67,43 @@ def _read(
     path: str,
     layout: T.StructType,
     headers: dict[str, str],
+    required: tuple[str, ...],
     codes: dict[str, dict[str, str]] | None = None,
     **options: str,
 ) -> DataFrame:
-    # Columns are bound by name, not by position: delivered files carry further columns.
-    # Nothing is inferred; every column is read as text and cast to the layout.
+    # Columns are bound by name: delivered files carry further columns, in any order that is
+    # the same in all files of a folder. Nothing is inferred; every column is read as text and
+    # cast to the layout. What the files do not say plainly is an error, not a guess: files of
+    # different headers, rows with too few fields (such as those cut by a line break inside
+    # quotes, unless multiLine is set), a missing column, a solve time that is no time.
     text = spark.read.options(**{**CSV_OPTIONS, **options}).csv(path, inferSchema=False)
-    return _typed(normalise_columns(text, headers), layout, codes or {})
+    named = normalise_columns(text, headers)
+    missing = [f.name for f in layout.fields if f.name in required and f.name not in named.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}; it has {text.columns}")
+    return _typed(named, layout, codes or {})
 
 
 def read_cases(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Case extract as the ``cases`` layout. Further options go to the CSV reader."""
-    return _read(spark, path, schema.CASES, fv.CASE_HEADERS, fv.CASE_CODES, **options)
+    """Case extract as the ``cases`` layout. Further options go to the CSV reader.
+
+    A file with line breaks inside quotes needs ``multiLine="true"``; it is then not split.
+    """
+    required = ("case_id", "area", "registered_at", "solved_at")
+    return _read(spark, path, schema.CASES, fv.CASE_HEADERS, required, fv.CASE_CODES, **options)
 
 
 def read_capacity(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Capacity table: one row per area and day of the month."""
-    return _read(spark, path, schema.CAPACITY, fv.CAPACITY_HEADERS, **options)
+    return _read(spark, path, schema.CAPACITY, fv.CAPACITY_HEADERS, ("area", "day", "p0"), **options)
 
 
 def read_client_pending(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Cases that wait for the client."""
-    return _read(spark, path, schema.CLIENT_PENDING, fv.CLIENT_PENDING_HEADERS, **options)
+    required = ("area", "specialist", "case_id")
+    return _read(
+        spark, path, schema.CLIENT_PENDING, fv.CLIENT_PENDING_HEADERS, required, **options
+    )
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:

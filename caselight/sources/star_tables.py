@@ -46,11 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with their dimensions.
 
-    Orders come first: that join moves the lines, and before the others they are still
-    narrow and free of text. Customers are joined to orders, which are fewer than lines.
-    Lines and orders are the two large tables, so neither is ever broadcast: the hint asks
-    for the sort-merge join, which spills and whose skewed partitions can be split. All
-    other joins are left to the optimizer, which checks table sizes.
+    The supplier side comes first: it is small, and a filter on the area or on a specialist
+    then takes lines away before the join with orders moves them. Parts are joined last, so
+    their text is not moved with the lines. Customers are joined to orders, which are fewer
+    than lines. Lines and orders are the two large tables; the hint keeps their join the same in
+    every branch of a plan, which lets branches share its shuffles, and other joins are left to
+    the optimizer.
     """
     nation = table(spark, sf_dir, "nation")
     client = nation.selectExpr("n_nationkey AS site_key", "n_name AS site")
@@ -59,13 +60,16 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
         .join(client, F.expr("c_nationkey = site_key"))
     )
+    suppliers = (
+        table(spark, sf_dir, "supplier")
+        .join(nation, F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    )
     return (
         table(spark, sf_dir, "lineitem")
+        .join(suppliers, F.expr("l_suppkey = s_suppkey"))
         .join(orders.hint("merge"), F.expr("l_orderkey = o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-        .join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
-        .join(nation, F.expr("s_nationkey = n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
 
 

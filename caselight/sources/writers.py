@@ -17,10 +17,15 @@ def refresh_snapshot(
     """Replace the stored snapshot by a delivered extract.
 
     Rows are clustered by area inside each file, so that an area filter skips row
-    groups; no shuffle is needed for it. ``partition_by`` puts values into folders.
+    groups; no shuffle is needed for it. ``partition_by`` puts values into folders; rows are
+    then brought together by value first, and large values split again, so that not every
+    task writes into every folder.
     """
+    rows = read_cases(spark, src, **options)
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
     writer = (
-        read_cases(spark, src, **options)
+        rows
         .sortWithinPartitions(*partition_by, "area", "registered_at")
         .write.mode("overwrite")
     )

@@ -1,6 +1,9 @@
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
+from caselight import schema
 from caselight.functions import fixed_values as fv
 from caselight.operators import bands, kpi
 
@@ -60,9 +63,14 @@ def test_missed(spark, value, expected):
     assert band(spark, bands.missed_band("v", "n"), v=value, n=5) == expected
 
 
-def test_parameter_table_is_bounded(spark):
-    with pytest.raises(ValueError):
-        kpi.small_table(spark, [(i,) for i in range(11)], "i int", max_rows=10)
+def test_targets_of_any_number(spark, make_cases):
+    cases = make_cases(dict(area="A7", inclusion="INCLUDED", met_sla=1, closed_in_period=1, elapsed_minutes=1, sla_minutes=1))
+    capacity = spark.createDataFrame([], schema.CAPACITY)
+    targets = [(f"A{i}", kpi_name, 0.5, 0.1) for i in range(10_000) for kpi_name in ("ics", "ies")]
+    table = spark.createDataFrame(targets, "area string, kpi string, target double, tolerance double")
+    for given in (targets, table):
+        bands_of = {r.area: r.ics_band for r in kpi.scorecard(cases, capacity, date(2016, 6, 1), given).collect()}
+        assert bands_of["A7"] == "green"
     assert len(fv.TARGETS) == 10
 
 

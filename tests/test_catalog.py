@@ -4,7 +4,8 @@ import pytest
 from compare import connect, mismatch
 from conftest import SMALL
 
-import __spark_entry__ as spark_entry
+from caselight.plans.catalog import QUERIES
+from caselight.plans.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -13,11 +14,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
-    assert len(spark_entry.queries()) == 70
+    assert set(QUERIES) == set(ORACLE)
+    assert len(QUERIES) == 70
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, duck, name):
     assert mismatch(spark, duck, SMALL, name) is None
 

@@ -6,23 +6,25 @@ from functools import cache
 import pytest
 from conftest import SMALL
 
-import __spark_entry__ as spark_entry
+from caselight.operators import prepare
+from caselight.plans.catalog import QUERIES
+from caselight.sources import star_tables
 
 
 @cache
 def plan(spark, name):
-    df = spark_entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pair_joins_and_no_python(spark, name):
     text = plan(spark, name)
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "EvalPython", "InPandas", "InArrow"):
         assert bad not in text
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_ordered_windows_work_on_aggregates(spark, name):
     """A window without partition may only see rows that were aggregated before."""
     lines = plan(spark, name).splitlines()
@@ -45,7 +47,7 @@ def test_first_row_is_limited_before_the_shuffle(spark, name):
 
 @pytest.mark.parametrize("name", ["detail_specialist_category", "detail_area", "frequent_ci"])
 def test_share_of_total_reuses_the_shuffle(spark, name):
-    df = spark_entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReusedExchange \[area", text)
@@ -74,3 +76,13 @@ def test_a_stored_snapshot_is_filtered_in_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<area:string,inclusion:string,met_sla:int,closed_in_period:int>" in text
     part = detail.indicator_detail(cases, "area", "ASIA")
     assert "EqualTo(area,ASIA)" in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_area_is_chosen_before_lines_meet_orders(spark):
+    cases = prepare.by_area(star_tables.cases(spark, SMALL), "ASIA")
+    plan = cases._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {
+        key: next(line.index("Join") for line in plan if "Join" in line and f"({key}#" in line)
+        for key in ("l_suppkey", "l_orderkey", "n_regionkey")
+    }
+    assert depth["l_orderkey"] < depth["l_suppkey"] < depth["n_regionkey"]

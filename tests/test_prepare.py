@@ -3,7 +3,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from caselight.functions import fixed_values as fv
 from caselight.operators import prepare
-from caselight.plans.base import report_base
+from caselight.plans.base import ORIGINAL_EXCLUSIONS, report_base
 
 START = datetime(2016, 6, 1, 8)
 
@@ -103,6 +103,29 @@ def test_report_base(make_cases):
         dict(case_id=3, case_type="REQUEST", specialist="a", registered_at=START),
         dict(case_id=4, case_type="INCIDENT", specialist="b", registered_at=START),
     ).drop("missed")
-    rows = report_base(cases, case_type="INCIDENT").collect()
+    rows = report_base(cases, case_type="INCIDENT", pseudonyms=True, **ORIGINAL_EXCLUSIONS).collect()
     assert [(r.case_id, r.specialist, r.missed) for r in rows] == [(4, "User1", 1)]
+    assert report_base(cases).count() == 5
     assert len(fv.BAD_CASE_IDS) == len(set(fv.BAD_CASE_IDS)) == 75
+
+
+def test_pseudonyms_of_one_stamp_are_spread(spark):
+    for stamp in ("timestamp_ntz'2024-01-01 10:00:00'", "cast(NULL AS timestamp_ntz)"):
+        cases = spark.range(20_000).selectExpr("concat('name', id) AS specialist", f"{stamp} AS registered_at")
+        numbered = prepare.first_appearance(cases, "specialist", "registered_at", stretches=64)
+        rows = numbered.collect()
+        assert [r.value for r in sorted(rows, key=lambda r: r.number)] == sorted(r.value for r in rows)
+        sizes = [r["count"] for r in _stretches(cases).collect()]
+        assert len(sizes) > 50 and max(sizes) < 4 * 20_000 / len(sizes)
+
+
+def _stretches(cases):
+    """How many names each stretch holds, read off the window's partitions."""
+    plan = prepare.first_appearance(cases, "specialist", "registered_at", stretches=64)
+    names = sorted(plan.collect(), key=lambda r: r.number)
+    hashed = cases.sparkSession.createDataFrame([(r.value,) for r in names], "value string")
+    chosen = sorted(r.value for r in hashed.selectExpr("value", "xxhash64(value) AS h").orderBy("h", "value").limit(256).collect())
+    cuts = chosen[::4]
+    edges = [0, *(sum(r.value < c for r in names) for c in cuts), len(names)]
+    sizes = [(b - a,) for a, b in zip(edges, edges[1:])]
+    return cases.sparkSession.createDataFrame([s for s in sizes if s[0]], "count long")

@@ -131,3 +131,30 @@ def test_rolling_mean(spark):
     assert [r.v for r in got] == [2.0, 2.0, 3.0, 6.5, 7.0]
     same = series.rolling_mean(df.filter(F.col("s") == "x"), "t", ["v"], 1).orderBy("t").collect()
     assert [r.v for r in same] == [2.0, None, 4.0, 9.0]
+
+
+def test_running_compliance_needs_no_more_than_areas_times_days(spark):
+    cases = spark.range(60_000).selectExpr(
+        "concat('a', id % 200) AS area", "'INCLUDED' AS inclusion",
+        "timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(cast(id / 200 AS int)) AS solved_at",
+        "0 AS missed", "1 AS met_sla", "1 AS closed_in_period",
+    )
+    table = series.running_compliance(cases)
+    table.collect()
+    node = table._jdf.queryExecution().executedPlan().toString()
+    assert table.count() == 201 * 300 and "Generate" in node
+    entries = 0
+    plan, stack = table._jdf.queryExecution().executedPlan(), []
+    stack.append(plan)
+    while stack:
+        p = stack.pop()
+        if p.nodeName() == "Generate":
+            entries = max(entries, p.metrics().apply("numOutputRows").value())
+        for f in ("executedPlan", "plan"):
+            try:
+                stack.append(getattr(p, f)())
+            except Exception:  # noqa: BLE001
+                pass
+        children = p.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    assert 0 < entries <= 3 * 201 * 300

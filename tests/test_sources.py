@@ -5,6 +5,8 @@ import pytest
 from caselight import schema
 from caselight.functions import fixed_values as fv
 from caselight.operators import kpi
+from pyspark.sql import functions as F
+from caselight.functions.columns import strict_stamp
 from caselight.plans.base import report_base
 from caselight.sources import readers, writers
 
@@ -122,7 +124,7 @@ def test_export_table(spark, tmp_path):
 
 
 def test_from_extract_to_indicator(spark, extract):
-    base = report_base(readers.read_cases(spark, extract), service_type="END_USER")
+    base = report_base(readers.read_cases(spark, extract), service_type="END_USER", pseudonyms=True)
     assert [(r.case_id, r.specialist) for r in base.collect()] == [(1, "User1")]
     assert kpi.kpi_compliance(base, ["area"]).count() == 2
     card = kpi.scorecard(
@@ -133,3 +135,37 @@ def test_from_extract_to_indicator(spark, extract):
     )
     bands = {r.area: (r.ics, r.ics_band) for r in card.collect()}
     assert bands == {"Gestión del Servicio": (1.0, "green"), "GT": (1.0, "green")}
+
+
+def _write(folder, *texts):
+    folder.mkdir()
+    for i, text in enumerate(texts):
+        (folder / f"{i}.csv").write_text(text, encoding="latin1")
+    return str(folder)
+
+
+def test_files_of_different_headers_are_an_error(spark, tmp_path):
+    path = _write(tmp_path / "a", "AREA;Dia;P0\nX;1;2,5\n", "Dia;AREA;P0\n2;Y;3,5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_capacity(spark, path).collect()
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="day"):
+        readers.read_capacity(spark, _write(tmp_path / "a", "AREA;Day;P0\nX;1;2,5\n"))
+
+
+def test_a_line_break_inside_quotes(spark, tmp_path):
+    path = _write(tmp_path / "a", 'AREA;Dia;P0\n"X\nY";1;2,5\nZ;2;3,5\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_capacity(spark, path).collect()
+    rows = readers.read_capacity(spark, path, multiLine="true").collect()
+    assert [(r.area, r.day, r.p0) for r in rows] == [("X\nY", 1, 2.5), ("Z", 2, 3.5)]
+
+
+def test_a_time_that_is_none_is_an_error(spark, extract):
+    bad = spark.sql("SELECT '31/31/2016 10:00:00' AS t UNION ALL SELECT ' ' UNION ALL SELECT NULL")
+    good = bad.filter("trim(coalesce(t, '')) = ''").select(strict_stamp(F.col("t")).alias("t"))
+    assert [r.t for r in good.collect()] == [None, None]
+    with pytest.raises(Exception, match="not a time"):
+        bad.select(strict_stamp(F.col("t"))).collect()
