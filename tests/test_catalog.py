@@ -4,6 +4,7 @@ import pytest
 from compare import connect, mismatch
 from conftest import SMALL
 
+import __spark_entry__ as spark_entry
 from caselight.plans.catalog import QUERIES
 from caselight.plans.oracle import ORACLE
 
@@ -15,7 +16,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
-    assert len(QUERIES) == 70
+    assert len(QUERIES) == 79
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
