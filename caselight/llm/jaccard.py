@@ -9,8 +9,8 @@ are compared, once per pair.
 Sets that are equal are one node from the start, so copies cost nothing. Links matter only for
 the groups they form, so a large group of near copies is not compared pair by pair: at each n-gram a
 node notes the earliest node that it can match; first it is compared with the one it notes most
-often, and the groups of these links are formed; a few rounds of one partner in another group each
-join most of them; then all remaining pairs that lie in different groups are compared. No link
+often, and the groups of these links are formed; a round of one partner in another group at each n-gram
+joins most of them; then all remaining pairs that lie in different groups are compared. No link
 between groups is lost.
 
 The order's counts come from all documents. They are kept in a table of fixed size, in which
@@ -44,7 +44,7 @@ CLASSES = 8
 #: Bits of the table that tells most texts without a candidate apart before they are shuffled.
 BITS = 1 << 26
 #: Rounds in which every node is compared with one partner of another group at each n-gram.
-ROUNDS = 3
+ROUNDS = 1
 #: Pairs compared at once inside a task.
 PAIRS = 1 << 20
 _HASH = prefix_hash(6)
@@ -337,15 +337,16 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     Each round takes the smallest label among a node's own and its neighbours', and then that
     label's label, so the number of rounds grows with the logarithm of the longest path.
     """
-    both = checkpointed(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("part"))
-    labels = checkpointed(labels)
+    one, other = links.select("x", "y"), links.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    loops = one.union(other).select("x", F.col("x").alias("y"))
+    both = checkpointed(one.union(other).union(loops).distinct())
+    labels = checkpointed(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("part")))
     for _ in range(rounds):
-        near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("part").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("part", "near").alias("mid"), F.col("part").alias("old"))
+        own = F.max(F.when(F.col("x") == F.col("y"), F.col("part")))
+        lower = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("part").alias("mid"), own.alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("part").alias("jump"))
-        new = checkpointed(lower.join(jump, "mid").select("node", "jump", "old"))
-        labels = new.select("node", F.col("jump").alias("part"))
+        new = checkpointed(lower.join(jump, "mid").select("x", "jump", "old"))
+        labels = new.select(F.col("x").alias("node"), F.col("jump").alias("part"))
         if new.filter("jump <> old").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
