@@ -1,3 +1,5 @@
+"""Fixtures of the text operators' tests; a second conftest would hide the first one's names."""
+
 import pytest
 
 from caselight.llm.shared import let_workers_import

@@ -9,6 +9,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from documents_fixture import make_docs, pairs, small_docs  # noqa: F401
 from tokenizers import Tokenizer
 
 from caselight.llm import bpe, fingerprints, jaccard, licenses, lines, neighbours, packing, pii, substrings, toxicity

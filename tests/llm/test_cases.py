@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 import pytest
+from documents_fixture import awkward, make_docs  # noqa: F401
 
 from caselight.llm import bpe, fingerprints, jaccard, licenses, lines, neighbours, packing, pii, substrings, toxicity
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import brute
 import corpus_pipeline
+from documents_fixture import small_docs  # noqa: F401
 from caselight.llm import lines
 
 import __spark_entry__
