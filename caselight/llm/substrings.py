@@ -21,7 +21,8 @@ Corpus order is by ``doc_id``, then by place. Strings are judged on the input.
 
 Defined cases: null or empty text has no bytes; texts shorter than ``length`` have no repeats; rows
 without id come last, and rows equal in id are ordered by a hash of their text; rows equal in
-both count as one document; an empty table gives no rows; other columns are ignored.
+both count as one document, whose result each of them gets; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -259,7 +260,9 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed spans, and ``kept``, the bytes left."""
     rows = identified(docs.select("doc_id", "text"))
-    gone = _repeats(rows, length).groupBy("d", "tie").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    # Rows equal in both are parsed as one, else the second would remove the text from both.
+    unique = rows.groupBy("d", "tie").count().filter("count > 1").isEmpty()
+    gone = _repeats(rows if unique else rows.dropDuplicates(["d", "tie"]), length).groupBy("d", "tie").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     return (
         rows.join(gone, ["d", "tie"], "left")
         .select("d", "tie", "text", "runs")

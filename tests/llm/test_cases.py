@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 import pytest
 from documents_fixture import awkward, make_docs  # noqa: F401
@@ -57,6 +59,15 @@ def test_defined_results(awkward):
     assert equal[2].near_edited == 1.0 and equal[4].fingerprint == equal[5].fingerprint
 
 
+def test_substrings_of_repeated_rows(make_docs):
+    rng = random.Random(8)
+    long_text, other = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    rows = [(1, long_text), (1, long_text), (1, other), (2, "x" + long_text), (None, other + "y"), (None, other + "y")]
+    for docs in (make_docs(*rows), make_docs(*rows).repartition(len(rows))):
+        got = sorted((r.doc_id or 9, r.n_bytes, r.n_removed) for r in substrings.report(docs).collect())
+        assert got == [(1, 400, 0), (1, 400, 0), (1, 400, 0), (2, 401, 400), (9, 401, 400), (9, 401, 400)]
+
+
 def test_other_columns_stay(awkward):
     for kept in (lines.drop_repeated_lines(awkward).drop("n_lines", "n_dropped"), jaccard.one_of_each_group(awkward), pii.mask(awkward)):
         assert kept.columns == awkward.columns
