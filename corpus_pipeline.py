@@ -2,7 +2,8 @@
 
 toxicity    documents scored as toxic go; learnt from the labels beside the documents
 line dedup  lines that repeat an earlier one, exactly or by a small edit, are cut out
-near dedup  of each group of documents with nearly equal word n-grams one stays
+near dedup  of each group of documents with nearly equal word n-grams one stays: five words, similarity
+            0.8 or more
 pii         personal data and secrets in the texts are replaced by their kind
 packing     token pieces of the documents are laid out in training sequences
 
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from caselight.llm import jaccard, lines, packing, pii, toxicity
 from caselight.llm.shared import let_workers_import
 
+#: Words of an n-gram and least similarity in hundredths of the near dedup.
+NEAR_WORDS = 5
+NEAR_LEAST = 80
+
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     length = F.length("text").cast("long")
@@ -39,7 +44,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
-    return jaccard.one_of_each_group(docs)
+    return jaccard.one_of_each_group(docs, NEAR_WORDS, NEAR_LEAST)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,9 +93,9 @@ def shingles(text: str | None, n: int = 3) -> frozenset:
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
 
 
-def similar_groups(docs, least: int = 90) -> dict:
+def similar_groups(docs, least: int = 90, words: int = 3) -> dict:
     """doc_id -> size of the set, smallest doc_id of the group."""
-    sets = {k: shingles(t) for k, t in docs}
+    sets = {k: shingles(t, words) for k, t in docs}
     group = {k: k for k in sets}
     changed = True
     while changed:

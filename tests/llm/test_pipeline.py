@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import brute
 import corpus_pipeline
-from documents_fixture import small_docs  # noqa: F401
+from documents_fixture import make_docs, pairs, small_docs  # noqa: F401
 from caselight.llm import lines
 
 import __spark_entry__
@@ -39,6 +41,21 @@ def test_stages(spark, small_docs, tmp_path):
             assert all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_near_dedup_takes_five_words_and_four_fifths(spark, make_docs, pairs):
+    rng = random.Random(9)
+    rows = list(pairs)
+    for i in range(12):  # copies with a passage added: five-word similarity from 0.76 to 0.9
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        added = [f"v{rng.randrange(5000)}" for _ in range(18 + 4 * i)]
+        at = rng.randrange(200)
+        rows += [(7000 + i, " ".join(words)), (8000 + i, " ".join(words[:at] + added + words[at:]))]
+    expected = {g for _, g in brute.similar_groups(rows, 80, 5).values()}
+    at_op6 = {g for _, g in brute.similar_groups(rows).values()}
+    assert len({k for k in at_op6 - expected if k >= 8000}) > 5 and any(k >= 8000 for k in expected)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, make_docs(*rows), SF)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == expected
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
