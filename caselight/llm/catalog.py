@@ -49,7 +49,7 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(_read(spark, sf_dir, "documents"))
+    return lines.report(_read(spark, sf_dir, "documents"), least_bytes=None)
 
 
 def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ A line of at least ``least_bytes`` bytes is dropped if an earlier line (of a sma
 the same document) is at most ``edits`` bytes away from it. Lines are judged on the input, not on
 what is left. Edits count bytes of UTF-8; shorter lines are never dropped.
 
+With ``least_bytes`` None, as the query has it, there is no such floor: a line that is not blank is
+dropped if it is equal to an earlier one, whatever its length, or if both have more characters than
+``edits``, the fewest that the segments allow, and are at most ``edits`` characters apart.
+
 Keys and hashes of all lines are shuffled, texts only once. Repeats of a line within a batch are
 dropped before that, so a line in a third of all documents costs a row per batch. Lines under one
 key share length and a segment; a key's lines are compared in the order of their occurrence.
@@ -59,8 +63,8 @@ def _segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int):
-    """(line, key) of everything that a line offers or asks for."""
+def _keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int, places: np.ndarray | None = None):
+    """(line, key) of everything that a line offers or asks for; ``places`` are the bytes where characters begin."""
     length, lines, keys = end - start, [], []
     for shorter in range(edits + 1):
         other = length - shorter
@@ -70,24 +74,32 @@ def _keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int):
             for move in range(int(low), int(high) + 1):
                 begin = at + move
                 fits = (begin >= 0) & (begin + size <= length) & (size > 0)
-                found = _HASH.spans(sums, start[fits] + begin[fits], start[fits] + begin[fits] + size[fits])
+                first = start[fits] + begin[fits]
+                last = first + size[fits]
+                if places is not None:
+                    first, last = places[first], places[last]
+                found = _HASH.spans(sums, first, last)
                 lines.append(np.flatnonzero(fits))
                 keys.append(scramble(found ^ scramble(other[fits].astype(np.uint64), 40 + i), 4))
                 # With nothing moved and no byte less these are the line's own segments: it offers them.
     return np.concatenate(lines), np.concatenate(keys)
 
 
-def _each_slice(batches, least: int):
+def _each_slice(batches, least: int | None):
     for batch in batches:
         for first, last, data, bounds in text_slices(batch.column(2)):
             start, end, row, number = _lines(data, bounds)
-            long_enough = end - start >= least
+            if least is None:
+                solid = np.r_[0, np.cumsum((data != 32) & ((data < 9) | (data > 13)))]
+                long_enough = solid[end] > solid[start]
+            else:
+                long_enough = end - start >= least
             start, end, row, number = (x[long_enough] for x in (start, end, row, number))
             yield batch, first, last, data, start, end, row, number
 
 
-def _occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """d, tie, number, h1, h2 of every line that is long enough."""
+def _occurrences(docs: DataFrame, least: int | None) -> DataFrame:
+    """d, tie, number, h1, h2 of every line that is long enough, or not blank."""
 
     def run(batches):
         for batch, first, _, data, start, end, row, number in _each_slice(batches, least):
@@ -106,7 +118,7 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "d long, tie long, number int, h1 long, h2 int")
 
 
-def _meetings(docs: DataFrame, least: int, edits: int) -> DataFrame:
+def _meetings(docs: DataFrame, least: int | None, edits: int) -> DataFrame:
     """(key, h1): lines under keys where different lines meet."""
 
     def run(batches):
@@ -114,7 +126,13 @@ def _meetings(docs: DataFrame, least: int, edits: int) -> DataFrame:
             sums = _HASH.sums(data)
             names = _HASH.spans(sums, start, end)
             names, once = np.unique(names, return_index=True)
-            line, key = _keys(sums, start[once], end[once], edits)
+            start, end, places = start[once], end[once], None
+            if least is None:
+                places = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+                start, end = np.searchsorted(places, start), np.searchsorted(places, end)
+                long_enough = end - start > edits
+                names, start, end = (x[long_enough] for x in (names, start, end))
+            line, key = _keys(sums, start, end, edits, places)
             key >>= np.uint64(16)  # keys only say which lines to compare; 48 bits tell enough of them apart
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(names[line].view(np.int64))], ["key", "h1"]
@@ -126,23 +144,36 @@ def _meetings(docs: DataFrame, least: int, edits: int) -> DataFrame:
     return rows.withColumn("meets", meets).filter("meets").select("key", "h1").distinct()
 
 
-def within(a: bytes, b: bytes, edits: int) -> bool:
-    """Whether one string becomes the other by at most so many edits.
+def _number(a: bytes | str) -> tuple[int, int]:
+    """The string as one number, and the bytes of it that each sign takes."""
+    if isinstance(a, bytes):
+        return int.from_bytes(a), 1
+    return int.from_bytes(a.encode("utf-32-be")), 4
+
+
+def _equal_signs(a: bytes | str, b: bytes | str) -> int:
+    """How many signs two strings of one length have in common before they differ."""
+    (x, width), (y, _) = _number(a), _number(b)
+    return len(a) - -(-(x ^ y).bit_length() // (8 * width))
+
+
+def within(a: bytes | str, b: bytes | str, edits: int) -> bool:
+    """Whether one string becomes the other by at most so many edits of bytes, or of characters.
 
     State d holds, as bits, the diagonals of the band on which the strings so far match with d
     edits; one step per byte moves all diagonals at once.
     """
     if abs(len(a) - len(b)) > edits:
         return False
+    if isinstance(a, str) and a.isascii() and b.isascii():
+        a, b = a.encode(), b.encode()
     n = min(len(a), len(b))
-    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
-    if not differ:
+    head = _equal_signs(a[:n], b[:n])
+    if head == n:
         return True
-    head = n - (differ.bit_length() + 7) // 8
     a, b = a[head:], b[head:]
     n = min(len(a), len(b))
-    differ = int.from_bytes(a[::-1][:n]) ^ int.from_bytes(b[::-1][:n])
-    tail = n if not differ else n - (differ.bit_length() + 7) // 8
+    tail = _equal_signs(a[::-1][:n], b[::-1][:n])
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if max(len(a), len(b)) <= edits:
         return True
@@ -164,7 +195,7 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     return bool(states[-1] >> (len(a) - len(b) + edits) & 1)
 
 
-def _verify(edits: int):
+def _verify(edits: int, characters: bool):
     """Rows (key, h1, line) by key and order to the h1 of lines with an earlier one near."""
 
     def run(batches):
@@ -174,6 +205,8 @@ def _verify(edits: int):
             for k, h, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if k != key:
                     key, earlier = k, []
+                if characters:
+                    line = line.decode()
                 if any(within(x, line, edits) for x in earlier):
                     near.append(h)
                 earlier.append(line)
@@ -197,7 +230,7 @@ def _pick(batches):
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
 
-def _repeated(rows: DataFrame, edits: int, least_bytes: int) -> DataFrame:
+def _repeated(rows: DataFrame, edits: int, least_bytes: int | None) -> DataFrame:
     """d, tie and ``dropped``, the numbers of the lines to drop, of documents that have any."""
     rows = rows.select("d", "tie", "text")
     lines = _occurrences(rows, least_bytes)
@@ -215,7 +248,7 @@ def _repeated(rows: DataFrame, edits: int, least_bytes: int) -> DataFrame:
         .repartition("key")
         .sortWithinPartitions("key", "d", "tie", "number")
         .select("key", "h1", "line")
-        .mapInArrow(_verify(edits), "h1 long")
+        .mapInArrow(_verify(edits, least_bytes is None), "h1 long")
         .distinct()
         .withColumn("near", F.lit(True))
     )
@@ -224,7 +257,7 @@ def _repeated(rows: DataFrame, edits: int, least_bytes: int) -> DataFrame:
     return gone.groupBy("d", "tie").agg(F.collect_set("number").alias("dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_bytes: int | None = LEAST_BYTES) -> DataFrame:
     """The given columns, ``text`` without its repeated lines, and n_lines and n_dropped."""
     rows = identified(docs)
     both = rows.join(_repeated(rows, edits, least_bytes), ["d", "tie"], "left")
@@ -243,7 +276,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_bytes: int =
     )
 
 
-def report(docs: DataFrame, edits: int = EDITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def report(docs: DataFrame, edits: int = EDITS, least_bytes: int | None = LEAST_BYTES) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of the text that is left."""
     kept = drop_repeated_lines(docs.select("doc_id", "text"), edits, least_bytes)
     return kept.select(

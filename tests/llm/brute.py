@@ -70,6 +70,24 @@ def kept_lines(docs, edits: int, least: int) -> dict:
     return out
 
 
+def kept_lines_of_any_length(docs, edits: int) -> dict:
+    """Exact repeats of lines that are not blank, and near ones in characters above the edits."""
+    seen, out = [], {}
+    for doc_id, text in docs:
+        lines = [] if text is None else text.split("\n")
+        kept = []
+        for line in lines:
+            long_enough = [x for x in seen if min(len(x), len(line)) > edits and abs(len(x) - len(line)) <= edits]
+            again = line in seen or any(edit_distance(x, line) <= edits for x in long_enough)
+            if line.strip(" \t\n\v\f\r"):
+                seen.append(line)
+                if again:
+                    continue
+            kept.append(line)
+        out[doc_id] = (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
+    return out
+
+
 def licence_places(text: str | None):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(text or ""))
     places = []

@@ -118,6 +118,40 @@ def test_lines(make_docs, edits):
     assert got == brute.kept_lines(rows, edits, lines.LEAST_BYTES)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_lines_of_any_length(make_docs, edits):
+    rng = random.Random(13)
+    base = [t for n in (6, 14, 40) for t in _varied(n, 10, "abcdé日😀 xyz", n)]
+    rows = [(i, "\n".join(_edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2])) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    rows += [(100, None), (101, "All rights reserved.\n \n\na"), (102, "All rights reserved.\n \n\na"), (103, "日本語テキスト本文"), (104, "日本話テキスド本文")]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.report(make_docs(*rows), edits, None).collect()}
+    assert got == brute.kept_lines_of_any_length(rows, edits) and got[102][1] == 2 and got[104][1] == edits - 1
+
+
+def test_query_drops_short_repeats(spark):
+    from caselight.llm import catalog
+
+    short = lambda line: 0 < len(line.encode()) < lines.LEAST_BYTES
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    seen, again = set(), {}
+    for r in texts:
+        for line in (r.text or "").split("\n"):
+            again[r.doc_id] = again.get(r.doc_id, 0) + (line in seen and short(line))
+            seen.add(line)
+    dropped = {r.doc_id: r.n_dropped for r in catalog.repeated_lines(spark, SF).collect()}
+    old = {r.doc_id: r.n_dropped for r in lines.report(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert sum(again.values()) > 0 and all(dropped[k] >= n + old[k] for k, n in again.items())
+
+
+def test_banded_distance_of_characters():
+    rng = random.Random(15)
+    for _ in range(3000):
+        a = "".join(rng.choice("aé日😀") for _ in range(rng.randint(0, 9)))
+        b = _edited(rng, a or "é", rng.randint(0, 4))
+        for edits in (1, 2, 3):
+            assert lines.within(a, b, edits) == (brute.edit_distance(a, b) <= edits)
+
+
 def test_banded_distance():
     rng = random.Random(5)
     for _ in range(5000):
