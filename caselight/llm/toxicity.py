@@ -103,6 +103,8 @@ class Model:
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    #: Whether the labelled rows held both classes, so that there was something to learn.
+    learnt: bool = True
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = len(bounds) - 1
@@ -148,7 +150,8 @@ def fit_rows(texts: list[str], labels: list[int], most: int, ridge: float, count
     """Newton steps on the regularised loss; the bounded sample is held in one task."""
     label = np.array(labels, float)
     if not len(label) or label.min() == label.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if not len(label) else float(label[0] * 8 - 4))
+        bias = 0.0 if not len(label) else float(label[0] * 8 - 4)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), bias, learnt=False)
     sets = _feature_sets(texts)
     features = _telling(sets, label, most)
     x = _matrix(sets, features)
@@ -194,15 +197,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         model = fit_rows(frame["text"].fillna("").tolist(), frame["toxic"].clip(0, 1).tolist(), features, ridge, counterfactual)
         return pd.DataFrame(
             {"feature": np.r_[model.features.view(np.int64), 0], "weight": np.r_[model.weights, model.bias],
-             "bias": [False] * len(model.features) + [True]}
+             "bias": [False] * len(model.features) + [True], "learnt": model.learnt}
         )
 
-    learnt = rows.groupBy().applyInPandas(learn, "feature long, weight double, bias boolean").collect()
+    learnt = rows.groupBy().applyInPandas(learn, "feature long, weight double, bias boolean, learnt boolean").collect()
     weights = sorted((r for r in learnt if not r["bias"]), key=lambda r: r["feature"] % (1 << 64))
     return Model(
         np.array([r["feature"] for r in weights], np.int64).view(np.uint64),
         np.array([r["weight"] for r in weights]),
         next((r["weight"] for r in learnt if r["bias"]), 0.0),
+        any(r["learnt"] for r in learnt),
     )
 
 

@@ -1,6 +1,7 @@
 """The corpus pipeline: documents pass five stages, each written as Parquet and read again.
 
-toxicity    documents scored as toxic go; learnt from the labels beside the documents
+toxicity    documents scored as toxic go; learnt from the labels beside the documents;
+            all stay where no labelled document or only one class was there to learn from
 line dedup  lines that repeat an earlier one, exactly or by a small edit, are cut out
 near dedup  of each group of documents with nearly equal word n-grams one stays: five words, similarity
             0.8 or more
@@ -34,6 +35,8 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.learnt:
+        return docs
     return toxicity.score(docs, model).filter("toxicity < 0.5").select(*docs.columns)
 
 

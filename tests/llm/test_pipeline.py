@@ -56,6 +56,16 @@ def test_near_dedup_takes_five_words_and_four_fifths(spark, make_docs, pairs):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == expected
 
 
+def test_nothing_is_dropped_where_nothing_was_learnt(spark, small_docs, tmp_path):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    everything = small_docs.count()
+    cases = {"empty": labels.limit(0), "toxic": labels.filter("toxic = 1"), "clean": labels.filter("toxic = 0"),
+             "others": labels.selectExpr("doc_id + 1000000 AS doc_id", "quality", "toxic")}
+    for name, some in cases.items():
+        some.write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert corpus_pipeline.drop_toxic(spark, small_docs, str(tmp_path / name)).count() == everything
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
