@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents pass five stages, each written as Parquet and read again.
+"""The corpus pipeline: documents pass five stages, each written and read again.
 
 toxicity    documents scored as toxic go; learnt from the labels beside the documents;
             all stay where no labelled document or only one class was there to learn from
@@ -9,7 +9,8 @@ pii         personal data and secrets in the texts are replaced by their kind
 packing     token pieces of the documents are laid out in training sequences
 
 Each stage takes all that the one before kept and returns the columns of documents, but for the last,
-which returns one row per piece. ``n_chars`` follows the text. A document whose lines all repeat
+which returns one row per piece. ``run`` writes what a stage returns to the session's checkpoint folder,
+so no stage is computed again for the reads of the next one. ``n_chars`` follows the text. A document whose lines all repeat
 stays, with an empty text.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight.llm import jaccard, lines, packing, pii, toxicity
-from caselight.llm.shared import let_workers_import
+from caselight.llm.shared import checkpointed, let_workers_import
 
 #: Words of an n-gram and least similarity in hundredths of the near dedup.
 NEAR_WORDS = 5
@@ -72,6 +73,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,6 +66,23 @@ def test_nothing_is_dropped_where_nothing_was_learnt(spark, small_docs, tmp_path
         assert corpus_pipeline.drop_toxic(spark, small_docs, str(tmp_path / name)).count() == everything
 
 
+def test_each_stage_is_computed_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(spark, docs, sf_dir):
+        def run(batches):
+            for batch in batches:
+                calls.add(batch.num_rows)
+                yield batch
+
+        return docs.mapInArrow(run, docs.schema)
+
+    twice = lambda spark, docs, sf_dir: docs.union(docs)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", (("a", counting), ("b", twice), ("c", twice)))
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert len(corpus_pipeline.run(spark, SF).collect()) == 4 * n and calls.value == n
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
