@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, fingerprints, jaccard, licenses, lines, neighbours, packing, pii, substrings, toxicity
+from caselight.llm import (
+    bpe, fingerprints, jaccard, licenses, lines, neighbours, packing, pii, runs, sharding, substrings, toxicity,
+    whitening,
+)
 from caselight.llm.shared import let_workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +67,18 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_read(spark, sf_dir, "documents"))
 
 
+def equal_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_read(spark, sf_dir, "documents"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_read(spark, sf_dir, "documents"))
+
+
+def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substrings": repeated_substrings,
     "op2_toxicity": toxicity_scores,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Query] = {
     "op8_packing": packed_sequences,
     "op9_neighbours": nearest_vectors,
     "op10_pii": personal_data,
+    "op11_shards": equal_shards,
+    "op12_runs": periodic_runs,
+    "op13_whitening": whitened_vectors,
 }
 
 #: DuckDB SQL where it can express the operator.
