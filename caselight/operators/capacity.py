@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import fixed_values as fv
 from caselight.functions.columns import ratio
+from caselight.functions.contract import require
 from caselight.operators.prepare import open_cases, open_condition
 
 OUTLOOK_COLUMNS = (
@@ -25,6 +26,7 @@ WHEN_IDLE = {
 
 def active_backlog(cases: DataFrame) -> DataFrame:
     """Open cases per specialist: count, due this month, already missed."""
+    require(cases, "active_backlog")
     return (
         open_cases(cases)
         .groupBy("area", "grp", "subgrp", "specialist")
@@ -142,6 +144,7 @@ def capacity_outlook(
     If no case is open at all, every area of the capacity table and the total get the
     same constant row.
     """
+    require(cases, "capacity_outlook")
     measured = attach_capacity(backlog_by_area(cases), capacity, as_of, how="full")
     shown = measured.filter(~F.col("_idle") | F.col("_listed"))
     rows = with_total_row(shown, [], total_label)

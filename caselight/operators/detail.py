@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions.columns import ratio
+from caselight.functions.contract import require
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,11 @@ LEVELS = {
 
 
 def indicator_detail(
-    cases: DataFrame, level: str, area: str | None = None, ordered: bool = True
+    cases: DataFrame,
+    level: str,
+    area: str | None = None,
+    ordered: bool = True,
+    shared_scan: bool = False,
 ) -> DataFrame:
     """Missed cases, shares and estimated indicators per key of the level.
 
@@ -40,11 +45,21 @@ def indicator_detail(
     headline indicators.
 
     The overall count is a one-row subquery over the same grouping, so group rows are
-    never gathered in one task. It sums every measure, not only the one it needs: both
-    sides then need the same shuffle, and Spark runs it once. Rows come with most missed
-    cases first; ``ordered=False`` saves the sort where the table is only stored.
+    never gathered in one task, and both sides share one scan and one shuffle. It sums every
+    measure, not only the one it needs: otherwise the two sides would differ.
+
+    Where one area is shown, there is a choice. Without ``shared_scan`` the groups read only that area's rows,
+    and the total reads one column of all rows: cheaper over a stored snapshot, whose files skip
+    other areas and columns. With it the rows are read once: those of every other area are
+    grouped by area alone, a few subtotals beside the groups to show, which together hold the
+    total. That is cheaper where the rows come out of joins or other costly steps.
+
+    Rows come with most missed cases first; ``ordered=False`` saves the sort where the table is
+    only stored.
     """
     spec = LEVELS[level]
+    report = "indicator_detail_effectiveness" if spec.effectiveness else "indicator_detail"
+    require(cases, report, *spec.keys, *([] if area is None else ["area"]))
     is_in = F.col("inclusion") == "INCLUDED"
     measures = [
         F.sum("missed").alias("missed"),
@@ -61,16 +76,25 @@ def indicator_detail(
                 "overdue_prev_months", "due_in_month", "solved_early_next",
             )
         ]
-    groups = cases.groupBy(*spec.keys).agg(*measures)
-    sums = [c for c in groups.columns if c not in spec.keys]
-    overall = groups.agg(F.struct(*[F.sum(c).alias(c) for c in sums]).alias("sums"))
-    if spec.missed_only:
-        groups = groups.filter(F.col("missed") > 0)
-    if area is not None:
-        # With an area the two sides cannot share a shuffle; the count needs no keys then.
-        overall = cases.agg(F.struct(F.sum("missed").alias("missed")).alias("sums"))
+    keys, shown = [F.col(k) for k in spec.keys], []
+    if area is not None and shared_scan:
+        chosen = F.coalesce(F.col("area") == area, F.lit(False))
+        keys = [F.col(k) if k == "area" else F.when(chosen, F.col(k)).alias(k) for k in spec.keys]
+        # An aggregate, not a key: a filter on it stays above the grouping, and the scan is shared.
         # The total level has no area to show.
+        shown = [F.max(chosen if "area" in spec.keys else F.lit(False)).alias("_shown")]
+    groups = cases.groupBy(*keys).agg(*measures, *shown)
+    sums = [F.sum(c).alias(c) for c in groups.columns if c not in (*spec.keys, "_shown")]
+    if shown:
+        sums.append(F.max("_shown").alias("_shown"))
+    overall = groups.agg(F.struct(*sums).alias("sums"))
+    if shown:
+        groups = groups.filter("_shown")
+    elif area is not None:
+        overall = cases.agg(F.struct(F.sum("missed").alias("missed")).alias("sums"))
         groups = groups.filter(F.col("area") == area if "area" in spec.keys else F.lit(False))
+    if spec.missed_only:
+        groups = groups.filter(F.col("missed") > 0)
 
     missed, rows = F.col("missed"), F.col("cases")
     out = [*spec.keys, "missed", "cases", ratio(missed, rows).alias("prop_cases")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import fixed_values as fv
 from caselight.functions.columns import blank_to, category_levels, fold_accents
+from caselight.functions.contract import require
 from caselight.operators.prepare import by_area, missed_cases, open_cases, scope
 
 
@@ -65,6 +66,7 @@ def category_flow(
     ``tag_level_2`` puts a blank after level-2 labels, so that a label used on two levels
     does not close a cycle.
     """
+    require(cases, "category_flow", *(["missed"] if missed_only else []))
     rows = scope(cases, case_type=case_type)
     if missed_only:
         rows = missed_cases(rows)
@@ -77,6 +79,7 @@ def category_flow(
 
 def open_flow(cases: DataFrame, labels: fv.Labels = fv.ENGLISH) -> DataFrame:
     """area -> specialist -> state for open cases; blanks of the second step are labelled."""
+    require(cases, "open_flow")
     names = ["area", "specialist", "state"]
     edges = _edges(
         _combinations(open_cases(cases, "state"), *names), [F.col(c) for c in names]
@@ -94,6 +97,7 @@ def open_flow(cases: DataFrame, labels: fv.Labels = fv.ENGLISH) -> DataFrame:
 
 def ci_state_flow(cases: DataFrame, labels: fv.Labels = fv.ENGLISH) -> DataFrame:
     """ci -> state for open cases, incomplete steps included."""
+    require(cases, "ci_state_flow")
     names = ["ci", "state"]
     edges = _edges(
         _combinations(open_cases(cases, "state"), *names), [F.col(c) for c in names], loose=(0,)
@@ -107,6 +111,7 @@ def ci_state_flow(cases: DataFrame, labels: fv.Labels = fv.ENGLISH) -> DataFrame
 
 def client_pending_flow(pending: DataFrame, area: str | None = None) -> DataFrame:
     """area -> service -> category -> specialist; categories end in a dot."""
+    require(pending, "client_pending_flow")
     names = ["area", "service", "category", "specialist"]
     path = [F.col(c) for c in names]
     path[2] = F.concat(path[2], F.lit("."))

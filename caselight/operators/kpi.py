@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from caselight import schema
 from caselight.functions import fixed_values as fv
 from caselight.functions.columns import half_even, ratio
+from caselight.functions.contract import require
 from caselight.operators import bands, capacity as cap
 from caselight.operators.prepare import included
 
@@ -96,22 +97,26 @@ def _missed_limit() -> Column:
 
 def kpi_compliance(cases: DataFrame, by: Sequence[str] = (), total: bool = True) -> DataFrame:
     """ICS: met over closed, included rows only."""
+    require(cases, "kpi_compliance", *by)
     sums = _sums(included(cases), list(by), total, _compliance_sums(included_only=True))
     return sums.select(*by, _ics().alias("ics"))
 
 
 def kpi_speed(cases: DataFrame, by: Sequence[str] = (), total: bool = True) -> DataFrame:
     """IVS: minutes used over minutes allowed, all rows."""
+    require(cases, "kpi_speed", *by)
     return _sums(cases, list(by), total, _speed_sums()).select(*by, _ivs().alias("ivs"))
 
 
 def kpi_effectiveness(cases: DataFrame, by: Sequence[str] = (), total: bool = True) -> DataFrame:
     """IES: closed or solved over what had to be closed in the month."""
+    require(cases, "kpi_effectiveness", *by)
     return _sums(cases, list(by), total, _effectiveness_sums()).select(*by, _ies().alias("ies"))
 
 
 def kpi_missed(cases: DataFrame, by: Sequence[str] = (), total: bool = True) -> DataFrame:
     """Missed cases, their share in percent and the limit (5 % of all cases)."""
+    require(cases, "kpi_missed", *by)
     return (
         _sums(cases, list(by), total, _missed_sums())
         .select(
@@ -159,6 +164,7 @@ def _targets_wide(spark: SparkSession, targets, total_label: str) -> DataFrame:
 def _scored(
     cases: DataFrame, capacity: DataFrame, as_of: date, targets, total_label: str
 ) -> DataFrame:
+    require(cases, "scorecard")
     plain = {
         **_compliance_sums(),
         **_speed_sums(),

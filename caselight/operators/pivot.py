@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from caselight import schema
 from caselight.functions import fixed_values as fv
 from caselight.functions.columns import blank_to, category_levels, day_text, half_even, ratio
+from caselight.functions.contract import absent, mark_absent, require
 from caselight.operators.prepare import by_area, open_cases, scope
 
-AGGREGATES = ("sum", "count", "avg", "min", "max", "count_distinct")
+AGGREGATES = ("sum", "count", "avg", "min", "max", "count_distinct", "count_distinct_sketch")
+#: 2^12 registers of a sketch: relative standard error 0.83 / sqrt(2^12) = 1.3 %, at most 2.6 KB a group.
+SKETCH_BITS = 12
 
 
 def pivot_input(cases: DataFrame) -> DataFrame:
@@ -20,7 +23,10 @@ def pivot_input(cases: DataFrame) -> DataFrame:
     levels = [
         c.alias(f"level_{i}") for i, c in enumerate(category_levels(F.col("category_path")), 1)
     ]
-    return cases.select("*", *levels).select(*schema.PIVOT_COLUMNS)
+    offered = cases.select("*", *levels).select(*schema.PIVOT_COLUMNS)
+    if "category_path" not in absent(cases):
+        return offered
+    return mark_absent(offered, [f"level_{i}" for i in range(1, len(levels) + 1)])
 
 
 def pivot_summary(
@@ -29,6 +35,7 @@ def pivot_summary(
     cols: dict[str, list] | None = None,
     value: str = "missed",
     agg: str = "sum",
+    sketch_bits: int = SKETCH_BITS,
 ) -> DataFrame:
     """Aggregate with subtotals over ``rows``; one further column per value in ``cols``.
 
@@ -36,12 +43,20 @@ def pivot_summary(
     values, so that no job has to look for them; several columns are combined as
     ``a_b``. The fact rows are first reduced to one row per key, and only those rows are
     expanded into subtotals.
+
+    Distinct counts do not add up. ``count_distinct`` is exact, and expands every distinct pair of
+    keys and value into the subtotals. ``count_distinct_sketch`` keeps one sketch
+    per key and unites sketches up the levels: what is expanded does not grow with the number of values. It is
+    within three standard errors, 3 * 0.83 / sqrt(2 ** sketch_bits), of the exact count in
+    almost all groups (3.9 % at 12 bits), and exact for a few values. Values that are neither numbers, text
+    nor binary are counted by their text; missing ones are not counted, in either form.
     """
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate: {agg}")
     cols = cols or {}
     keys = [*rows, *cols]
-    reduced, merge = _reduce(df, keys, value, agg)
+    require(df, "pivot_summary", *keys, value)
+    reduced, merge = _reduce(df, keys, value, agg, sketch_bits)
 
     def merged(condition):
         return merge(lambda c: c if condition is None else F.when(condition, c))
@@ -66,7 +81,7 @@ def _names(cols: dict[str, list], value: str) -> list[str]:
     return ["_".join(str(m) for m in combo) for combo in product(*cols.values())] + ["total"]
 
 
-def _reduce(df: DataFrame, keys: list[str], value: str, agg: str):
+def _reduce(df: DataFrame, keys: list[str], value: str, agg: str, sketch_bits: int):
     """One row per key with partial results, and how to merge them."""
     v = F.col(value)
     if agg == "count_distinct":
@@ -74,6 +89,12 @@ def _reduce(df: DataFrame, keys: list[str], value: str, agg: str):
             on(F.col("_v"))
         )
     grouped = df.groupBy(*keys)
+    if agg == "count_distinct_sketch":
+        direct = df.schema[value].dataType.typeName() in ("integer", "long", "string", "binary")
+        sketch = F.hll_sketch_agg(v if direct else v.cast("string"), sketch_bits)
+        return grouped.agg(sketch.alias("_v")), lambda on: F.coalesce(
+            F.hll_sketch_estimate(F.hll_union_agg(on(F.col("_v")))), F.lit(0)
+        )
     if agg in ("sum", "min", "max"):
         fn = getattr(F, agg)
         return grouped.agg(fn(v).alias("_v")), lambda on: fn(on(F.col("_v")))
@@ -89,6 +110,7 @@ def frequent_ci(
     cases: DataFrame, pct: float = fv.FREQUENT_SHARE, labels: fv.Labels = fv.ENGLISH
 ) -> DataFrame:
     """Combinations of incidents that occur more often than a share of all incidents."""
+    require(cases, "frequent_ci")
     keys = ["area", "grp", "ci", "service"]
     counts = (
         scope(cases, case_type="INCIDENT")
@@ -129,6 +151,7 @@ def frequent_ci_tree(frequent: DataFrame) -> DataFrame:
 
 def state_matrix(cases: DataFrame, area: str | None = None) -> DataFrame:
     """Actionable cases per state and specialist."""
+    require(cases, "state_matrix", *([] if area is None else ["area"]))
     return (
         by_area(open_cases(cases, "actionable"), area)
         .groupBy("state", "specialist")

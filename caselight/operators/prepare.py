@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from caselight.functions import fixed_values as fv
 from caselight.functions.columns import month_start, not_in
+from caselight.functions.contract import absent, mark_absent
 
 FINISHED = ("CLOSED", "SOLVED")
 DENIED = "DENIED"
 
 
 def with_missed(df: DataFrame) -> DataFrame:
-    """``missed`` = 1 - ``met_sla``."""
-    return df.withColumn("missed", 1 - F.col("met_sla"))
+    """``missed`` = 1 - ``met_sla``; not delivered if that is not."""
+    with_flag = df.withColumn("missed", 1 - F.col("met_sla"))
+    return mark_absent(with_flag, ["missed"]) if "met_sla" in absent(df) else with_flag
 
 
 def exclude_cases(df: DataFrame, bad_ids=()) -> DataFrame:

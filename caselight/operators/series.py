@@ -20,6 +20,7 @@ from caselight.functions.columns import (
     month_start,
     ratio,
 )
+from caselight.functions.contract import require
 from caselight.operators.lists import first_per_case
 from caselight.operators.prepare import by_area, included, scope, solved_cases
 
@@ -34,6 +35,7 @@ def hourly_arrivals(
 
     With a case type only that column is returned.
     """
+    require(cases, "hourly_arrivals", *([] if area is None else ["area"]))
     kept = scope(by_area(cases, area), case_type=case_type)
     # The type settles ties that the given order leaves.
     ordered = [*order, *(c for c in ("registered_at", "case_type") if c not in order)]
@@ -99,6 +101,7 @@ def backlog_trend(
     counts are summed along the complete grid; weekend hours are left out only
     afterwards, since their events still count on Monday.
     """
+    require(cases, "backlog_trend")
     spark = cases.sparkSession
     hours = _hours(spark, as_of)
     business = _is_business(F.col("t"), holidays)
@@ -145,15 +148,24 @@ def backlog_ratios(trend: DataFrame) -> DataFrame:
     return trend.select("t", "lag_pct", "managed_pct")
 
 
+#: Days that areas and solve days are matched by; more calendar in fewer steps, or finer steps.
+BUCKET_DAYS = 32
+
+
+def _bucket(day_number: Column) -> Column:
+    return F.floor(day_number / F.lit(BUCKET_DAYS)).cast("long")
+
+
 def running_compliance(
     cases: DataFrame, series: str | None = None, total_label: str = fv.TOTAL
 ) -> DataFrame:
     """Missed cases and compliance over all solve days so far, per area and in total.
 
     An area is listed on every solve day of any area from its own first one. One
-    aggregation over the cases gives a row per area and day. A day's rows then also
-    stand for the total, and for a zero row of each area seen so far.
+    aggregation over the cases gives a row per area and day; the first days of the areas,
+    the days and the total all come from those rows.
     """
+    require(cases, "running_compliance")
     counted = included(solved_cases(cases))
     daily = counted.groupBy("area", F.to_date("solved_at").alias("solved_on")).agg(
         F.sum("missed").alias("missed"),
@@ -161,24 +173,31 @@ def running_compliance(
         F.sum("closed_in_period").alias("closed"),
     )
     sums = ("missed", "met", "closed")
-    # The frame holds every row up to and including the day. Its input is at most one
-    # row per area and calendar day, and its result at most one entry per area. One row of
-    # each day adds the zero rows, so there are as many as areas and days.
-    seen = F.collect_set("area").over(Window.orderBy("solved_on"))
-    first = F.row_number().over(Window.partitionBy("solved_on").orderBy("area")) == 1
 
-    def entry(area: Column, values) -> Column:
+    def rows(area: Column, values: Sequence[Column]) -> Column:
         return F.struct(area.alias("area"), *[v.alias(s) for s, v in zip(sums, values)])
 
     own = [F.col(s) for s in sums]
-    nothing = [F.lit(0).cast("bigint")] * len(sums)
-    entries = F.concat(
-        F.array(entry(F.col("area"), own), entry(F.lit(total_label), own)),
-        F.transform("_seen", lambda a: entry(a, nothing)),
+    counted_rows = daily.select(
+        "solved_on", F.inline(F.array(rows(F.col("area"), own), rows(F.lit(total_label), own)))
+    )
+    # A zero row of each area for each solve day from its first one on. Days are met by bucket,
+    # so that areas and days are joined on equal values and never all in one place.
+    bucket = F.unix_date("solved_on").cast("long")
+    days = daily.select("solved_on").distinct()
+    last = days.agg(F.max(_bucket(bucket))).scalar()
+    since = daily.groupBy("area").agg(F.min("solved_on").alias("since"))
+    waiting = since.select(
+        "area", "since", F.explode(F.sequence(_bucket(F.unix_date("since").cast("long")), last)).alias("bucket")
+    )
+    zero = (
+        days.withColumn("bucket", _bucket(bucket))
+        .join(waiting, "bucket")
+        .filter(F.col("solved_on") >= F.col("since"))
+        .select("solved_on", "area", *[F.lit(0).cast("bigint").alias(s) for s in sums])
     )
     grid = (
-        daily.withColumn("_seen", F.when(first, seen).otherwise(F.array().cast("array<string>")))
-        .select("solved_on", F.inline(entries))
+        counted_rows.unionByName(zero)
         .groupBy("area", "solved_on")
         .agg(*[F.sum(s).alias(s) for s in sums])
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import columns as k
 from caselight.operators import capacity, detail, flows, kpi, lists, pivot, prepare, series
+from caselight.plans import deliveries
 from caselight.sources import star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,8 @@ FREQUENT_SHARE = 0.00005
 PROGRESS_RANGE = (50.0, 200.0)
 ELAPSED_RANGE = (300.0, 1800.0)
 ROLL = 3
+#: Four standard errors of a sketch.
+SKETCH_ERROR = 4 * 0.83 / 2 ** (pivot.SKETCH_BITS / 2)
 CASE_ORDER = list(star_tables.CASE_ORDER)
 
 
@@ -79,6 +82,26 @@ def _backlog_with_capacity(cases: DataFrame, cap: DataFrame) -> DataFrame:
     return capacity.join_capacity(backlog, cap, AS_OF)
 
 
+def _distinct(cases: DataFrame, agg: str) -> DataFrame:
+    """Specialists with cases per area and group, and per case type."""
+    offered = pivot.pivot_input(cases)
+    types = {"case_type": ["INCIDENT", "REQUEST"]}
+    return pivot.pivot_summary(offered, ["area", "grp"], types, value="specialist", agg=agg)
+
+
+def _sketched(cases: DataFrame) -> DataFrame:
+    """Exact counts, and whether the sketch's counts keep within four standard errors of them."""
+    exact, rough = (_distinct(cases, agg) for agg in ("count_distinct", "count_distinct_sketch"))
+    counts = ("INCIDENT", "REQUEST", "total")
+    near = [
+        (F.abs(F.col(f"rough_{c}") - F.col(c)) <= F.lit(SKETCH_ERROR) * F.col(c)).alias(f"{c}_near") for c in counts
+    ]
+    rough = rough.select("area", "grp", "level", *[F.col(c).alias(f"rough_{c}") for c in counts])
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("area", "grp", "level")]
+    both = exact.alias("e").join(rough.alias("r"), same[0] & same[1] & same[2])
+    return both.select("e.area", "e.grp", "e.level", *counts, *near)
+
+
 def _arrivals(**options) -> Callable[[DataFrame], DataFrame]:
     return lambda c: series.hourly_arrivals(c, order=CASE_ORDER, **options)
 
@@ -87,6 +110,17 @@ def _trend(cases: DataFrame) -> DataFrame:
     return _rounded(series.backlog_trend(cases, AS_OF, HOLIDAYS), "lag_pct", "managed_pct")
 
 
+def _first_cases(*key: str) -> Query:
+    """The first row of each case, chosen among order lines before any text is joined to them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = star_tables.lines_with_orders(spark, sf_dir)
+        first = lists.first_per_case(lines, CASE_ORDER, key)
+        return _listed(star_tables.complete(first, sf_dir))
+
+    return run
+
+
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A case is registered on the day of its order, so the orders alone give the day.
     orders = star_tables.table(spark, sf_dir, "orders")
@@ -164,6 +198,11 @@ QUERIES: dict[str, Query] = {
     "worklist_area": _on_cases(lambda c: lists.worklist(c, AREA)),
     "scatter_points": _on_cases(lists.scatter_points),
     "month_window": _on_cases(lambda c: prepare.month_window(_arrivals()(c), "hour", AS_OF)),
+    "delivered_cases": deliveries.good_rows,
+    "delivery_rejects": deliveries.rejects,
+    "refreshed_snapshot": deliveries.refreshed,
+    "refused_refresh": deliveries.refused,
+    "snapshot_reports": deliveries.reports,
     # Indicators
     "join_capacity": _on_both(_backlog_with_capacity),
     "kpi_ics": _on_cases(lambda c: kpi.kpi_compliance(c, ["area"])),
@@ -186,6 +225,9 @@ QUERIES: dict[str, Query] = {
     "detail_subgroup_area": _on_cases(
         lambda c: detail.indicator_detail(c, "subgroup", area=AREA)
     ),
+    "detail_category_area": _on_cases(
+        lambda c: detail.indicator_detail(c, "service_category", area=AREA, shared_scan=True)
+    ),
     "active_backlog": _on_cases(capacity.active_backlog),
     "capacity_outlook": _on_both(
         lambda c, p: _rounded(_outlook(c, p), "probability", "spare", "quota_pct")
@@ -209,6 +251,8 @@ QUERIES: dict[str, Query] = {
             "met_sla",
         )
     ),
+    "pivot_distinct": _on_cases(lambda c: _distinct(c, "count_distinct")),
+    "pivot_distinct_sketch": _on_cases(_sketched),
     "frequent_ci": _on_cases(lambda c: pivot.frequent_ci(c, FREQUENT_SHARE)),
     "frequent_ci_tree": _on_cases(
         lambda c: pivot.frequent_ci_tree(pivot.frequent_ci(c, FREQUENT_SHARE))
@@ -218,7 +262,8 @@ QUERIES: dict[str, Query] = {
     "recurrent_cases": _on_pending(lists.recurrent_cases),
     "recurrent_cases_area": _on_pending(lambda p: lists.recurrent_cases(p, AREA)),
     "distinct_pairs": _on_cases(lambda c: lists.distinct_pairs(c, ["specialist", "area"])),
-    "dedup_cases": _on_cases(lambda c: _listed(lists.first_per_case(c, CASE_ORDER))),
+    "dedup_cases": _first_cases("case_id"),
+    "dedup_cases_in_place": _first_cases("l_orderkey", "l_linenumber"),
     # Time series
     "hourly_arrivals": _on_cases(_arrivals()),
     "hourly_arrivals_area": _on_cases(_arrivals(area=AREA)),

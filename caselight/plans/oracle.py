@@ -246,6 +246,16 @@ IS_OPEN = "state NOT IN ('CLOSED', 'SOLVED')"
 ACTIONABLE = "state NOT IN ('CLOSED', 'SOLVED', 'DENIED')"
 PROGRESS = "TRY_CAST(replace(progress_text, ',', '.') AS DOUBLE)"
 
+# Rows that the deliveries leave unspoilt.
+DELIVERED = "case_id % 101 <> 7 AND case_id % 103 <> 5"
+DISTINCT = """
+  SELECT area, grp, CAST(grouping(area) + grouping(grp) AS INTEGER) AS level,
+    count(DISTINCT CASE WHEN case_type = 'INCIDENT' THEN specialist END) AS "INCIDENT",
+    count(DISTINCT CASE WHEN case_type = 'REQUEST' THEN specialist END) AS "REQUEST",
+    count(DISTINCT specialist) AS total
+  FROM cases GROUP BY ROLLUP (area, grp)
+"""
+
 
 def _sql(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join((CASES, *ctes)) + "\n" + body
@@ -403,6 +413,24 @@ names AS (
         _first_cases(),
         ARRIVALS,
     ),
+    "delivered_cases": _listing(DELIVERED),
+    "delivery_rejects": _sql(
+        "SELECT concat_ws(', ', CASE WHEN case_id % 103 = 5 THEN 'met_sla is no number' END,"
+        " CASE WHEN case_id % 101 = 7 THEN 'due_at is no time' END) AS reason,"
+        f" case_id % 2 = 1 AS odd, count(*) AS n_rows FROM cases WHERE NOT ({DELIVERED}) GROUP BY ALL"
+    ),
+    "refreshed_snapshot": _listing(DELIVERED),
+    "refused_refresh": _sql(
+        "SELECT 'refused' AS outcome, count(*) AS n_rows, min(case_id) AS first_id, max(case_id) AS last_id,"
+        f" 1::BIGINT AS n_versions FROM cases WHERE {DELIVERED}"
+    ),
+    "snapshot_reports": _sql(
+        "SELECT area, count(*) FILTER (WHERE solved_at IS NULL) AS total,"
+        " (sum(due_in_month + overdue_prev_months) FILTER (WHERE solved_at IS NULL))::BIGINT AS due,"
+        " count(solved_at) AS solved, (SELECT max(registered_at::DATE) FROM cases"
+        f" WHERE registered_at::DATE <= DATE '1998-06-15' AND {DELIVERED}) AS as_of"
+        f" FROM cases WHERE {DELIVERED} GROUP BY area"
+    ),
     "join_capacity": _sql(
         "SELECT b.area, b.total, b.due, c.p0 FROM backlog b"
         " JOIN capacity c ON c.area = b.area AND c.day = 15",
@@ -458,6 +486,7 @@ FROM (
         SCORED,
     ),
     **{f"detail_{name}": _detail(name) for name in DETAIL_KEYS},
+    "detail_category_area": _detail("service_category", " HAVING area = 'ASIA' AND sum(missed) > 0"),
     "detail_subgroup_area": _detail("subgroup", " HAVING area = 'ASIA'"),
     "active_backlog": _sql(
         "SELECT area, grp, subgrp, specialist, count(*) AS active,"
@@ -483,6 +512,11 @@ FROM (
         "SELECT area, grp, CAST(grouping(area) + grouping(grp) AS INTEGER) AS level,"
         " round(avg(met_sla), 6) AS met_sla FROM cases GROUP BY ROLLUP (area, grp)"
     ),
+    "pivot_distinct": _sql(DISTINCT),
+    "pivot_distinct_sketch": _sql(
+        f'SELECT *, "INCIDENT" >= 0 AS "INCIDENT_near", "REQUEST" >= 0 AS "REQUEST_near",'
+        f" total >= 0 AS total_near FROM ({DISTINCT})"
+    ),
     "frequent_ci": _sql("SELECT * FROM frequent", FREQUENT),
     "frequent_ci_tree": _sql(
         "SELECT area, ci, service, total, day, CAST(grouping(area) + grouping(ci)"
@@ -511,6 +545,7 @@ FROM (
     ),
     "distinct_pairs": _sql("SELECT DISTINCT specialist, area FROM cases"),
     "dedup_cases": _sql(f"SELECT {LIST} FROM firsts", _first_cases()),
+    "dedup_cases_in_place": _sql(f"SELECT {LIST} FROM firsts", _first_cases()),
     "hourly_arrivals": _sql("SELECT * FROM arrivals", _first_cases(), ARRIVALS),
     "hourly_arrivals_area": _sql(
         "SELECT * FROM arrivals", _first_cases("area = 'ASIA'"), ARRIVALS

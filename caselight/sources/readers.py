@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from caselight import schema
 from caselight.functions import fixed_values as fv
 from caselight.functions.columns import decimal_comma, parse_stamp, strict_stamp
+from caselight.functions.contract import mark_absent
+from caselight.sources import store
 
 #: Header names of all files of a folder must agree, and rows must have as many fields as the header.
 CSV_OPTIONS = {
@@ -29,19 +31,22 @@ def normalise_columns(df: DataFrame, headers: dict[str, str] = fv.CASE_HEADERS)
     a dot, so both the raw header and its dotted form are found. Unknown columns keep
     their name.
     """
-    renames = {}
-    for name in df.columns:
-        dotted = re.sub(r"[^\w.]", ".", name)
-        if dotted in headers:
-            renames[name] = headers[dotted]
+    renames = {n: headers[dotted(n)] for n in df.columns if dotted(n) in headers}
     return df.withColumnsRenamed(renames)
 
 
-def _typed(df: DataFrame, layout: T.StructType, codes: dict[str, dict[str, str]]) -> DataFrame:
-    """Project text columns to the layout.
+def dotted(header: str) -> str:
+    """A header with every character but letters, digits, dots and underscores as a dot."""
+    return re.sub(r"[^\w.]", ".", header)
+
+
+def typed_columns(
+    df: DataFrame, layout: T.StructType, codes: dict[str, dict[str, str]], strict: bool = True
+) -> list[Column]:
+    """Text columns as values of the layout, in its order.
 
     Blanks stay ``''`` in text and are NULL elsewhere. A column that the table lacks is
-    blank or NULL throughout.
+    blank or NULL throughout. ``strict`` makes a solve time that is no time an error.
     """
     given = set(df.columns)
 
@@ -54,12 +59,19 @@ def _typed(df: DataFrame, layout: T.StructType, codes: dict[str, dict[str, str]]
             return value
         if isinstance(field.dataType, T.TimestampNTZType):
             # A solve time that is lost would turn a solved case into an open one.
-            return strict_stamp(raw) if field.name == "solved_at" else parse_stamp(raw)
+            return strict_stamp(raw) if strict and field.name == "solved_at" else parse_stamp(raw)
         if isinstance(field.dataType, T.DoubleType):
             return decimal_comma(raw)
         return F.trim(raw).try_cast(field.dataType)
 
-    return df.select(*[typed(f).alias(f.name) for f in layout.fields])
+    return [typed(f) for f in layout.fields]
+
+
+def _typed(df: DataFrame, layout: T.StructType, codes: dict[str, dict[str, str]]) -> DataFrame:
+    """Project text columns to the layout; columns that were not delivered are marked."""
+    values = typed_columns(df, layout, codes)
+    rows = df.select(*[v.alias(f.name) for f, v in zip(layout.fields, values)])
+    return mark_absent(rows, [f.name for f in layout.fields if f.name not in df.columns])
 
 
 def _read(
@@ -106,9 +118,15 @@ def read_client_pending(spark: SparkSession, path: str, **options: str) -> DataF
     )
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Stored snapshot written by ``refresh_snapshot``."""
-    return spark.read.schema(schema.CASES).parquet(path).select(*schema.CASE_COLUMNS)
+def read_snapshot(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """Stored snapshot written by ``refresh_snapshot``: the current version, or the named one.
+
+    Columns that were not delivered are marked. A plain folder of Parquet files is read as it is.
+    """
+    stored = store.find(spark, path, version)
+    rows = spark.read.schema(schema.CASES).parquet(stored.folder if stored else path)
+    rows = rows.select(*schema.CASE_COLUMNS)
+    return mark_absent(rows, stored.absent) if stored else rows
 
 
 def snapshot_freshness(df: DataFrame) -> DataFrame:
@@ -120,9 +138,10 @@ def snapshot_freshness(df: DataFrame) -> DataFrame:
 
 def path_freshness(spark: SparkSession, path: str) -> DataFrame:
     """The same from the file listing alone: the files themselves are not opened."""
+    stored = store.find(spark, path)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(path)
+        .load(stored.folder if stored else path)
         .agg(F.max("modificationTime").alias("modified_at"))
     )

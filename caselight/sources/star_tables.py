@@ -73,8 +73,41 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their order: keys, figures and ``registered_at``, no texts of dimensions yet.
+
+    The rows lie together by order.
+    """
+    orders = table(spark, sf_dir, "orders").hint("merge")
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey"))
+    return lines.selectExpr("*", f"{_REGISTERED_AT} AS registered_at", f"{_CASE_ID} AS case_id")
+
+
+def complete(lines: DataFrame, sf_dir: str) -> DataFrame:
+    """The ``cases`` of some ``lines_with_orders``: their dimensions are joined now."""
+    spark = lines.sparkSession
+    nation = table(spark, sf_dir, "nation")
+    customers = table(spark, sf_dir, "customer").join(
+        nation.selectExpr("n_nationkey AS site_key", "n_name AS site"), F.expr("c_nationkey = site_key")
+    )
+    suppliers = (
+        table(spark, sf_dir, "supplier")
+        .join(nation, F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    )
+    wide = (
+        lines.drop("registered_at", "case_id")
+        .join(suppliers, F.expr("l_suppkey = s_suppkey"))
+        .join(customers, F.expr("o_custkey = c_custkey"))
+        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+    )
+    return wide.selectExpr(*CASE_EXPRESSIONS).selectExpr("*", *DERIVED_EXPRESSIONS)
+
+
+_CASE_ID = "l_orderkey * 10 + l_linenumber"
+_REGISTERED_AT = "o_orderdate + make_dt_interval(0, (l_linenumber * 3) % 24, cast(l_partkey % 60 AS int), 0)"
 CASE_EXPRESSIONS = (
-    "l_orderkey * 10 + l_linenumber AS case_id",
+    f"{_CASE_ID} AS case_id",
     "r_name AS area",
     "if(n_nationkey = 7, '', n_name) AS grp",
     "c_mktsegment AS subgrp",
@@ -100,8 +133,7 @@ CASE_EXPRESSIONS = (
     "cast(l_quantity * 60 AS int) AS elapsed_minutes",
     "p_size * 60 AS sla_minutes",
     "if(l_quantity <= p_size, 1, 0) AS met_sla",
-    """o_orderdate + make_dt_interval(0, (l_linenumber * 3) % 24, cast(l_partkey % 60 AS int), 0)
-         AS registered_at""",
+    f"{_REGISTERED_AT} AS registered_at",
     "if(round(l_discount * 100) < 5, 1, 0) AS due_in_month",
     "if(round(l_discount * 100) = 10, 1, 0) AS overdue_prev_months",
     "if(round(l_tax * 100) = 6, 1, 0) AS closed_early_prev",

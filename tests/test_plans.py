@@ -86,3 +86,67 @@ def test_an_area_is_chosen_before_lines_meet_orders(spark):
         for key in ("l_suppkey", "l_orderkey", "n_regionkey")
     }
     assert depth["l_orderkey"] < depth["l_suppkey"] < depth["n_regionkey"]
+
+
+def _final(df):
+    """The final plan alone, without the plans it grew from."""
+    df.collect()
+    kept, hidden = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :|"))
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = depth if "== Initial Plan ==" in line else None
+        if hidden is None:
+            kept.append(line)
+    return "\n".join(kept)
+
+
+def _snapshot(spark, tmp_path):
+    from caselight.sources import readers
+
+    path = str(tmp_path / "snapshot")
+    star_tables.cases(spark, SMALL).select(*readers.schema.CASE_COLUMNS).write.parquet(path)
+    return prepare.with_missed(readers.read_snapshot(spark, path))
+
+
+@pytest.mark.parametrize("level", ["area", "subgroup", "specialist_category", "service_category", "total"])
+def test_share_of_total_of_one_area_from_one_scan(spark, tmp_path, level):
+    from caselight.operators import detail
+
+    cases = _snapshot(spark, tmp_path)
+    shared = detail.indicator_detail(cases, level, "ASIA", ordered=False, shared_scan=True)
+    apart = detail.indicator_detail(cases, level, "ASIA", ordered=False)
+    assert sorted(map(str, shared.collect())) == sorted(map(str, apart.collect()))
+    if level != "total":
+        text = _final(shared)
+        assert text.count("FileScan parquet") == 1 and "ReusedExchange" in text
+        assert shared.count() > 0
+
+
+def _below(text, node):
+    """The part of a plan under the first line with that node."""
+    lines = text.splitlines()
+    depths = [len(line) - len(line.lstrip(" :|+-*(0123456789)")) for line in lines]
+    at = next(i for i, line in enumerate(lines) if node in line)
+    end = next((i for i in range(at + 1, len(lines)) if depths[i] <= depths[at]), len(lines))
+    return "\n".join(lines[at:end])
+
+
+@pytest.mark.parametrize("name, shuffles", [("dedup_cases", 3), ("dedup_cases_in_place", 2)])
+def test_first_rows_are_chosen_before_texts_are_joined(spark, name, shuffles):
+    below = _below(plan(spark, name), "Window [")
+    # Lines and orders are brought together; by their own key the lines then need no third shuffle.
+    assert below.count("- Exchange") == shuffles
+    assert "hashpartitioning(l_orderkey" in below and "lineitem.parquet" in below
+    assert not any(text in below for text in ("p_name", "s_name", "c_name", "r_name"))
+
+
+@pytest.mark.parametrize("name", ["running_compliance", "running_compliance_area"])
+def test_running_compliance_gathers_no_area_days(spark, name):
+    text = plan(spark, name)
+    singles = [line for line in text.splitlines() if "Exchange SinglePartition" in line]
+    # The only rows that meet in one place are the last buckets of the tasks.
+    after = [text.splitlines()[text.splitlines().index(line) + 1] for line in singles]
+    assert all("partial_max" in line for line in after)
+    assert "collect_set" not in text

@@ -158,3 +158,20 @@ def test_running_compliance_needs_no_more_than_areas_times_days(spark):
         children = p.children()
         stack += [children.apply(i) for i in range(children.size())]
     assert 0 < entries <= 3 * 201 * 300
+
+
+def test_running_compliance_over_a_long_calendar(make_cases):
+    """Days before 1970 and far ahead, areas without a name, and buckets without a solve day."""
+    days = [datetime(1969, 12, 30), datetime(1970, 1, 2), datetime(2016, 6, 5), datetime(9999, 12, 31)]
+    rows = [
+        dict(area="A", solved_at=days[1]), dict(area="A", solved_at=days[3]),
+        dict(area=None, solved_at=days[0]), dict(area="B", solved_at=days[2]),
+    ]
+    cases = make_cases(*[{**r, "inclusion": "INCLUDED", "met_sla": 0, "closed_in_period": 1} for r in rows])
+    got = {(r.area, r.solved_on.year): r.missed for r in series.running_compliance(cases).collect()}
+    assert got == {
+        (None, 1969): 1, (None, 1970): 1, (None, 2016): 1, (None, 9999): 1,
+        ("A", 1970): 1, ("A", 2016): 1, ("A", 9999): 2, ("B", 2016): 1, ("B", 9999): 1,
+        ("TOTAL", 1969): 1, ("TOTAL", 1970): 2, ("TOTAL", 2016): 3, ("TOTAL", 9999): 4,
+    }
+    assert series.running_compliance(cases.limit(0)).count() == 0

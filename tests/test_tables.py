@@ -169,3 +169,29 @@ def test_lists_of_open_cases(make_cases):
     matrix = {(r.state, r.specialist): r.total for r in pivot.state_matrix(cases, "A").collect()}
     assert matrix == {("OPEN", ""): 2}
     assert lists.case_listing(cases).columns == list(schema.CASE_COLUMNS)
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "int", "double", "timestamp_ntz"])
+def test_distinct_counts_by_sketch(spark, kind):
+    """Subtotals of the sketch against exact ones: hot group, shared values, missing ones."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 40)).alias("area"),
+        (F.col("id") % 2).cast("string").alias("grp"),
+        F.when(F.col("id") % 7 > 0, F.timestamp_seconds(F.col("id") % 9000) if kind == "timestamp_ntz" else F.col("id") % 9000)
+        .cast(kind)
+        .alias("who"),
+    )
+    both = {}
+    for agg in ("count_distinct", "count_distinct_sketch"):
+        found = pivot.pivot_summary(rows, ["area", "grp"], {"grp": ["0", "1"]} if kind == "int" else None, "who", agg)
+        last = found.columns[-1]
+        both[agg] = {(r.area, r.grp, r.level): r[last] for r in found.collect()}
+    exact, rough = both["count_distinct"], both["count_distinct_sketch"]
+    assert exact.keys() == rough.keys() and len(exact) > 50
+    assert all(abs(rough[k] - n) <= 4 * 0.0130 * n for k, n in exact.items())
+    # More registers, less error; a group without values counts nothing.
+    finer = pivot.pivot_summary(rows, ["area"], None, "who", "count_distinct_sketch", sketch_bits=18)
+    total = next(r.who for r in finer.collect() if r.level == 1)
+    assert abs(total - exact[(None, None, 2)]) <= 0.01 * total
+    none = rows.withColumn("who", F.lit(None).cast(kind))
+    assert {r.who for r in pivot.pivot_summary(none, ["area"], None, "who", "count_distinct_sketch").collect()} == {0}
