@@ -53,8 +53,11 @@ def backlog_by_area(cases: DataFrame) -> DataFrame:
 
 
 def join_capacity(backlog: DataFrame, capacity: DataFrame, as_of: date) -> DataFrame:
-    """Backlog per area with the capacity left on the day; areas in one table only drop out."""
-    today = capacity.filter(F.col("day") == as_of.day).select("area", "p0")
+    """Backlog per area with the capacity left on the day; areas in one table only drop out.
+
+    Of repeated rows of an area and day the largest counts, as in the outlook.
+    """
+    today = capacity.filter(F.col("day") == as_of.day).groupBy("area").agg(F.max("p0").alias("p0"))
     return backlog.join(today, "area", "inner")
 
 

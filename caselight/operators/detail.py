@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.functions.columns import ratio
+from caselight.functions.columns import percent_text, ratio
 from caselight.functions.contract import require
 
 
@@ -117,3 +117,12 @@ def indicator_detail(
         out += [ratio(within_sla, base).alias("ies_est"), ratio(handled, base).alias("ies2")]
     table = groups.select(*out)
     return table.orderBy(F.desc("missed"), *spec.keys) if ordered and spec.keys else table
+
+
+SHARES = ("prop_cases", "prop_total", "ics", "ics_est", "ies_est", "ies2")
+
+
+def as_shown(table: DataFrame) -> DataFrame:
+    """An indicator table as it is listed: shares as percent text, blank where there is none."""
+    shown = {c: F.coalesce(percent_text(F.col(c)), F.lit("")) for c in SHARES if c in table.columns}
+    return table.withColumns(shown)

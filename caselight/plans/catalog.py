@@ -225,6 +225,7 @@ QUERIES: dict[str, Query] = {
     "detail_subgroup_area": _on_cases(
         lambda c: detail.indicator_detail(c, "subgroup", area=AREA)
     ),
+    "detail_shown": _on_cases(lambda c: detail.as_shown(detail.indicator_detail(c, "group"))),
     "detail_category_area": _on_cases(
         lambda c: detail.indicator_detail(c, "service_category", area=AREA, shared_scan=True)
     ),

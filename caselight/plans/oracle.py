@@ -290,6 +290,11 @@ def _detail(name: str, having: str = "") -> str:
     return _sql(f"SELECT {keys + ', ' if keys else ''}{', '.join(out)} FROM cases{group}{having}")
 
 
+def _percent(share: str) -> str:
+    number = f"CAST(CAST(round_even({share} * 100, 2) AS DOUBLE) AS VARCHAR)"
+    return f"coalesce(regexp_replace({number}, '\\.0$', '') || '%', '')"
+
+
 def _pivot(where: str = "TRUE") -> str:
     return _sql(
         "SELECT area, grp, subgrp,"
@@ -486,6 +491,9 @@ FROM (
         SCORED,
     ),
     **{f"detail_{name}": _detail(name) for name in DETAIL_KEYS},
+    "detail_shown": "SELECT area, grp, missed, cases, "
+    + ", ".join(f"{_percent(c)} AS {c}" for c in ("prop_cases", "prop_total", "ics", "ics_est", "ies_est", "ies2"))
+    + f" FROM ({_detail('group')})",
     "detail_category_area": _detail("service_category", " HAVING area = 'ASIA' AND sum(missed) > 0"),
     "detail_subgroup_area": _detail("subgroup", " HAVING area = 'ASIA'"),
     "active_backlog": _sql(

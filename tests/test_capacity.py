@@ -108,3 +108,12 @@ def test_scorecard_agrees_with_single_indicators(spark, small_cases):
             assert [row[n] for n in names] == [card[area][n] for n in names]
     total_only = kpi.kpi_speed(small_cases).first()
     assert total_only.ivs == card["TOTAL"].ivs
+
+
+def test_repeated_capacity_rows_do_not_multiply_the_backlog(spark, make_cases):
+    cases = make_cases({"area": "A"}, {"area": "A"}, {"area": "B"})
+    rows = [("A", 15, 3.0), ("A", 15, 7.0), ("A", 15, None), ("B", 14, 1.0), ("B", 15, 2.0)]
+    caps = spark.createDataFrame(rows, schema.CAPACITY)
+    backlog = cap.backlog_by_area(cases).select("area", "total")
+    joined = cap.join_capacity(backlog, caps, date(2016, 6, 15)).collect()
+    assert sorted(tuple(r) for r in joined) == [("A", 2, 7.0), ("B", 1, 2.0)]
