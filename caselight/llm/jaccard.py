@@ -2,9 +2,11 @@
 
 Method: rare-first prefix filtering. The n-grams of a set are put into one order for all sets, rare
 ones first; two sets that are similar enough must share one of their first few. Sets that meet at
-such an n-gram must pass the length filter, the positional filter and a suffix filter (a lower
-bound of the sets' difference from how their n-grams fall into a few classes) before their texts
-are compared, once per pair.
+such an n-gram must pass the length filter, the positional filter and a suffix filter before their
+texts are compared, once per pair. The suffix filter is a lower bound of the sets' difference: n-grams
+fall by their hash into classes, one for every one or two n-grams of the set, and of each class
+one bit tells whether its number is odd. Two sets differ by at least one n-gram for each class in which their bits
+differ. Of two sets with different numbers of classes the larger one's classes are folded.
 
 Sets that are equal are one node from the start, so copies cost nothing. Links matter only for
 the groups they form, so a large group of near copies is not compared pair by pair: at each n-gram a
@@ -38,15 +40,16 @@ from caselight.llm.shared import checkpointed, identified
 WORDS = 3
 #: Similarity in hundredths.
 LEAST = 90
-#: Places of the count table, each four bytes, and classes of the suffix filter.
+#: Places of the count table, each four bytes.
 PLACES = 1 << 18
-CLASSES = 8
+#: Fewest classes of the suffix filter, a power of two; larger sets have as many as they need.
+CLASSES = 256
 #: Bits of the table that tells most texts without a candidate apart before they are shuffled.
 BITS = 1 << 26
 #: Rounds in which every node is compared with one partner of another group at each n-gram.
 ROUNDS = 1
 #: Pairs compared at once inside a task.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 _HASH = prefix_hash(6)
 
 
@@ -86,6 +89,20 @@ def _nodes(row: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return scramble(total + size.astype(np.uint64), 8).view(np.int64), size
 
 
+def _odd_classes(row: np.ndarray, gram: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """One bit for each class of each row's set: whether it has an odd number of n-grams.
+
+    A set has ``CLASSES`` classes, or the least power of two with one class for each two n-grams.
+    """
+    exponent = np.ceil(np.log2(np.maximum(size, 1) / 2)).clip(min=0).astype(np.int64)
+    n = np.maximum(CLASSES, np.left_shift(1, exponent))
+    ends = np.cumsum(n)
+    kind = (scramble(gram, 9) & (n[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount((ends - n)[row] + kind, minlength=int(ends[-1]) if len(ends) else 0) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [packed[e // 8 - k // 8 : e // 8].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
+
+
 def _named_sets(docs: DataFrame, words: int) -> DataFrame:
     """d, tie, node, size of each document; no node for an empty set."""
 
@@ -140,9 +157,7 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
                 chosen = np.zeros(last - first, bool)
                 chosen[once] = size[once] > 0
                 row, gram = row[chosen[row]], gram[chosen[row]]
-                kind = (scramble(gram, 9) % np.uint64(CLASSES)).astype(np.int64)
-                classes = np.bincount(row * CLASSES + kind, minlength=(last - first) * CLASSES)
-                classes = np.minimum(classes, 255).astype(np.uint8).reshape(-1, CLASSES)
+                classes = _odd_classes(row, gram, np.where(chosen, size, 0))
                 order = np.lexsort((gram, often[(gram % np.uint64(PLACES)).astype(np.int64)], row))
                 row, gram = row[order], gram[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -151,7 +166,7 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((gram >> np.uint64(16)).view(np.int64)), pa.array(node[row]), pa.array(size[row], pa.int32()),
-                        pa.array(place, pa.int32()), pa.array([x.tobytes() for x in classes], pa.binary()).take(pa.array(row)),
+                        pa.array(place, pa.int32()), pa.array(classes, pa.binary()).take(pa.array(row)),
                     ],
                     ["gram", "node", "size", "place", "classes"],
                 )
@@ -181,23 +196,51 @@ def _bit_table(nodes: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
+class _Classes:
+    """Bits of the suffix filter of several sets, at each number of classes that a pair may need."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.words = np.array([len(x) // 8 for x in bits], np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for words in np.unique(self.words).tolist():
+            # Sets with as many classes, and those with more, folded.
+            rows = np.flatnonzero(self.words >= words)
+            folded = np.zeros((len(rows), words), np.uint64)
+            for many in np.unique(self.words[rows]).tolist():
+                those = np.flatnonzero(self.words[rows] == many)
+                joined = b"".join(bits[i] for i in rows[those])
+                parts = np.frombuffer(joined, np.uint64).reshape(len(those), many // words, words)
+                folded[those] = np.bitwise_xor.reduce(parts, axis=1)
+            place = np.full(len(bits), -1, np.int64)
+            place[rows] = np.arange(len(rows))
+            self.at[words] = place, folded
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many n-grams the sets of each pair of positions differ by, at least."""
+        fewer = np.minimum(self.words[a], self.words[b])
+        out = np.zeros(len(a), np.int64)
+        for words, (place, folded) in self.at.items():
+            here = np.flatnonzero(fewer == words)
+            for some in np.array_split(here, max(1, len(here) * words >> 20)):
+                odd = folded[place[a[some]]] ^ folded[place[b[some]]]
+                out[some] = np.bitwise_count(odd).sum(axis=1, dtype=np.int64)
+        return out
+
+
 class _Group:
     """Nodes that meet at one n-gram, in arrays."""
 
     def __init__(self, least: int) -> None:
         self.least = least
 
-    def fits(self, size, place, classes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def fits(self, size, place, classes: _Classes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pairs of positions pass all filters."""
         larger, smaller = np.maximum(size[a], size[b]), np.minimum(size[a], size[b])
         both = size[a] + size[b]
         needed = -(-self.least * both // (100 + self.least))
         good = (100 * smaller >= self.least * larger) & (np.minimum(size[a] - place[a], size[b] - place[b]) >= needed)
         left = np.flatnonzero(good)
-        apart = np.abs(classes[a[left]] - classes[b[left]]).sum(axis=1)
-        # A class that is full says nothing.
-        full = (classes[a[left]] == 255).any(axis=1) | (classes[b[left]] == 255).any(axis=1)
-        good[left] = full | (apart <= both[left] - 2 * needed[left])
+        good[left] = classes.apart(a[left], b[left]) <= both[left] - 2 * needed[left]
         return good
 
 
@@ -231,8 +274,7 @@ def _by_group(batches):
 
 def _arrays(group: pa.Table):
     size, place = (np.asarray(group[c]).astype(np.int64) for c in ("size", "place"))
-    joined = b"".join(group["classes"].to_pylist())
-    return np.asarray(group["node"]), size, place, np.frombuffer(joined, np.uint8).reshape(-1, CLASSES).astype(np.int64)
+    return np.asarray(group["node"]), size, place, _Classes(group["classes"].to_pylist())
 
 
 _ENTRY = "gram long, node long, size int, place int, classes binary"
@@ -331,7 +373,7 @@ def _split(row: np.ndarray, gram: np.ndarray, rows: int) -> list[np.ndarray]:
     return np.split(gram, np.searchsorted(row, np.arange(1, rows)))
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, part: the smallest node that is reachable, for every node that has a link.
 
     Each round takes the smallest label among a node's own and its neighbours', and then that
@@ -341,7 +383,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     loops = one.union(other).select("x", F.col("x").alias("y"))
     both = checkpointed(one.union(other).union(loops).distinct())
     labels = checkpointed(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("part")))
-    for _ in range(rounds):
+    while True:
         own = F.max(F.when(F.col("x") == F.col("y"), F.col("part")))
         lower = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("part").alias("mid"), own.alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("part").alias("jump"))
@@ -349,7 +391,6 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         labels = new.select(F.col("x").alias("node"), F.col("jump").alias("part"))
         if new.filter("jump <> old").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
