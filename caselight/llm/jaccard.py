@@ -48,7 +48,8 @@ CLASSES = 256
 BITS = 1 << 26
 #: Rounds in which every node is compared with one partner of another group at each n-gram.
 ROUNDS = 1
-#: Pairs compared at once inside a task.
+#: Rows of n-gram groups that a task takes at once (a larger group is taken whole), and pairs that it compares at once.
+ROWS = 1 << 16
 PAIRS = 1 << 18
 _HASH = prefix_hash(6)
 
@@ -144,7 +145,7 @@ def _counts(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> DataFrame:
-    """gram, node, size, place, classes: the first n-grams of each set in the common order."""
+    """gram, node, size, place: the first n-grams of each set in the common order."""
     table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -157,7 +158,6 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
                 chosen = np.zeros(last - first, bool)
                 chosen[once] = size[once] > 0
                 row, gram = row[chosen[row]], gram[chosen[row]]
-                classes = _odd_classes(row, gram, np.where(chosen, size, 0))
                 order = np.lexsort((gram, often[(gram % np.uint64(PLACES)).astype(np.int64)], row))
                 row, gram = row[order], gram[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -166,12 +166,30 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((gram >> np.uint64(16)).view(np.int64)), pa.array(node[row]), pa.array(size[row], pa.int32()),
-                        pa.array(place, pa.int32()), pa.array(classes, pa.binary()).take(pa.array(row)),
+                        pa.array(place, pa.int32()),
                     ],
-                    ["gram", "node", "size", "place", "classes"],
+                    ["gram", "node", "size", "place"],
                 )
 
-    return docs.mapInArrow(run, "gram long, node long, size int, place int, classes binary")
+    return docs.mapInArrow(run, "gram long, node long, size int, place int")
+
+
+def _classes(docs: DataFrame, words: int) -> DataFrame:
+    """node, classes: the bits of each different set's classes, once."""
+
+    def run(batches):
+        for batch in batches:
+            for first, last, data, bounds in text_slices(batch.column(2)):
+                row, gram = _sets(data, bounds, words)
+                node, size = _nodes(row, gram, last - first)
+                bits = _odd_classes(row, gram, size)
+                _, once = np.unique(node, return_index=True)
+                at = pa.array(once[size[once] > 0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node).take(at), pa.array(bits, pa.binary()).take(at)], ["node", "classes"]
+                )
+
+    return docs.mapInArrow(run, "node long, classes binary").groupBy("node").agg(F.first("classes").alias("classes"))
 
 
 def _bit_table(nodes: DataFrame) -> np.ndarray:
@@ -199,8 +217,10 @@ def _bit_table(nodes: DataFrame) -> np.ndarray:
 class _Classes:
     """Bits of the suffix filter of several sets, at each number of classes that a pair may need."""
 
-    def __init__(self, bits: list[bytes]) -> None:
-        self.words = np.array([len(x) // 8 for x in bits], np.int64)
+    def __init__(self, bits: pa.Array) -> None:
+        offsets = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1]
+        data = np.frombuffer(bits.buffers()[2] or b"", np.uint8)
+        self.words = np.diff(offsets).astype(np.int64) // 8
         self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for words in np.unique(self.words).tolist():
             # Sets with as many classes, and those with more, folded.
@@ -208,9 +228,8 @@ class _Classes:
             folded = np.zeros((len(rows), words), np.uint64)
             for many in np.unique(self.words[rows]).tolist():
                 those = np.flatnonzero(self.words[rows] == many)
-                joined = b"".join(bits[i] for i in rows[those])
-                parts = np.frombuffer(joined, np.uint64).reshape(len(those), many // words, words)
-                folded[those] = np.bitwise_xor.reduce(parts, axis=1)
+                parts = data[offsets[rows[those]][:, None] + np.arange(8 * many)].view(np.uint64)
+                folded[those] = np.bitwise_xor.reduce(parts.reshape(len(those), many // words, words), axis=1)
             place = np.full(len(bits), -1, np.int64)
             place[rows] = np.arange(len(rows))
             self.at[words] = place, folded
@@ -227,54 +246,74 @@ class _Classes:
         return out
 
 
-class _Group:
-    """Nodes that meet at one n-gram, in arrays."""
-
-    def __init__(self, least: int) -> None:
-        self.least = least
-
-    def fits(self, size, place, classes: _Classes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether pairs of positions pass all filters."""
-        larger, smaller = np.maximum(size[a], size[b]), np.minimum(size[a], size[b])
-        both = size[a] + size[b]
-        needed = -(-self.least * both // (100 + self.least))
-        good = (100 * smaller >= self.least * larger) & (np.minimum(size[a] - place[a], size[b] - place[b]) >= needed)
-        left = np.flatnonzero(good)
-        good[left] = classes.apart(a[left], b[left]) <= both[left] - 2 * needed[left]
-        return good
-
-
-def _blocks(n: int):
-    """Pairs (later, earlier) of positions below n, a bounded number at a time."""
-    at = 1
-    while at < n:
-        rows = min(n - at, max(1, PAIRS // (at + 1000)))
-        a = np.repeat(np.arange(at, at + rows), np.arange(at, at + rows))
-        b = np.concatenate([np.arange(i) for i in range(at, at + rows)])
-        yield a, b
-        at += rows
-
-
-def _by_group(batches):
-    """Columns of each run of rows with an equal first column; only one run is held."""
+def _whole_groups(batches):
+    """Tables of whole groups of rows with an equal first column, many small groups at once."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.asarray(batch.column(0))
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for begin, end in zip(cuts, cuts[1:], strict=False):
-            if held and held[0].column(0)[0].as_py() != key[begin]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(begin, end - begin))
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            key = np.asarray(batch.column(0))
+            cut = int(np.searchsorted(key, key[-1]))
+            # The last group may go on in the next batch; all of this batch may belong to it.
+            if cut == 0 and held[0].column(0)[0].as_py() == key[-1]:
+                continue
+            if cut:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+            else:
+                whole = pa.Table.from_batches(held)
+                keys = np.asarray(whole.column(0))
+                cut = int(np.searchsorted(keys, keys[-1]))
+                yield whole.slice(0, cut)
+                held = whole.slice(cut).combine_chunks().to_batches()
+            rows = sum(b.num_rows for b in held)
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _arrays(group: pa.Table):
-    size, place = (np.asarray(group[c]).astype(np.int64) for c in ("size", "place"))
-    return np.asarray(group["node"]), size, place, _Classes(group["classes"].to_pylist())
+class _Meetings:
+    """Rows (gram, node, size, place, classes), sorted by gram and size, and their pairs in equal groups."""
+
+    def __init__(self, rows: pa.Table, least: int) -> None:
+        self.least = least
+        self.node = np.asarray(rows["node"])
+        self.size, self.place = (np.asarray(rows[c]).astype(np.int64) for c in ("size", "place"))
+        self.classes = _Classes(rows["classes"].combine_chunks())
+        gram = np.asarray(rows["gram"])
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        self.number = np.arange(len(gram)) - np.repeat(first, np.diff(np.r_[first, len(gram)]))
+
+    def pairs(self, part: np.ndarray | None = None):
+        """Positions (later, earlier) of pairs that pass all filters, each at most once.
+
+        A step takes each row with the one so many rows before it; earlier rows of a group are smaller, so a row
+        is done with once one of them is too small. With parts, only pairs of different ones.
+        """
+        a, step = np.arange(len(self.node)), 1
+        while True:
+            a = a[self.number[a] >= step]
+            a = a[100 * self.size[a - step] >= self.least * self.size[a]]
+            if not len(a):
+                return
+            for some in np.array_split(a, max(1, len(a) // PAIRS)):
+                if part is not None:
+                    some = some[part[some] != part[some - step]]
+                some = some[self._fits(some, some - step)]
+                yield some, some - step
+            step += 1
+
+    def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size, place = self.size, self.place
+        both = size[a] + size[b]
+        needed = -(-self.least * both // (100 + self.least))
+        good = np.minimum(size[a] - place[a], size[b] - place[b]) >= needed
+        left = np.flatnonzero(good)
+        good[left] = self.classes.apart(a[left], b[left]) <= both[left] - 2 * needed[left]
+        return good
 
 
 _ENTRY = "gram long, node long, size int, place int, classes binary"
@@ -284,30 +323,16 @@ def _with_partner(least: int):
     """Rows of a group that can match another one, each with the earliest that it can match."""
 
     def run(batches):
-        check = _Group(least)
-        kept = []
-        for group in _by_group(batches):
-            # A set that several batches have sent stands in neighbouring rows.
-            node = np.asarray(group["node"])
-            group = group.take(np.flatnonzero(np.r_[True, node[1:] != node[:-1]]))
-            if group.num_rows > 1:
-                node, size, place, classes = _arrays(group)
-                partner = np.full(len(node), -1, np.int64)
-                wanted = np.zeros(len(node), bool)
-                for a, b in _blocks(len(node)):
-                    a, b = (x[check.fits(size, place, classes, a, b)] for x in (a, b))
-                    later, first = np.unique(a, return_index=True)
-                    partner[later] = b[first]
-                    wanted[a] = wanted[b] = True
-                if wanted.any():
-                    at = np.flatnonzero(wanted)
-                    names = pa.array(node[np.maximum(partner[at], 0)], mask=partner[at] < 0)
-                    kept.append(group.take(at).append_column("partner", names))
-            if len(kept) >= 1000:
-                yield from pa.concat_tables(kept).combine_chunks().to_batches()
-                kept = []
-        if kept:
-            yield from pa.concat_tables(kept).combine_chunks().to_batches()
+        for rows in _whole_groups(batches):
+            met = _Meetings(rows, least)
+            partner = np.full(rows.num_rows, -1, np.int64)
+            wanted = np.zeros(rows.num_rows, bool)
+            for later, earlier in met.pairs():
+                partner[later] = earlier
+                wanted[later] = wanted[earlier] = True
+            at = np.flatnonzero(wanted)
+            names = pa.array(met.node[np.maximum(partner[at], 0)], mask=partner[at] < 0)
+            yield from rows.take(at).append_column("partner", names).combine_chunks().to_batches()
 
     return run
 
@@ -319,27 +344,19 @@ def _across(least: int, turn: int | None):
     """
 
     def run(batches):
-        check = _Group(least)
-        for group in _by_group(batches):
-            node, size, place, classes = _arrays(group)
-            part = np.asarray(group["part"])
-
-            def pairs():
-                for a, b in _blocks(len(node)):
-                    apart = part[a] != part[b]
-                    a, b = a[apart], b[apart]
-                    good = check.fits(size, place, classes, a, b)
-                    yield a[good], b[good]
+        for rows in _whole_groups(batches):
+            met, part = _Meetings(rows, least), np.asarray(rows["part"])
+            node = met.node
 
             def order(a, b):
                 return scramble((node[a] ^ node[b]).view(np.uint64), 20 + turn)
 
             if turn is not None:
                 best = np.full(len(node), np.uint64((1 << 64) - 1))
-                for a, b in pairs():
-                    np.minimum.at(best, a, order(a, b))
-                    np.minimum.at(best, b, order(a, b))
-            for a, b in pairs():
+                for a, b in met.pairs(part):  # in one step no row stands twice on a side
+                    best[a] = np.minimum(best[a], order(a, b))
+                    best[b] = np.minimum(best[b], order(a, b))
+            for a, b in met.pairs(part):
                 if turn is not None:
                     first = (order(a, b) == best[a]) | (order(a, b) == best[b])
                     a, b = a[first], b[first]
@@ -366,7 +383,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> Dat
                 yield part.filter(pa.array(same, pa.bool_())).select([0, 1])
 
     first, second = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in ("x", "y"))
-    return pairs.join(first, "x").join(second, "y").select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
+    # Texts are never broadcast: nothing bounds them.
+    both = pairs.join(first.hint("merge"), "x").join(second.hint("merge"), "y")
+    return both.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
 
 
 def _split(row: np.ndarray, gram: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -399,8 +418,12 @@ def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
     entries = _prefixes(rows, words, least, _counts(rows, words))
     one_gram = Window.partitionBy("gram")
     meeting = entries.withColumn("meets", F.min("node").over(one_gram) != F.max("node").over(one_gram)).filter("meets")
+    # Only rows that meet get their set's classes; a set that several batches have sent counts once.
+    meeting = meeting.select("gram", "node", "size", "place").dropDuplicates(["gram", "node"])
     candidates = checkpointed(
-        meeting.drop("meets")
+        meeting.join(_classes(rows, words).hint("merge"), "node")
+        .select("gram", "node", "size", "place", "classes")
+        .repartition("gram")
         .sortWithinPartitions("gram", "size", "node")
         .mapInArrow(_with_partner(least), _ENTRY + ", partner long")
     )

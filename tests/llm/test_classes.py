@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from documents_fixture import make_docs  # noqa: F401
 
@@ -20,7 +21,7 @@ def test_bound_of_the_difference(size):
     sets = [s for s in sets if len(s)]
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
-    classes = jaccard._Classes(jaccard._odd_classes(row, np.concatenate(sets), sizes))
+    classes = jaccard._Classes(pa.array(jaccard._odd_classes(row, np.concatenate(sets), sizes), pa.binary()))
     a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
     bound = classes.apart(a, b)
     true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
@@ -50,3 +51,14 @@ def test_many_different_sets_at_one_rare_ngram(make_docs, monkeypatch):
     monkeypatch.setattr(jaccard, "_compared", counted)
     found = jaccard.groups(make_docs(*rows)).collect()
     assert all(r.component_id == r.doc_id for r in found) and sum(compared) < 50
+
+
+def test_groups_come_whole_and_once():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 30, 400).tolist() + [150_000, 3, 70_000, 1]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    for width in (1000, 40_000, len(key)):
+        batches = [pa.RecordBatch.from_pydict({"gram": key[i : i + width]}) for i in range(0, len(key), width)]
+        tables = [np.asarray(t["gram"]) for t in jaccard._whole_groups(iter(batches))]
+        assert np.array_equal(np.concatenate(tables), key)
+        assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
