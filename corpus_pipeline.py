@@ -2,7 +2,7 @@
 
 toxicity    documents scored as toxic go; learnt from the labels beside the documents;
             all stay where no labelled document or only one class was there to learn from
-line dedup  lines that repeat an earlier one, exactly or by a small edit, are cut out
+line dedup  lines that repeat an earlier one, exactly or by a small edit, are cut out, however short
 near dedup  of each group of documents with nearly equal word n-grams one stays: five words, similarity
             0.8 or more
 pii         personal data and secrets in the texts are replaced by their kind
@@ -43,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
-    return _measured(lines.drop_repeated_lines(docs), docs.columns)
+    return _measured(lines.drop_repeated_lines(docs, least_bytes=None), docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
