@@ -31,6 +31,8 @@ from caselight.llm.bytewise import lower_ascii, owners, prefix_hash, runs, scram
 
 SAMPLE = 8192
 FEATURES = 512
+#: Labelled texts whose features are held at once.
+PORTION = 256
 RIDGE = 0.5
 COUNTERFACTUAL = 10.0
 #: Lengths in bytes of the word beginnings that are features.
@@ -122,13 +124,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _telling(sets: list[np.ndarray], label: np.ndarray, most: int) -> np.ndarray:
+def _portions(texts: list[str]):
+    """Texts a few at a time, with the number of the first one: their features are many times as large as they."""
+    for at in range(0, len(texts), PORTION):
+        yield at, texts[at : at + PORTION]
+
+
+def _telling(texts: list[str], label: np.ndarray, most: int) -> np.ndarray:
     """The features whose frequency differs most between the classes, in standard deviations."""
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    own = np.repeat(label, [len(s) for s in sets])
-    names, where = np.unique(flat, return_inverse=True)
-    seen = np.bincount(where, minlength=len(names)).astype(float)
-    toxic = np.bincount(where, own, len(names))
+    names, seen, toxic = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for at, some in _portions(texts):
+        sets = _feature_sets(some)
+        own = np.repeat(label[at : at + len(some)], [len(s) for s in sets])
+        names, where = np.unique(np.concatenate([names, *sets]), return_inverse=True)
+        seen = np.bincount(where, np.r_[seen, np.ones(len(own))], len(names))
+        toxic = np.bincount(where, np.r_[toxic, own], len(names))
     share = label.mean()
     differs = (toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1e-9)
     kept = np.flatnonzero((seen >= 3) & (np.abs(differs) > 3))
@@ -136,6 +146,16 @@ def _telling(sets: list[np.ndarray], label: np.ndarray, most: int) -> np.ndarray
     return np.sort(names[kept])
 
 
+def _twins_apart(texts: list[str], x: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The rows' features less those of their twins with other group terms."""
+    parts = [np.zeros((0, x.shape[1]))]
+    for at, some in _portions(texts):
+        twins = [(at + i, t) for i, text in enumerate(some) for turn in (1, 2) if (t := swapped(text, turn)) is not None]
+        if twins:
+            parts.append(x[[i for i, _ in twins]] - _matrix(_feature_sets([t for _, t in twins]), features))
+    return np.concatenate(parts)
+
+
 def _matrix(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
     out = np.zeros((len(sets), len(features) + 1), np.float64)
     out[:, -1] = 1
@@ -152,13 +172,11 @@ def fit_rows(texts: list[str], labels: list[int], most: int, ridge: float, count
     if not len(label) or label.min() == label.max():
         bias = 0.0 if not len(label) else float(label[0] * 8 - 4)
         return Model(np.zeros(0, np.uint64), np.zeros(0), bias, learnt=False)
-    sets = _feature_sets(texts)
-    features = _telling(sets, label, most)
-    x = _matrix(sets, features)
-    twins = [(i, t) for i, text in enumerate(texts) for turn in (1, 2) if (t := swapped(text, turn)) is not None]
-    apart = x[[i for i, _ in twins]] - _matrix(_feature_sets([t for _, t in twins]), features)
+    features = _telling(texts, label, most)
+    x = np.concatenate([_matrix(_feature_sets(some), features) for _, some in _portions(texts)])
+    apart = _twins_apart(texts, x, features)
     penalty = np.diag(np.r_[np.full(len(features), ridge), 1e-6])
-    if len(twins):
+    if len(apart):
         penalty += counterfactual * apart.T @ apart
     w = np.zeros(x.shape[1])
     for _ in range(25):
