@@ -1,9 +1,10 @@
 """Operator 3: document fingerprints that follow edits.
 
 Method: a homomorphic multiset hash. Each paragraph (line) of a text is hashed to a wide vector of
-16-bit numbers; a text's fingerprint is the sum of its paragraphs' vectors modulo 2^16. So the
+32-bit numbers; a text's fingerprint is the sum of its paragraphs' vectors modulo 2^32. So the
 order of paragraphs does not matter, and a paragraph is inserted or deleted by adding or
-subtracting its vector, without the rest of the text.
+subtracting its vector, without the rest of the text. A number of the second part keeps its sign
+up to 2^31 word pairs in one place, more than a text of 2 GB can hold.
 
 A vector has two parts. The first is the paragraph's digest, stretched: equal sums mean equal
 multisets of paragraphs. The second counts the paragraph's neighbouring word pairs with random
@@ -30,24 +31,24 @@ from pyspark.sql import functions as F
 
 from caselight.llm.bytewise import owners, prefix_hash, runs, scramble, text_slices
 
-#: 16-bit numbers of the two parts.
-DIGEST_LANES, PAIR_LANES = 64, 192
+#: 32-bit numbers of the two parts.
+DIGEST_LANES, PAIR_LANES = 32, 192
 ROWS_AT_ONCE = 256
 _HASH = prefix_hash(3)
 
 
 def _digest_part(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), DIGEST_LANES), np.uint16)
+    out = np.zeros((len(texts), DIGEST_LANES), np.uint32)
     for i, text in enumerate(texts):
-        digests = [hashlib.shake_128(p).digest(2 * DIGEST_LANES) for p in text.split(b"\n") if p]
+        digests = [hashlib.shake_128(p).digest(4 * DIGEST_LANES) for p in text.split(b"\n") if p]
         if digests:
-            vectors = np.frombuffer(b"".join(digests), "<u2").reshape(-1, DIGEST_LANES)
-            out[i] = vectors.sum(axis=0, dtype=np.uint16)
+            vectors = np.frombuffer(b"".join(digests), "<u4").reshape(-1, DIGEST_LANES)
+            out[i] = vectors.sum(axis=0, dtype=np.uint32)
     return out
 
 
 def _pair_part(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), PAIR_LANES), np.uint16)
+    out = np.zeros((len(texts), PAIR_LANES), np.uint32)
     for first, last, data, bounds in text_slices(pa.array(texts, pa.binary()).cast(pa.string())):
         space = (data == 32) | ((data >= 9) & (data <= 13))
         start, end = runs(~space, bounds)
@@ -63,21 +64,21 @@ def _pair_part(texts: list[bytes]) -> np.ndarray:
         lane = (pairs % np.uint64(PAIR_LANES)).astype(np.int64)
         sign = (pairs >> np.uint64(63)).astype(np.int64) * 2 - 1
         counts = np.bincount(row * PAIR_LANES + lane, sign, (last - first) * PAIR_LANES)
-        out[first:last] = counts.astype(np.int64).astype(np.uint16).reshape(-1, PAIR_LANES)
+        out[first:last] = counts.astype(np.int64).astype(np.uint32).reshape(-1, PAIR_LANES)
     return out
 
 
 def vectors(texts: list[bytes]) -> np.ndarray:
-    """One row of 16-bit numbers per UTF-8 text."""
+    """One row of 32-bit numbers per UTF-8 text."""
     return np.hstack([_digest_part(texts), _pair_part(texts)])
 
 
 def written(rows: np.ndarray) -> list[str]:
-    return [base64.b64encode(r.astype("<u2").tobytes()).decode() for r in rows]
+    return [base64.b64encode(r.astype("<u4").tobytes()).decode() for r in rows]
 
 
 def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), "<u2")
+    return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
 def inserted(fingerprint: str, paragraphs: str) -> str:
@@ -92,7 +93,7 @@ def deleted(fingerprint: str, paragraphs: str) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of rows; exactly 1 for equal ones."""
-    x, y = (m[:, DIGEST_LANES:].view(np.int16).astype(np.float64) for m in map(np.ascontiguousarray, (a, b)))
+    x, y = (m[:, DIGEST_LANES:].view(np.int32).astype(np.float64) for m in map(np.ascontiguousarray, (a, b)))
     size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size > 0)
     return np.where((a == b).all(axis=1), 1.0, np.clip(cosine, 0.0, 1.0))
@@ -120,7 +121,7 @@ def merged(prints: DataFrame, *keys: str) -> DataFrame:
     schema = prints.select(*keys, "fingerprint").schema
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([read(x) for x in frame["fingerprint"]], axis=0, dtype=np.uint16)
+        total = np.sum([read(x) for x in frame["fingerprint"]], axis=0, dtype=np.uint32)
         return frame[list(keys)].head(1).assign(fingerprint=written(total[None]))
 
     def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
