@@ -17,7 +17,10 @@ dropped if it is equal to an earlier one, whatever its length, or if both have m
 
 Keys and hashes of all lines are shuffled, texts only once. Repeats of a line within a batch are
 dropped before that, so a line in a third of all documents costs a row per batch. Lines under one
-key share length and a segment; a key's lines are compared in the order of their occurrence.
+key share length and a segment; a key's lines are compared in the order of their occurrence. Where
+many different lines share a key, as machine-written ones do, they are dealt by a hash into blocks
+of about ``BLOCK`` lines, and every pair of blocks is compared by a task of its own, all pairs of lines
+at once in arrays. No pair is left out, so the work on such a key grows with the square of its lines.
 
 Defined cases: null text stays null and has no lines, an empty one has one empty line; rows equal
 in id and text count as one document; rows without id come last, ordered by a hash of their text;
@@ -36,6 +39,8 @@ from caselight.llm.shared import identified
 
 EDITS = 2
 LEAST_BYTES = 24
+#: Different lines of one key that a task holds on either side; lines from which arrays are used; pairs at once.
+BLOCK, MANY, PAIRS_AT_ONCE = 1024, 24, 1 << 17
 _HASH, _OTHER = prefix_hash(41), prefix_hash(42)
 
 
@@ -119,7 +124,7 @@ def _occurrences(docs: DataFrame, least: int | None) -> DataFrame:
 
 
 def _meetings(docs: DataFrame, least: int | None, edits: int) -> DataFrame:
-    """(key, h1): lines under keys where different lines meet."""
+    """(key, h1, blocks): lines under keys where different lines meet, and into how many blocks they go."""
 
     def run(batches):
         for _, _, _, data, start, end, _, _ in _each_slice(batches, least):
@@ -141,7 +146,20 @@ def _meetings(docs: DataFrame, least: int | None, edits: int) -> DataFrame:
     rows = docs.mapInArrow(run, "key long, h1 long")
     one_key = Window.partitionBy("key")
     meets = F.min("h1").over(one_key) != F.max("h1").over(one_key)
-    return rows.withColumn("meets", meets).filter("meets").select("key", "h1").distinct()
+    different = rows.withColumn("meets", meets).filter("meets").select("key", "h1").distinct()
+    blocks = F.ceil(F.count("*").over(one_key) / F.lit(BLOCK)).cast("int")
+    return different.withColumn("blocks", blocks)
+
+
+def _block_pairs(meetings: DataFrame) -> DataFrame:
+    """(key, pair, lower, h1): each line once for every pair of blocks that its own is in.
+
+    ``lower`` tells the lines of the pair's lower block; a block paired with itself has only these.
+    """
+    own = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("long")
+    dealt = meetings.select("key", "h1", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.shiftleft(F.least("own", "other"), 32) + F.greatest("own", "other")
+    return dealt.select("key", pair.alias("pair"), (F.col("own") <= F.col("other")).alias("lower"), "h1")
 
 
 def _number(a: bytes | str) -> tuple[int, int]:
@@ -195,22 +213,103 @@ def within(a: bytes | str, b: bytes | str, edits: int) -> bool:
     return bool(states[-1] >> (len(a) - len(b) + edits) & 1)
 
 
+def _next_row(row: np.ndarray, step: int, sign: np.ndarray, signs: list[np.ndarray], edits: int) -> np.ndarray:
+    """The band's next row: ``sign`` of one string against ``signs`` of the other on each diagonal."""
+    new, beyond = np.empty_like(row), np.uint8(edits + 1)
+    for d in range(2 * edits + 1):
+        j = step + 1 + d - edits
+        if j <= 0:
+            new[d] = step + 1 if j == 0 else beyond
+            continue
+        best = row[d] + (signs[d] != sign)
+        if d < 2 * edits:
+            np.minimum(best, row[d + 1] + np.uint8(1), out=best)
+        if d:
+            np.minimum(best, new[d - 1] + np.uint8(1), out=best)
+        np.minimum(best, beyond, out=new[d])
+    return new
+
+
+def _near_pairs(texts: tuple[np.ndarray, ...], one: np.ndarray, two: np.ndarray, wanted: np.ndarray, edits: int):
+    """The wanted pairs of ``one`` and ``two`` that are within so many edits, as two arrays.
+
+    The band of the edit table goes on by one row a step, first for all of one set against all of
+    the other, then, once most pairs are too far apart, for each pair that is left. Signs read
+    beyond a string's end only reach cells beyond it.
+    """
+    flat, start, length = texts
+    bands = range(-edits, edits + 1)
+    wanted = wanted & (np.abs(length[one][:, None] - length[two]) <= edits)
+    row = np.full((2 * edits + 1, *wanted.shape), edits + 1, np.uint8)
+    row[edits:] = np.arange(edits + 1, dtype=np.uint8)[:, None, None]
+    row[:, ~wanted] = edits + 1
+    step, shortest = 0, int(length[one].min())
+    while step < shortest and (step % 4 or 16 * np.count_nonzero(row.min(axis=0) <= edits) > wanted.size):
+        at = np.minimum(start[two] + step, len(flat) - edits - 1)
+        row = _next_row(row, step, flat[start[one] + step][:, None], [flat[at + d] for d in bands], edits)
+        step += 1
+    one_left, two_left = np.nonzero(wanted & (row.min(axis=0) <= edits))
+    row, one, two = row[:, one_left, two_left], one[one_left], two[two_left]
+    found = []
+    while len(one):
+        done = np.flatnonzero(length[one] == step)
+        near = done[row[length[two[done]] - step + edits, done] <= edits]
+        found.append((one[near], two[near]))
+        alive = np.flatnonzero((length[one] > step) & (row.min(axis=0) <= edits))
+        one, two, row = one[alive], two[alive], row[:, alive]
+        at = start[two] + step
+        row = _next_row(row, step, flat[start[one] + step], [flat[at + d] for d in bands], edits)
+        step += 1
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def _near_many(lines: list, lower: np.ndarray, edits: int) -> np.ndarray:
+    """Numbers of the lines with an earlier one near, in one block or, where there are two, across them."""
+    if all(isinstance(x, str) and x.isascii() for x in lines):
+        lines = [x.encode() for x in lines]
+    coded = [np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.frombuffer(x.encode("utf-32-le"), "<u4") for x in lines]
+    length = np.array([len(x) for x in coded])
+    texts = np.concatenate([*coded, np.zeros(2 * edits + 1, coded[0].dtype)]), np.cumsum(length) - length, length
+    found, numbers = np.zeros(len(lines), bool), np.arange(len(lines))
+    across = not lower.all()
+    ones, twos = (np.flatnonzero(lower), np.flatnonzero(~lower)) if across else (numbers, numbers)
+    step = max(1, PAIRS_AT_ONCE // max(1, len(ones)))
+    for at in range(0, len(twos), step):
+        two = twos[at : at + step]
+        one = ones if across else ones[: at + step]
+        wanted = np.full((len(one), len(two)), True) if across else one[:, None] < two
+        if len(one):
+            found[np.maximum(*_near_pairs(texts, one, two, wanted, edits))] = True
+    return np.flatnonzero(found)
+
+
 def _verify(edits: int, characters: bool):
-    """Rows (key, h1, line) by key and order to the h1 of lines with an earlier one near."""
+    """Rows (key, pair, lower, h1, line) by key, pair and order to the h1 of lines with an earlier one near."""
+
+    def near_ones(lower: list, names: list, lines: list) -> list:
+        if characters:
+            lines = [x.decode() for x in lines]
+        if len(lines) >= MANY:
+            return [names[i] for i in _near_many(lines, np.array(lower), edits)]
+        across = not all(lower)
+        return [
+            names[i]
+            for i, line in enumerate(lines)
+            if any(within(lines[e], line, edits) for e in range(i) if not across or lower[e] != lower[i])
+        ]
 
     def run(batches):
-        key, earlier = None, []
+        group, held = None, ([], [], [])
         for batch in batches:
             near = []
-            for k, h, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if k != key:
-                    key, earlier = k, []
-                if characters:
-                    line = line.decode()
-                if any(within(x, line, edits) for x in earlier):
-                    near.append(h)
-                earlier.append(line)
+            for key, pair, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, pair) != group:
+                    near += near_ones(*held)
+                    group, held = (key, pair), ([], [], [])
+                for values, value in zip(held, row, strict=True):
+                    values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], ["h1"])
+        yield pa.RecordBatch.from_arrays([pa.array(near_ones(*held), pa.int64())], ["h1"])
 
     return run
 
@@ -244,10 +343,10 @@ def _repeated(rows: DataFrame, edits: int, least_bytes: int | None) -> DataFrame
         _pick, "h1 long, d long, tie long, number int, line binary"
     ).dropDuplicates(["h1", "d", "tie", "number"])
     near = (
-        meetings.join(texts, "h1")
-        .repartition("key")
-        .sortWithinPartitions("key", "d", "tie", "number")
-        .select("key", "h1", "line")
+        _block_pairs(meetings).join(texts, "h1")
+        .repartition("key", "pair")
+        .sortWithinPartitions("key", "pair", "d", "tie", "number")
+        .select("key", "pair", "lower", "h1", "line")
         .mapInArrow(_verify(edits, least_bytes is None), "h1 long")
         .distinct()
         .withColumn("near", F.lit(True))

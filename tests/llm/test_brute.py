@@ -108,6 +108,16 @@ def test_fingerprints_follow_edits(spark, make_docs):
     assert {r.k: r.fingerprint for r in fingerprints.merged(prints, "k").collect()} == {0: one("c d\ne"), 1: one("a b\nf")}
 
 
+def test_likeness_of_long_repetitive_texts():
+    text = "one two three " * 50_000
+    edited = text[: len(text) // 2] + "four five six " * 25_000
+    own, changed, other = fingerprints.vectors([text.encode(), edited.encode(), b"four five six " * 50_000])
+    near = fingerprints.likeness(np.vstack([own, own]), np.vstack([changed, other]))
+    assert 0.5 < near[0] < 1 and near[1] < 0.4
+    few, many = fingerprints.vectors([b"one two three " * 500, b"one two three " * 500_000])
+    assert fingerprints.likeness(few[None], many[None])[0] > 0.999
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_lines(make_docs, edits):
     rng = random.Random(3)
@@ -128,6 +138,34 @@ def test_lines_of_any_length(make_docs, edits):
     assert got == brute.kept_lines_of_any_length(rows, edits) and got[102][1] == 2 and got[104][1] == edits - 1
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_many_lines_under_one_key(make_docs, monkeypatch, edits):
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    monkeypatch.setattr(lines, "MANY", 6)
+    rng = random.Random(23)
+    varied = ["posted by " + "".join(rng.choice("0123é") for _ in range(10)) for _ in range(60)]
+    near = [_edited(rng, rng.choice(varied), rng.choice([1, 2, 3])) for _ in range(30)]
+    rows = [(i, line) for i, line in enumerate(varied + near)]
+    plan = lines._block_pairs(lines._meetings(lines.identified(make_docs(*rows)), None, edits))
+    groups = {(r.key, r.pair): r["count"] for r in plan.groupBy("key", "pair").count().collect()}
+    assert len(groups) > len({k for k, _ in groups}) and max(groups.values()) <= 4 * lines.BLOCK
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.report(make_docs(*rows), edits, None).collect()}
+    assert got == brute.kept_lines_of_any_length(rows, edits) and sum(n for _, n, _ in got.values()) > 5
+
+
+def test_blocks_of_lines():
+    rng = random.Random(29)
+    for trial in range(60):
+        base = _varied(trial, 4, "abcé日", 12)
+        made = [_edited(rng, rng.choice(base), rng.randint(0, 3)) for _ in range(30)]
+        lower = [trial % 2 == 0 or rng.random() < 0.5 for _ in made]
+        for edits in (1, 2, 3):
+            for some in (made, [x.encode() for x in made]):
+                pairs = [(e, i) for i in range(30) for e in range(i) if all(lower) or lower[e] != lower[i]]
+                near = {i for e, i in pairs if brute.edit_distance(some[e], some[i]) <= edits}
+                assert set(lines._near_many(some, np.array(lower), edits).tolist()) == near
+
+
 def test_query_drops_short_repeats(spark):
     from caselight.llm import catalog
 
