@@ -6,8 +6,10 @@ run independently in randomised groups of documents.
 Every document is tokenised once. Its ids, with the end mark, are cut at multiples of the
 capacity. Whole pieces fill a sequence each; the last, shorter piece of each document is placed by
 first-fit decreasing among the pieces of its group. A group is chosen by a hash of the row, so
-groups are of equal size whatever the sources are, a group's work and memory are bounded by
-``group_documents``, and no step needs an order of the whole corpus.
+groups hold about ``group_documents`` rows whatever the sources are, and no step needs an order of
+the whole corpus. Of rows equal in id and text the first that a task meets goes where the hash says;
+the task deals the others out by its number and theirs, so copies fill no group on their own. Equal
+rows give equal pieces, so a task that runs again deals out the same ones, whatever their order.
 
 Defined cases: a null or empty text has no ids but the end mark; rows with null or repeated
 ``doc_id`` are packed like any other; an empty table gives no pieces; other columns are ignored.
@@ -16,14 +18,17 @@ Defined cases: a null or empty text has no ids but the end mark; rows with null
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import struct
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,19 +127,31 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
-    """Arrow batches of (doc_id, text, lot) to one row per piece."""
+def _dealt(mark: int, copy: int, task: int, groups: int) -> int:
+    """Group of a row with this hash, met ``copy`` times before in the task."""
+    if not copy:
+        return mark % groups
+    spread = hashlib.blake2b(struct.pack("<3q", mark, task, copy), digest_size=8).digest()
+    return int.from_bytes(spread, "little") % groups
+
+
+def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool, groups: int):
+    """Arrow batches of (doc_id, text, mark) to one row per piece."""
     last = np.array([end_id], "<u4").tobytes()
 
     def convert(batches):
-        tokens = _tokenizer(path)
+        tokens, met, task = _tokenizer(path), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = {k: [] for k in ("row", "start", "length", "doc_tokens", "load")}
+                lots = []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     ids = tokens.ids(text or "") + last
                     n = len(ids) // 4
+                    mark = part.column(2)[i].as_py()
+                    lots.append(_dealt(mark, met[mark], task, groups))
+                    met[mark] += 1
                     for start in range(0, n, capacity):
                         piece = ids[4 * start : 4 * (start + capacity)]
                         rows["row"].append(i)
@@ -150,7 +167,7 @@ def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
                         pa.array(rows["length"], pa.int64()),
                         pa.array(rows["doc_tokens"], pa.int64()),
                         pa.array(rows["load"], pa.binary() if keep_ids else pa.int64()),
-                        part.column(2).take(take),
+                        pa.array(lots, pa.int64()).take(take),
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "load", "lot"],
                 )
@@ -216,12 +233,12 @@ def pack_documents(
     in the tokenising task to ``ids_crc32`` and never shuffled.
     """
     groups = max(1, -(-docs.count() // group_documents))
-    lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups))
+    mark = F.xxhash64("doc_id", "text", F.lit(seed))
     load = "binary" if keep_ids else "long"
     head = "doc_id long, start long, length long, doc_tokens long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), lot.alias("lot"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), mark.alias("mark"))
     pieces = rows.mapInArrow(
-        _pieces_of(tokenizer_path, capacity, end_id, keep_ids), f"{head}, load {load}, lot long"
+        _pieces_of(tokenizer_path, capacity, end_id, keep_ids, groups), f"{head}, load {load}, lot long"
     )
     packed = pieces.groupBy("lot").applyInPandas(
         _place(capacity), f"{head}, load {load}, sequence_id long, offset long"

@@ -278,6 +278,17 @@ def test_packing(small_docs, pairs):
     assert sum(2048 - sum(n for _, n in b) for b in bins.values()) / sum(map(len, whole.values())) < 0.05
 
 
+def test_packing_deals_out_equal_rows(spark, make_docs):
+    docs = make_docs(*[(i, f"text {i}") for i in range(300)]).union(
+        spark.range(900).selectExpr("7L AS doc_id", "'the same words again' AS text")
+    )
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack_documents(docs, path, group_documents=100)
+    sizes = [r["count"] for r in pieces.groupBy((pieces.sequence_id / 2**32).cast("long")).count().collect()]
+    assert sum(sizes) == 1200 and len(sizes) == 12 and max(sizes) < 200
+    assert sorted(pieces.collect()) == sorted(packing.pack_documents(docs, path, group_documents=100).collect())
+
+
 def test_words_as_the_tokenizer_splits_them():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
