@@ -1,13 +1,17 @@
 """Operator 7: byte-level BPE encoding and decoding with constant memory.
 
 Method: a bounded-lookahead streaming transducer. From the merge list alone follows how many
-bytes beyond a token can still change it; a token is emitted once that many bytes after it have
-been seen. A text is read piece by piece and a piece by windows, so memory does not grow with
-the text. Decoding is a state machine from token bytes to text.
+bytes beyond a token can still change it; a token is emitted once that many bytes after it, or
+the end of its piece, have been seen. Text goes in by chunks and ids come out by portions:
+``Stream`` holds the part of a chunk that the splitting rule has not settled and, of a piece that
+is longer than a chunk, one window of bytes. Decoding is a state machine from token bytes to text,
+and the digests of a round trip are updated portion by portion, so beside the row itself, as Spark
+hands it over, memory does not grow with the text. (``encode`` returns all ids of a row, of course.)
 
 Pieces are what the vocabulary's splitting rule gives: contractions, words, numbers, signs and
 white space, each with the blank before it. A blank between two other signs always begins a
-piece, so a text is cut there first, and the ids of such a stretch are remembered.
+piece, so a chunk is cut there. What the transducer emitted for a short piece, and for a short
+stretch between two such blanks, is remembered in tables of bounded size.
 
 Defined cases: null or empty text has no ids and decodes to the empty text; special marks that
 occur in a text become their single id; rows with null or repeated ``doc_id`` stay rows.
@@ -29,12 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselight.llm.bytewise import text_bytes
+
 #: Entries of a worker's memory of stretches and of pieces, for each of its two generations;
 #: longer ones are not kept.
 STRETCHES, PIECES = 400_000, 200_000
 LONGEST_KEPT = 64
-#: Texts decoded to Python strings at once.
+#: Bytes of a text read at once, and texts handled before their results are sent on.
+CHUNK = 1 << 16
 ROWS_AT_ONCE = 256
+#: Signs that must follow a piece before it is settled: a contraction has at most three.
+AHEAD = 3
 #: Ids decoded at once.
 PORTION = 1 << 16
 
@@ -42,7 +51,9 @@ PORTION = 1 << 16
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT_ASCII = re.compile(SPLIT.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
                          .replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.A)
-_BLANK_BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
+_BLANK_BESIDE_SPACE = re.compile(r"\s | \s| $")
+#: Up to the last blank between two other signs.
+_UP_TO_BLANK = re.compile(r".*\S(?= \S)", re.S)
 
 
 def byte_letters() -> list[str]:
@@ -97,6 +108,7 @@ class Transducer:
         self.token = {i: t for t, i in vocabulary.items()}
         self.token |= {i: t.encode() for t, i in self.special.items()}
         self._special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.special_length = max(map(len, self.special), default=1)
         from tokenizers import Regex, pre_tokenizers
 
         self._split = pre_tokenizers.Split(Regex(SPLIT), "isolated")
@@ -145,46 +157,49 @@ class Transducer:
                 heapq.heappush(heap, (new, before[i]))
         return [i for i in ids if i >= 0]
 
-    def emit(self, data: bytes) -> Iterator[int]:
-        """Ids of one piece, each as soon as it is stable; holds one window at a time."""
-        at = 0
-        while True:
-            ids = self._merged(data[at : at + self.window])
-            if at + self.window >= len(data):
-                yield from ids
-                return
-            stable, end = at + self.window - self.lookahead, at
-            for i in ids:
-                if end + len(self.token[i]) > stable:
+    def advance(self, held: bytearray, ended: bool) -> Iterator[int]:
+        """Ids of the open piece that are stable, whose bytes leave ``held``; all ids if it ended there."""
+        while len(held) > self.window:
+            at, stable = 0, self.window - self.lookahead
+            for i in self._merged(bytes(held[: self.window])):
+                n = len(self.token[i])
+                if at + n > stable:
                     break
-                end += len(self.token[i])
+                at += n
                 yield i
-            at = end
+            del held[:at]
+        if ended:
+            yield from self._merged(bytes(held))
+            held.clear()
 
-    def _split_pieces(self, text: str) -> Iterable[str]:
+    def emit(self, data: bytes) -> Iterator[int]:
+        """Ids of one whole piece, each as soon as it is stable."""
+        return self.advance(bytearray(data), True)
+
+    def split(self, text: str) -> Iterable[str]:
         if text.isascii():
             return SPLIT_ASCII.findall(text)
         return [piece for piece, _ in self._split.pre_tokenize_str(text)]
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
+        """Ids of a whole piece, packed."""
         ids = self.pieces.get(piece)
         if ids is None:
-            data = piece.encode()
-            ids = self._merged(data) if len(data) <= self.window else list(self.emit(data))
-            ids = struct.pack(f"<{len(ids)}I", *ids)
+            ids = packed(self.emit(piece.encode()))
             self.pieces.put(piece, ids)
         return ids
 
     def _stretch(self, text: str) -> bytes:
         ids = self.stretches.get(text)
         if ids is None:
-            ids = b"".join(map(self._piece, self._split_pieces(text)))
+            ids = b"".join(map(self.piece, self.split(text)))
             self.stretches.put(text, ids)
         return ids
 
-    def _plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
+        """Ids of whole pieces in a row, packed."""
         if _BLANK_BESIDE_SPACE.search(text):
-            return b"".join(map(self._piece, self._split_pieces(text)))
+            return b"".join(map(self.piece, self.split(text)))
         first, *rest = text.split(" ")
         words = [first, *map(" ".__add__, rest)]
         ids = list(map(self.stretches.young.get, words))
@@ -196,16 +211,30 @@ class Transducer:
                 return b"".join(ids)
             ids[at] = self._stretch(words[at])
 
+    def portions(self, chunks: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of a text given in chunks; a special mark in it, also across chunks, is one id."""
+        stream, held, keep = Stream(self), "", self.special_length - 1
+        chunks = iter(chunks)
+        following = next(chunks, "")
+        while following is not None:
+            held, following = held + following, next(chunks, None)
+            if self._special_at is not None:
+                *done, held = self._special_at.split(held)
+                for plain, mark in zip(done[::2], done[1::2], strict=True):
+                    yield np.frombuffer(stream.feed(plain, True) + struct.pack("<I", self.special[mark]), "<u4")
+            if following is not None and len(held) > keep:
+                cut = len(held) - keep
+                yield np.frombuffer(stream.feed(held[:cut]), "<u4")
+                held = held[cut:]
+        yield np.frombuffer(stream.feed(held, True), "<u4")
+
+    def stream(self, data: memoryview) -> Iterator[np.ndarray]:
+        """Ids of a text's UTF-8 bytes, in portions."""
+        return self.portions(chunks_of(data))
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of the text; a special mark in it is one id."""
-        if self._special_at is None or not any(s in text for s in self.special):
-            return np.frombuffer(self._plain(text) if text else b"", "<u4")
-        parts = [
-            struct.pack("<I", self.special[x]) if x in self.special else self._plain(x)
-            for x in self._special_at.split(text)
-            if x
-        ]
-        return np.frombuffer(b"".join(parts), "<u4")
+        """Ids of the whole text."""
+        return np.concatenate(list(self.portions([text])))
 
     def decimals(self, ids: np.ndarray) -> bytes:
         """The ids as decimal numbers joined by commas."""
@@ -229,6 +258,69 @@ class Transducer:
         return "".join(self.decode(ids[i : i + PORTION] for i in range(0, len(ids), PORTION)))
 
 
+class Stream:
+    """One text on its way through the transducer: chunks in, packed ids out.
+
+    Its state is the text not yet settled and, inside a piece that is longer than a chunk, a sign of
+    the piece's kind and the bytes whose ids are not stable.
+    """
+
+    def __init__(self, transducer: Transducer) -> None:
+        self.own, self.text, self.kind, self.held = transducer, "", "", bytearray()
+
+    def feed(self, text: str, last: bool = False) -> bytes:
+        """What can be emitted now; after the ``last`` chunk the stream is as new."""
+        text = self.text + text
+        if not self.kind:
+            if last:
+                self.text = ""
+                return self.own.plain(text) if text else b""
+            if sure := _UP_TO_BLANK.match(text):
+                self.text = text[sure.end() :]
+                return self.own.plain(text[: sure.end()])
+            if len(text) < CHUNK:
+                self.text = text
+                return b""
+        return self._piecewise(text, last)
+
+    def _piecewise(self, text: str, last: bool) -> bytes:
+        # The sign in front makes the rule go on with the open piece; it is no part of the text.
+        out, at = [], -len(self.kind)
+        settled = len(text) if last else len(text) - AHEAD
+        for piece in self.own.split(self.kind + text):
+            end = at + len(piece)
+            if end > settled:
+                break
+            if self.kind:
+                self.held += text[:end].encode()
+                out.append(packed(self.own.advance(self.held, True)))
+                self.kind = ""
+            else:
+                out.append(self.own.piece(piece))
+            at = end
+        at = max(at, 0)
+        if settled - at >= (1 if self.kind else CHUNK // 2):
+            # One piece reaches over all that is settled: its bytes go in, and it stays open.
+            self.kind = self.kind or (text[at + 1] if text[at + 1] != "'" else "!")
+            self.held += text[at:settled].encode()
+            out.append(packed(self.own.advance(self.held, False)))
+            at = settled
+        self.text = text[at:]
+        return b"".join(out)
+
+
+def packed(ids: Iterable[int]) -> bytes:
+    ids = list(ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def chunks_of(data: memoryview) -> Iterator[str]:
+    """UTF-8 bytes as text, by chunks; bytes that are no text become the replacement sign."""
+    read = codecs.getincrementaldecoder("utf-8")("replace")
+    for at in range(0, len(data), CHUNK):
+        yield read.decode(data[at : at + CHUNK], at + CHUNK >= len(data))
+
+
 class Memory:
     """What was worked out lately, in two generations: when the young one is full it grows old."""
 
@@ -276,12 +368,21 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def _each(batches, columns, convert, names):
+def _texts(column: pa.Array) -> Iterator[memoryview]:
+    data, bounds = text_bytes(column)
+    return (memoryview(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.array(ids or (), np.int64) for ids in column.to_pylist())
+
+
+def _each(batches, values, columns, convert, names):
     """Rows of (doc_id, value) batches, each value converted to a tuple of new columns."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(at, ROWS_AT_ONCE)
-            rows = [convert(v) for v in part.column(1).to_pylist()]
+            rows = [convert(v) for v in values(part.column(1))]
             made = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), columns, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", *names])
 
@@ -295,7 +396,8 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         t = transducer(tokenizer_path)
-        return _each(batches, [pa.list_(pa.int32())], lambda x: (t.encode(x or "").astype(np.int32),), ["ids"])
+        whole = lambda x: (np.concatenate([np.zeros(0, "<u4"), *t.stream(x)]).astype(np.int32),)
+        return _each(batches, _texts, [pa.list_(pa.int32())], whole, ["ids"])
 
     return _rows(docs, "text", "string").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -305,30 +407,39 @@ def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         t = transducer(tokenizer_path)
-        return _each(batches, [pa.string()], lambda x: (t.decoded(np.array(x or (), np.int64)),), ["text"])
+        return _each(batches, _arrays, [pa.string()], lambda x: (t.decoded(x),), ["text"])
 
     return _rows(tokens, "ids", "array<int>").mapInArrow(run, "doc_id long, text string")
 
 
+def digests(t: Transducer, data: memoryview) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids and of the text decoded from them, of a text's UTF-8 bytes."""
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def counted():
+        nonlocal n
+        for ids in t.stream(data):
+            if len(ids):
+                of_ids.update(b"," * (n > 0) + t.decimals(ids))
+                n += len(ids)
+                yield ids
+
+    for text in t.decode(counted()):
+        of_text.update(text.encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest()
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them.
 
     Encodes and decodes in one task, so neither ids nor texts are stored or moved.
     """
 
-    def digest(t: Transducer, text: str | None):
-        ids = t.encode(text or "")
-        return (
-            len(ids),
-            hashlib.sha256(t.decimals(ids)).hexdigest(),
-            hashlib.sha256(t.decoded(ids).encode()).hexdigest(),
-        )
-
     def run(batches):
         t = transducer(tokenizer_path)
         kinds = [pa.int64(), pa.string(), pa.string()]
         names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-        return _each(batches, kinds, lambda x: digest(t, x), names)
+        return _each(batches, _texts, kinds, lambda x: digests(t, x), names)
 
     return _rows(docs, "text", "string").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
