@@ -11,7 +11,13 @@ length (queries have 0 there). Reported scores are inner products of the origina
 precision.
 
 Equal vectors are one node; it lists the smallest ids of its copies, as many as can be among the
-nearest, so copies of one vector cost nothing. Queries are taken in blocks of bounded size.
+nearest, so copies of one vector cost nothing. A task reads a shard's nodes and then the queries
+put to it as one sorted stream: it holds one graph and one batch of queries at a time, whatever
+the number of queries, and no node is sent twice.
+
+Recall depends on the beams, the degree and on how many candidates pruning looks at; these and the
+shards' size and least number are parameters. Among the nodes a search has found nothing is cut
+before ties are broken by id.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers, and rows
 without id, take no part; vectors of another length are never neighbours; rows with the query's
@@ -29,10 +35,12 @@ from pyspark.sql import functions as F
 from caselight.llm.shared import checkpointed
 
 NEAREST = 20
+#: Rows that a shard holds at most on average, and shards made even of small tables, so that tasks share the work.
 SHARD_ROWS = 50_000
 LEAST_SHARDS = 12
-QUERY_BLOCK = 50_000
 DEGREE = 32
+#: Nearest candidates of a node among which pruning chooses its edges.
+PRUNED_FROM = 128
 BUILD_BEAM = 64
 SEARCH_BEAM = 100
 #: A neighbour is dropped if a kept one is nearer to it by this factor (of squared distances).
@@ -43,10 +51,11 @@ _BATCH = 256
 class Graph:
     """A directed graph over the rows of a matrix, for greedy search by squared distance."""
 
-    def __init__(self, points: np.ndarray, degree: int, beam: int, relaxed: float, seed: int = 0) -> None:
+    def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relaxed: float = RELAXED,
+                 pruned_from: int = PRUNED_FROM, seed: int = 0) -> None:
         self.points = points
         self.norms = (points * points).sum(axis=1)
-        self.degree, self.beam, self.relaxed = degree, beam, relaxed
+        self.degree, self.beam, self.relaxed, self.pruned_from = degree, beam, relaxed, pruned_from
         self.edges = np.full((len(points), degree + degree // 2), -1, np.int32)
         self.used = np.zeros(len(points), np.int64)
         self.entry = int(np.argmin(self._to(points.mean(axis=0)[None], np.arange(len(points))[None])[0]))
@@ -58,6 +67,18 @@ class Graph:
             self._insert(some)
             done += len(some)
 
+    @classmethod
+    def of(cls, nodes: pd.DataFrame) -> Graph:
+        """The graph of a shard's stored nodes, in order."""
+        graph = cls.__new__(cls)
+        graph.points = _same_length(_matrix(nodes["vector"]))
+        graph.norms = (graph.points * graph.points).sum(axis=1)
+        graph.entry = int(np.flatnonzero(nodes["entry"].to_numpy())[0])
+        graph.edges = np.full((len(nodes), max(1, nodes["edges"].map(len).max())), -1, np.int32)
+        for i, e in enumerate(nodes["edges"]):
+            graph.edges[i, : len(e)] = e
+        return graph
+
     def _to(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distance of each query to its row of points (-1: infinite)."""
         products = np.einsum("qd,qkd->qk", queries, self.points[ids])
@@ -106,7 +127,7 @@ class Graph:
         candidates = -np.sort(-candidates, axis=1)
         candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -1
         distance = self._to(self.points[nodes], candidates)
-        order = np.argsort(distance, axis=1, kind="stable")[:, :128]
+        order = np.argsort(distance, axis=1, kind="stable")[:, : self.pruned_from]
         candidates, distance = np.take_along_axis(candidates, order, 1), np.take_along_axis(distance, order, 1)
         vectors = self.points[candidates]
         norms = self.norms[candidates]
@@ -175,7 +196,8 @@ def _same_length(points: np.ndarray) -> np.ndarray:
 
 def build_index(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding",
                 nearest: int = NEAREST, shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS,
-                degree: int = DEGREE, beam: int = BUILD_BEAM, relaxed: float = RELAXED) -> DataFrame:
+                degree: int = DEGREE, beam: int = BUILD_BEAM, relaxed: float = RELAXED,
+                pruned_from: int = PRUNED_FROM) -> DataFrame:
     """One row per distinct vector: shard, node, vector, ids (the smallest of its rows), edges."""
     rows = _taking_part(vectors, id_column, column)
     copies = Window.partitionBy("vector").orderBy("vec_id")
@@ -190,7 +212,7 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", column: str = "em
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(first=[x[0] for x in frame["ids"]]).sort_values("first", ignore_index=True)
-        graph = Graph(_same_length(_matrix(frame["vector"])), degree, beam, relaxed)
+        graph = Graph(_same_length(_matrix(frame["vector"])), degree, beam, relaxed, pruned_from)
         frame["node"] = np.arange(len(frame)) if len(frame) else []
         frame["entry"] = frame["node"] == graph.entry
         frame["edges"] = [e[e >= 0] for e in graph.edges]
@@ -202,49 +224,60 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", column: str = "em
     )
 
 
-def search_index(index: DataFrame, queries: DataFrame, nearest: int = NEAREST,
-                 beam: int = SEARCH_BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
+class _Shard:
+    """A shard's graph and its nodes' vectors and ids, for one batch of queries after another."""
+
+    def __init__(self, nodes: pd.DataFrame) -> None:
+        self.graph, self.vectors = Graph.of(nodes), _matrix(nodes["vector"])
+        self.ids = [x.tolist() for x in nodes["ids"]]
+
+    def nearest(self, own: np.ndarray, wanted: np.ndarray, nearest: int, beam: int) -> list[tuple]:
+        """(query id, vector id, score) of each query's nearest, ties to the smaller id."""
+        near, _ = self.graph.search(np.c_[wanted, np.zeros(len(wanted))].astype(np.float32), beam)
+        exact = np.where(near < 0, -np.inf, np.einsum("qd,qkd->qk", wanted, self.vectors[near]))
+        # One more than asked for, since the query itself may be among them, and all that tie with the last.
+        cut = min(nearest + 1, exact.shape[1])
+        least = -np.partition(-exact, cut - 1, axis=1)[:, cut - 1]
+        found = []
+        for i, query in enumerate(own.tolist()):
+            some = np.flatnonzero((near[i] >= 0) & (exact[i] >= least[i]))
+            mine = [(query, v, exact[i, b]) for b in some for v in self.ids[near[i, b]] if v != query]
+            found += sorted(mine, key=lambda m: (-m[2], m[1]))[:nearest]
+        return found
+
+
+def search_index(index: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score of each query (vec_id, vector) searched in every shard."""
-    blocks = max(1, -(-queries.count() // query_block))
-    asked = queries.select(
-        F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), F.size("vector").alias("length"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("part"),
+    nodes = index.select("shard", "size", F.lit(0).alias("side"), F.col("node").alias("at"), "vector", "entry", "ids", "edges")
+    shards = index.select((F.col("shard") + 0).alias("shard"), (F.col("size") + 0).alias("size")).distinct()
+    asked = (
+        queries.withColumn("size", F.size("vector")).join(shards, "size")
+        .select("shard", "size", F.lit(1).alias("side"), F.col("vec_id").alias("at"), "vector")
     )
-    shards = index.select((F.col("shard") + 0).alias("of"), (F.col("size") + 0).alias("length")).distinct()
-    asked = asked.join(shards, "length")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def look(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(nodes) or not len(asked):
-            return empty
-        nodes = nodes.sort_values("node", ignore_index=True)
-        vectors, wanted = _matrix(nodes["vector"]), _matrix(asked["asked"])
-        graph = Graph.__new__(Graph)
-        graph.points = _same_length(vectors)
-        graph.norms = (graph.points * graph.points).sum(axis=1)
-        graph.entry = int(np.flatnonzero(nodes["entry"].to_numpy())[0])
-        graph.edges = np.full((len(nodes), max(1, nodes["edges"].map(len).max())), -1, np.int32)
-        for i, e in enumerate(nodes["edges"]):
-            graph.edges[i, : len(e)] = e
-        ids = [x.tolist() for x in nodes["ids"]]
-        found = []
-        for at in range(0, len(wanted), _BATCH):
-            some = wanted[at : at + _BATCH]
-            near, _ = graph.search(np.c_[some, np.zeros(len(some))].astype(np.float32), beam)
-            exact = np.where(near < 0, -np.inf, np.einsum("qd,qkd->qk", some, vectors[near]))
-            best = np.argsort(-exact, axis=1, kind="stable")[:, : nearest + 1]
-            for i, own in enumerate(asked["query_id"].iloc[at : at + _BATCH]):
-                mine = [
-                    (own, v, exact[i, b]) for b in best[i] if near[i, b] >= 0 for v in ids[near[i, b]] if v != own
-                ]
-                found += sorted(mine, key=lambda m: (-m[2], m[1]))[:nearest]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]) if found else empty
+
+    def look(frames):
+        held, waiting, shard = None, [], None
+        for frame in frames:
+            for key, part in frame.groupby(["shard", "size", "side"], sort=True):
+                if key[:2] != held:
+                    held, waiting, shard = key[:2], [], None
+                if key[2] == 0:
+                    waiting.append(part)
+                    continue
+                if shard is None:
+                    shard, waiting = _Shard(pd.concat(waiting, ignore_index=True)), []
+                for at in range(0, len(part), _BATCH):
+                    some = part.iloc[at : at + _BATCH]
+                    found = shard.nearest(some["at"].to_numpy(), _matrix(some["vector"]), nearest, beam)
+                    if found:
+                        yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     parts = (
-        held.groupBy("shard", "size", "block").cogroup(asked.groupBy("of", "length", "part"))
-        .applyInPandas(look, "query_id long, vec_id long, score double")
-    )
+        nodes.unionByName(asked, allowMissingColumns=True)
+        .repartition("shard", "size")
+        .sortWithinPartitions("shard", "size", "side", "at")
+        .mapInPandas(look, "query_id long, vec_id long, score double")
+    )
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest)
     return ranked.select("query_id", "rank", "vec_id", "score")
