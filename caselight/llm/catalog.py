@@ -95,5 +95,49 @@ QUERIES: dict[str, Query] = {
     "op13_whitening": whitened_vectors,
 }
 
+#: All inner products, exact; the operator's search is approximate, and whole on small tables.
+NEAREST_SQL = """
+WITH sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_inner_product(q.x, v.x) AS score
+  FROM sound q JOIN sound v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x)
+  WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs)
+WHERE place <= 20
+"""
+
+#: Every pair of documents that share an n-gram, and the closure of their links.
+SIMILAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS gram
+  FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM sets a JOIN sets b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * common >= 90 * (s.n + t.n - common)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.y) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id
+GROUP BY d.doc_id
+"""
+
 #: DuckDB SQL where it can express the operator.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_jaccard": SIMILAR_SQL, "op9_neighbours": NEAREST_SQL}

@@ -224,6 +224,14 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", column: str = "em
     )
 
 
+def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products summed in order of the dimensions, so that a score depends on its two vectors alone."""
+    total = np.zeros(vectors.shape[:2])
+    for d in range(vectors.shape[2]):
+        total += queries[:, d, None] * vectors[:, :, d]
+    return total
+
+
 class _Shard:
     """A shard's graph and its nodes' vectors and ids, for one batch of queries after another."""
 
@@ -234,7 +242,7 @@ class _Shard:
     def nearest(self, own: np.ndarray, wanted: np.ndarray, nearest: int, beam: int) -> list[tuple]:
         """(query id, vector id, score) of each query's nearest, ties to the smaller id."""
         near, _ = self.graph.search(np.c_[wanted, np.zeros(len(wanted))].astype(np.float32), beam)
-        exact = np.where(near < 0, -np.inf, np.einsum("qd,qkd->qk", wanted, self.vectors[near]))
+        exact = np.where(near < 0, -np.inf, _products(wanted, self.vectors[near]))
         # One more than asked for, since the query itself may be among them, and all that tie with the last.
         cut = min(nearest + 1, exact.shape[1])
         least = -np.partition(-exact, cut - 1, axis=1)[:, cut - 1]
