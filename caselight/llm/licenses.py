@@ -2,16 +2,18 @@
 
 Method: a positional index of rare tokens. Words are lower-cased and numbered; only those that
 occur in a licence template are looked at. The document frequency of every template word is
-counted over all documents. For each template the rarest word of its key phrase is looked up in
-the text, each of its postings is shifted by the word's position in the template, the other words'
-postings are intersected at the same shift, and the key phrase must be there in full. The share of
-the whole template found at that shift is the notice's coverage.
+counted over all documents, rarest words first. Each slice of texts gets postings: the places of
+each template word, in order. A file's licence words are looked up from the rarest on; a word opens
+the templates whose rarest key word it is, where the file holds all the other words of the key,
+too. The postings of the template's words, each shifted by its position in the template, are
+intersected, rarest first: what is left after those of the key is a key phrase in full. The share
+of the whole template found at that shift is the notice's coverage.
 
 Templates of one phrase (the base) are covered wholly or not at all, so every place where their
 words stand consecutively is found.
 
 Defined cases: null or empty text has no words; places lie within one text; equal places of
-different templates all count; rows with null or repeated ``doc_id`` stay rows; an empty table
+different templates all count; notices are listed by start, then template; rows with null or repeated ``doc_id`` stay rows; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -40,7 +42,58 @@ class Template:
     base: bool = False
 
 
-#: Wordings of public licences (fixed values).
+#: Texts of public licences, as words (fixed values).
+MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+    " documentation files the software to deal in the software without restriction including without limitation the"
+    " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+    " persons to whom the software is furnished to do so subject to the following conditions the above copyright notice"
+    " and this permission notice shall be included in all copies or substantial portions of the software the software is"
+    " provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+    " merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright"
+    " holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+    " arising from out of or in connection with the software or the use or other dealings in the software"
+)
+ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+    " provided that the above copyright notice and this permission notice appear in all copies the software is provided"
+    " as is and the author disclaims all warranties with regard to this software including all implied warranties of"
+    " merchantability and fitness in no event shall the author be liable for any special direct indirect or"
+    " consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of"
+    " contract negligence or other tortious action arising out of or in connection with the use or performance of this"
+    " software"
+)
+BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the"
+    " following conditions are met 1 redistributions of source code must retain the above copyright notice this list of"
+    " conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice"
+    " this list of conditions and the following disclaimer in the documentation and or other materials provided with the"
+    " distribution"
+)
+BSD_3 = (
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+    " products derived from this software without specific prior written permission"
+)
+ZLIB = (
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter"
+    " it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be"
+    " misrepresented you must not claim that you wrote the original software"
+)
+APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the"
+    " license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by"
+    " applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+    " without warranties or conditions of any kind either express or implied see the license for the specific language"
+    " governing permissions and limitations under the license"
+)
+GPL = (
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free"
+    " software foundation either version 2 of the license or at your option any later version this program is"
+    " distributed in the hope that it will be useful but without any warranty without even the implied warranty of"
+    " merchantability or fitness for a particular purpose see the gnu general public license for more details"
+)
+
+#: Phrases, notices and texts of public licences (fixed values).
 TEMPLATES = (
     Template("gpl", "gnu general public license", "gnu general public license", True),
     Template("apache", "apache license", "apache license", True),
@@ -59,12 +112,30 @@ TEMPLATES = (
     Template("cc-by-nc", "licensed under cc by nc", "cc by nc"),
     Template("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     Template("cc-by", "creative commons attribution", "creative commons attribution"),
+    Template("mit", MIT, "the above copyright notice and this permission notice shall be included in all copies"),
+    Template("isc", ISC, "the above copyright notice and this permission notice appear in all copies"),
+    Template("bsd", BSD, "redistributions in binary form must reproduce the above copyright notice"),
+    Template("bsd-3-clause", BSD_3, "may be used to endorse or promote products derived from this software"),
+    Template("zlib", ZLIB, "the origin of this software must not be misrepresented"),
+    Template("apache-2.0", APACHE, "you may not use this file except in compliance with the license"),
+    Template("gpl", GPL, "under the terms of the gnu general public license as published by the free software foundation"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 
 
+@dataclass(frozen=True)
+class Plan:
+    """A template as numbers of words, and the positions of its key in it, rarest words first."""
+
+    template: Template
+    words: np.ndarray
+    key_at: int
+    key_length: int
+    rarest_first: tuple[int, ...]
+
+
 class Index:
-    """Words of templates as numbers, and where a template's rarest key word stands."""
+    """Words of templates as numbers, and the templates that each word opens."""
 
     def __init__(self, templates: tuple[Template, ...], documents_with: dict[int, int]) -> None:
         self.words = sorted({w for t in templates for w in t.text.split()})
@@ -77,13 +148,17 @@ class Index:
         self.hashes = hashes[self.order]
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[hashes & np.uint64(0xFFFF)] = True
-        self.plans = []
+        frequency = lambda n: (documents_with.get(n, 0), n)
+        self.plans, opens = [], {}
         for t in templates:
             text, key = t.text.split(), t.key.split()
             at = next(i for i in range(len(text)) if text[i : i + len(key)] == key)
-            rarest = min(range(len(key)), key=lambda j: (documents_with.get(number[key[j]], 0), j))
             numbers = np.array([number[w] for w in text])
-            self.plans.append((t, numbers, at, len(key), at + rarest))
+            order = sorted(range(at, at + len(key)), key=lambda i: frequency(int(numbers[i])))
+            opens.setdefault(int(numbers[order[0]]), []).append(len(self.plans))
+            self.plans.append(Plan(t, numbers, at, len(key), tuple(order)))
+        #: (word, templates whose rarest key word it is), rarest word first.
+        self.opens = sorted(opens.items(), key=lambda item: frequency(item[0]))
 
     def numbers_of(self, hashes: np.ndarray) -> np.ndarray:
         """Template word of each hash, else -1."""
@@ -122,24 +197,53 @@ def _document_counts(docs: DataFrame, templates: tuple[Template, ...]) -> dict[i
     return {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
+class _Postings:
+    """Places of each template word in a slice of texts, in order, and which words each row holds."""
+
+    def __init__(self, words: np.ndarray, row: np.ndarray, rows: int, size: int) -> None:
+        at = np.flatnonzero(words >= 0)
+        held = words[at]
+        order = np.argsort(held, kind="stable")
+        self.at = at[order]
+        self.bounds = np.searchsorted(held[order], np.arange(size + 1))
+        self.holds = np.zeros((rows, size), bool)
+        self.holds[row[at], held] = True
+
+    def of(self, word: int) -> np.ndarray:
+        return self.at[self.bounds[word] : self.bounds[word + 1]]
+
+    def meets(self, word: int, places: np.ndarray) -> np.ndarray:
+        """Which of the places the word stands at."""
+        own = self.of(word)
+        if not len(own):
+            return np.zeros(len(places), bool)
+        return own[np.minimum(np.searchsorted(own, places), len(own) - 1)] == places
+
+
 def _places(words: np.ndarray, first: np.ndarray, row: np.ndarray, index: Index):
     """(row, template, start in the row, coverage) of every notice."""
-    for number, (template, wanted, key_at, key_length, rarest) in enumerate(index.plans):
-        shift = np.flatnonzero(words == wanted[rarest]) - rarest
-        own = row[shift + rarest]
-        begin, end = first[own], first[own + 1]
-        for j in range(key_at, key_at + key_length):
-            at = shift + j
-            good = (at >= begin) & (at < end)
-            good[good] = words[at[good]] == wanted[j]
-            shift, own, begin, end = shift[good], own[good], begin[good], end[good]
-        if not len(shift):
-            continue
-        at = shift[:, None] + np.arange(len(wanted))
-        there = (at >= begin[:, None]) & (at < end[:, None])
-        there[there] = words[at[there]] == np.broadcast_to(wanted, at.shape)[there]
-        for r, s, c in zip(own.tolist(), (shift + key_at - begin).tolist(), there.mean(axis=1).tolist(), strict=True):
-            yield r, number, s, c
+    postings = _Postings(words, row, len(first) - 1, len(index.words))
+    for word, opened in index.opens:
+        found = postings.of(word)
+        for number in opened if len(found) else ():
+            plan = index.plans[number]
+            key = plan.words[plan.key_at : plan.key_at + plan.key_length]
+            at = found[postings.holds[row[found]][:, np.unique(key)].all(axis=1)]
+            shift, own = at - plan.rarest_first[0], row[at]
+            inside = (shift + plan.key_at >= first[own]) & (shift + plan.key_at + plan.key_length <= first[own + 1])
+            shift, own = shift[inside], own[inside]
+            for i in plan.rarest_first[1:]:
+                meets = postings.meets(plan.words[i], shift + i)
+                shift, own = shift[meets], own[meets]
+            if not len(shift):
+                continue
+            begin, end = first[own], first[own + 1]
+            there = np.zeros(len(shift), np.int64)
+            for i, wanted in enumerate(plan.words):
+                there += postings.meets(wanted, shift + i) & (shift + i >= begin) & (shift + i < end)
+            starts, shares = shift + plan.key_at - begin, there / len(plan.words)
+            for r, s, c in zip(own.tolist(), starts.tolist(), shares.tolist(), strict=True):
+                yield r, number, s, c
 
 
 def find_notices(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -155,7 +259,7 @@ def find_notices(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
             for begin, last, data, bounds in text_slices(batch.column(1)):
                 words, first, row = _words(data, bounds, index)
                 notices = [[] for _ in range(last - begin)]
-                for r, number, start, coverage in _places(words, first, row, index):
+                for r, number, start, coverage in sorted(_places(words, first, row, index), key=lambda n: (n[2], n[1])):
                     t = templates[number]
                     notices[r].append(
                         {"label": t.label, "base": t.base, "start": start, "words": len(t.key.split()), "coverage": coverage}
