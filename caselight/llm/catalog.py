@@ -139,5 +139,38 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.x = d.d
 GROUP BY d.doc_id
 """
 
+#: Every string of 100 bytes of every text, by way of short blocks; the later ones of equal strings cover bytes.
+REPEATED_SQL = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), blocks AS (
+  SELECT doc_id, n, base, substr(h, 2 * base + 1, 512 + 198) AS block
+  FROM (SELECT doc_id, n, h, unnest(range(0, n - 99, 256)) AS base FROM docs WHERE n >= 100)
+), windows AS (
+  SELECT doc_id, base + j AS i, substr(block, 2 * j + 1, 200) AS s
+  FROM (SELECT doc_id, base, block, unnest(range(least(256, n - 99 - base))) AS j FROM blocks)
+), repeats AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS place FROM windows)
+  WHERE place > 1
+), opened AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM repeats
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM opened) GROUP BY doc_id, span
+), cuts AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM spans
+), kept AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS past,
+    string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head
+  FROM cuts JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+  coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(past, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN kept USING (doc_id)
+"""
+
 #: DuckDB SQL where it can express the operator.
-ORACLE: dict[str, str] = {"op6_jaccard": SIMILAR_SQL, "op9_neighbours": NEAREST_SQL}
+ORACLE: dict[str, str] = {
+    "op1_substrings": REPEATED_SQL, "op6_jaccard": SIMILAR_SQL, "op9_neighbours": NEAREST_SQL,
+}
