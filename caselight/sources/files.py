@@ -27,6 +27,15 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Give a folder another place on the same file system; the folder that it goes to is made."""
+    system, place = _opened(spark, path)
+    goal = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system.mkdirs(goal.getParent())
+    if not system.rename(place, goal):
+        raise OSError(f"{path} cannot be moved to {target}")
+
+
 def folders(spark: SparkSession, path: str) -> dict[str, int]:
     """Names of the folders in a folder, with the time of their last change in milliseconds."""
     system, place = _opened(spark, path)

@@ -26,6 +26,8 @@ from caselight.sources import files
 from caselight.sources.readers import CSV_OPTIONS, dotted, typed_columns
 
 _BROKEN, _FILE, _ROW, _REASONS = "_broken", "_file", "_row", "_reasons"
+#: Tells rejects from good rows where both are written at once.
+REJECTED = "rejected_row"
 REJECTS_LAYOUT = "file string, row_text string, reason string"
 
 
@@ -50,7 +52,7 @@ CLIENT_PENDING = Delivery(
 class Delivered:
     """A delivery, judged. Lazy: nothing but first lines has been read."""
 
-    #: All rows: the layout, and file, text and reasons of a reject.
+    #: All rows: the layout, the file, and text and reasons of a reject, which are NULL in good rows.
     judged: DataFrame
     layout: T.StructType
     #: Columns of the layout that at least one file lacks.
@@ -59,21 +61,26 @@ class Delivered:
     @property
     def rows(self) -> DataFrame:
         """Good rows; columns that were not delivered are marked (see ``contract``)."""
-        good = self.judged.filter(F.size(_REASONS) == 0).select(*self.layout.fieldNames())
+        good = self.judged.filter(F.col(_REASONS).isNull()).select(*self.layout.fieldNames())
         return mark_absent(good, self.absent)
 
+    def _told(self) -> list[Column]:
+        """file, row_text and reason of a reject; NULL in good rows."""
+        told = {"file": F.col(_FILE), "row_text": F.col(_ROW), "reason": F.col(_REASONS)}
+        return [F.when(F.col(_REASONS).isNotNull(), value).alias(name) for name, value in told.items()]
+
     @property
     def rejects(self) -> DataFrame:
         """file, row_text and reason; of several reasons each is told."""
-        bad = self.judged.filter(F.size(_REASONS) > 0)
-        return bad.select(
-            F.col(_FILE).alias("file"), F.col(_ROW).alias("row_text"), F.array_join(_REASONS, "; ").alias("reason")
-        )
+        return self.judged.filter(F.col(_REASONS).isNotNull()).select(*self._told())
 
     def observed(self, note: Callable[..., DataFrame]) -> DataFrame:
-        """Good rows, with the number of rejects noted while they are computed."""
-        counted = note(self.judged, F.count_if(F.size(_REASONS) > 0).alias("rejected"))
-        return counted.filter(F.size(_REASONS) == 0).select(*self.layout.fieldNames())
+        """All rows, good and rejected ones told apart by ``REJECTED``, with the number of rejects noted.
+
+        Beside the layout, rejects have file, row_text and reason.
+        """
+        counted = note(self.judged, F.count_if(F.col(_REASONS).isNotNull()).alias("rejected"))
+        return counted.select(*self.layout.fieldNames(), (F.col(_REASONS).isNotNull()).alias(REJECTED), *self._told())
 
 
 def take_in(spark: SparkSession, path: str, delivery: Delivery, **options: str) -> Delivered:
@@ -127,27 +134,40 @@ def _bound(line: str, sep: str, quote: str, delivery: Delivery, file: str) -> li
 
 
 def _judged(text: DataFrame, names: list[str], delivery: Delivery, sep: str) -> DataFrame:
+    fields = delivery.layout.fields
+    # Values first, each computed once: they are told and looked at for reasons after it.
     values = typed_columns(text, delivery.layout, delivery.codes, strict=False)
-    reasons = [
-        _wrong(field, F.col(field.name), value)
-        for field, value in zip(delivery.layout.fields, values)
-        if field.name in names and not isinstance(field.dataType, T.StringType)
-    ]
-    told = F.filter(F.array(*reasons), lambda r: r.isNotNull()) if reasons else F.array().cast("array<string>")
+    read = text.select(
+        *[v.alias(f"_value_{f.name}") for f, v in zip(fields, values)],
+        *names,
+        _BROKEN,
+        F.col("_metadata.file_path").alias(_FILE),
+    )
+    value = {f.name: F.col(f"_value_{f.name}") for f in fields}
+    checked = [f for f in fields if f.name in names and not isinstance(f.dataType, T.StringType)]
     broken = F.col(_BROKEN).isNotNull()
+    few = F.lit(f"the row has not as many fields as its header ({len(names)})")
+    # Plain comparisons tell a good row; texts of reasons are made of the others only, in a form that keeps
+    # them out of the code that is generated for every row.
+    bad = reduce(Column.__or__, [_lost(F.col(f.name), value[f.name]) for f in checked], broken)
+    reasons = F.array(*[_wrong(f, F.col(f.name), value[f.name]) for f in checked]).cast("array<string>")
+    told = F.array_join(F.filter(reasons, lambda r: r.isNotNull()), "; ")
     rewritten = F.to_csv(F.struct(*[F.col(n) for n in names]), {"sep": sep})
-    fields = F.array(F.lit(f"the row has not as many fields as its header ({len(names)})"))
-    judged = F.when(broken, fields).otherwise(told)
-    return text.select(
-        *[v.alias(f.name) for f, v in zip(delivery.layout.fields, values)],
-        F.col("_metadata.file_path").alias(_FILE),
-        F.when(F.size(judged) > 0, F.coalesce(F.col(_BROKEN), rewritten)).alias(_ROW),
-        judged.alias(_REASONS),
+    return read.select(
+        *[value[f.name].alias(f.name) for f in fields],
+        F.col(_FILE),
+        F.when(bad, F.coalesce(F.col(_BROKEN), rewritten)).alias(_ROW),
+        F.when(broken, few).when(bad, told).alias(_REASONS),
     )
 
 
+def _lost(raw: Column, value: Column) -> Column:
+    """Whether there is a text that is no value."""
+    return value.isNull() & (F.trim(F.coalesce(raw, F.lit(""))) != "")
+
+
 def _wrong(field: T.StructField, raw: Column, value: Column) -> Column:
     """Why the text is no value of the field, or NULL."""
     kind = "time" if isinstance(field.dataType, T.TimestampNTZType) else "number"
     said = F.concat(F.lit(f"{field.name} is no {kind}: "), raw)
-    return F.when((F.trim(F.coalesce(raw, F.lit(""))) != "") & value.isNull(), said)
+    return F.when(_lost(raw, value), said)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from caselight import schema
 from caselight.functions import contract
-from caselight.sources import intake, store
+from caselight.sources import files, intake, store
 from caselight.sources.readers import CSV_OPTIONS, read_cases
 
 
@@ -33,8 +33,8 @@ def refresh_snapshot(
 
     With a ``reject_limit``, files may differ in their headers, and rows that cannot be read go to
     the version's table of rejects (see ``intake``); more of them than the limit are an error,
-    and nothing is committed then, but the table is there to look at. The delivery is parsed once, and again only
-    where there are rejects. Without a limit the extract is read as ``read_cases`` reads it.
+    and nothing is committed then, but the table is there to look at. The delivery is parsed once.
+    Without a limit the extract is read as ``read_cases`` reads it.
 
     Rows are clustered by area inside each file, so that an area filter skips row
     groups; no shuffle is needed for it. ``partition_by`` puts values into folders; rows are
@@ -43,21 +43,24 @@ def refresh_snapshot(
     """
     version = store.new_version(dst)
     noted = Observation(f"refresh {version.version}")
+    # Rows and rejects are written in one job, so a delivery is parsed once; the rejects' folder goes to its place then.
+    folders = (*partition_by,)
     if reject_limit is None:
         delivered, rows = None, read_cases(spark, src, **options)
         missing = contract.absent(rows)
     else:
         delivered = intake.take_in_cases(spark, src, **options)
         rows, missing = delivered.observed(lambda df, *counts: df.observe(noted, *counts)), delivered.absent
+        folders = (intake.REJECTED, *partition_by)
     if partition_by:
-        rows = rows.hint("rebalance", *partition_by)
-    writer = rows.sortWithinPartitions(*partition_by, "area", "registered_at").write
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(version.folder)
+        rows = rows.hint("rebalance", *folders)
+    writer = rows.sortWithinPartitions(*folders, "area", "registered_at").write
+    (writer.partitionBy(*folders) if folders else writer).parquet(version.folder)
     rejected = 0
     # The noted number can be too large where tasks ran twice, but it is 0 only without rejects.
     if delivered is not None and noted.get["rejected"]:
-        delivered.rejects.write.parquet(version.rejects_folder)
-        rejected = spark.read.parquet(version.rejects_folder).count()
+        files.move(spark, f"{version.folder}/{intake.REJECTED}=true", version.rejects_folder)
+        rejected = spark.read.schema(intake.REJECTS_LAYOUT).parquet(version.rejects_folder).count()
         if rejected > reject_limit:
             raise TooManyRejects(
                 f"{rejected} rows of {src} cannot be read, {reject_limit} are allowed; see {version.rejects_folder}"
