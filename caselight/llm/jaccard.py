@@ -51,6 +51,8 @@ ROUNDS = 1
 #: Rows of n-gram groups that a task takes at once (a larger group is taken whole), and pairs that it compares at once.
 ROWS = 1 << 16
 PAIRS = 1 << 18
+#: Most files for each core of a checkpoint of a round.
+FILES = 2
 _HASH = prefix_hash(6)
 
 
@@ -392,6 +394,14 @@ def _split(row: np.ndarray, gram: np.ndarray, rows: int) -> list[np.ndarray]:
     return np.split(gram, np.searchsorted(row, np.arange(1, rows)))
 
 
+def _narrow(df: DataFrame) -> DataFrame:
+    """A checkpoint of a narrow table of one step, in a few files for each core.
+
+    Each file takes an executor calls to the file system, however few rows it has, and rounds leave many such tables.
+    """
+    return checkpointed(df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, part: the smallest node that is reachable, for every node that has a link.
 
@@ -400,13 +410,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     one, other = links.select("x", "y"), links.select(F.col("y").alias("x"), F.col("x").alias("y"))
     loops = one.union(other).select("x", F.col("x").alias("y"))
-    both = checkpointed(one.union(other).union(loops).distinct())
-    labels = checkpointed(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("part")))
+    both = _narrow(one.union(other).union(loops).distinct())
+    labels = _narrow(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("part")))
     while True:
         own = F.max(F.when(F.col("x") == F.col("y"), F.col("part")))
         lower = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("part").alias("mid"), own.alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("part").alias("jump"))
-        new = checkpointed(lower.join(jump, "mid").select("x", "jump", "old"))
+        new = _narrow(lower.join(jump, "mid").select("x", "jump", "old"))
         labels = new.select(F.col("x").alias("node"), F.col("jump").alias("part"))
         if new.filter("jump <> old").isEmpty():
             return labels
