@@ -69,7 +69,17 @@ class PrefixHash:
 
 @functools.cache
 def prefix_hash(seed: int) -> PrefixHash:
-    return PrefixHash(seed)
+    _MADE.append(made := PrefixHash(seed))
+    return made
+
+
+_MADE: list[PrefixHash] = []
+
+
+def forget_tables() -> None:
+    """Let go of all tables of powers in this process; they grow again when they are needed."""
+    for made in _MADE:
+        made.powers = made.inverses = np.ones(1, np.uint64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

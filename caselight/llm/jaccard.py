@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from caselight.llm.bytewise import lower_ascii, owners, prefix_hash, runs, scramble, text_slices
-from caselight.llm.shared import checkpointed, identified
+from caselight.llm.shared import checkpointed, identified, lean
 
 WORDS = 3
 #: Similarity in hundredths.
@@ -118,7 +118,7 @@ def _named_sets(docs: DataFrame, words: int) -> DataFrame:
                     [*own, pa.array(node, mask=size == 0), pa.array(size, pa.int64())], ["d", "tie", "node", "size"]
                 )
 
-    return docs.mapInArrow(run, "d long, tie long, node long, size long")
+    return docs.mapInArrow(lean(__name__, run), "d long, tie long, node long, size long")
 
 
 def _counts(docs: DataFrame, words: int) -> np.ndarray:
@@ -139,7 +139,7 @@ def _counts(docs: DataFrame, words: int) -> np.ndarray:
         return frame.head(1).assign(counts=[counts.tobytes()])
 
     # Each task sends the whole table in parts: a size that does not depend on the data.
-    parts = docs.mapInArrow(run, "part long, counts binary").groupBy("part").applyInPandas(add, "part long, counts binary")
+    parts = docs.mapInArrow(lean(__name__, run), "part long, counts binary").groupBy("part").applyInPandas(add, "part long, counts binary")
     table = np.zeros((64, PLACES // 64), np.int64)
     for r in parts.collect():
         table[r["part"]] = np.frombuffer(r["counts"], np.int64)
@@ -173,7 +173,7 @@ def _prefixes(docs: DataFrame, words: int, least: int, counts: np.ndarray) -> Da
                     ["gram", "node", "size", "place"],
                 )
 
-    return docs.mapInArrow(run, "gram long, node long, size int, place int")
+    return docs.mapInArrow(lean(__name__, run), "gram long, node long, size int, place int")
 
 
 def _classes(docs: DataFrame, words: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
                     [pa.array(node).take(at), pa.array(bits, pa.binary()).take(at)], ["node", "classes"]
                 )
 
-    return docs.mapInArrow(run, "node long, classes binary").groupBy("node").agg(F.first("classes").alias("classes"))
+    return docs.mapInArrow(lean(__name__, run), "node long, classes binary").groupBy("node").agg(F.first("classes").alias("classes"))
 
 
 def _bit_table(nodes: DataFrame) -> np.ndarray:
@@ -209,7 +209,7 @@ def _bit_table(nodes: DataFrame) -> np.ndarray:
         parts = [np.frombuffer(zlib.decompress(x), np.uint8) for x in frame["bits"]]
         return frame.head(1).assign(bits=[np.bitwise_or.reduce(parts).tobytes()])
 
-    joined = nodes.mapInArrow(run, "part long, bits binary").groupBy("part").applyInPandas(join, "part long, bits binary")
+    joined = nodes.mapInArrow(lean(__name__, run), "part long, bits binary").groupBy("part").applyInPandas(join, "part long, bits binary")
     table = np.zeros((64, BITS // 512), np.uint8)
     for r in joined.collect():
         table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
@@ -387,7 +387,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> Dat
     first, second = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in ("x", "y"))
     # Texts are never broadcast: nothing bounds them.
     both = pairs.join(first.hint("merge"), "x").join(second.hint("merge"), "y")
-    return both.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
+    return both.select("x", "y", "text_x", "text_y").mapInArrow(lean(__name__, run), "x long, y long")
 
 
 def _split(row: np.ndarray, gram: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -435,7 +435,7 @@ def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
         .select("gram", "node", "size", "place", "classes")
         .repartition("gram")
         .sortWithinPartitions("gram", "size", "node")
-        .mapInArrow(_with_partner(least), _ENTRY + ", partner long")
+        .mapInArrow(lean(__name__, _with_partner(least)), _ENTRY + ", partner long")
     )
     wanted = candidates.select("node").distinct()
     # Bits of fixed number keep most of the other texts from being shuffled; the join does the rest.
@@ -449,7 +449,7 @@ def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
                 at = pa.array(np.flatnonzero((size > 0) & (bits.value[place >> 3] >> (place & 7) & 1 > 0)))
                 yield pa.RecordBatch.from_arrays([pa.array(node).take(at), batch.column(2).slice(first, last - first).take(at)], ["node", "text"])
 
-    texts = rows.mapInArrow(name, "node long, text string").join(wanted, "node", "left_semi")
+    texts = rows.mapInArrow(lean(__name__, name), "node long, text string").join(wanted, "node", "left_semi")
     one_node = Window.partitionBy("node").orderBy("text")
     texts = checkpointed(texts.withColumn("n", F.row_number().over(one_node)).filter("n = 1").drop("n"))
 
@@ -468,13 +468,13 @@ def _grouped(rows: DataFrame, words: int, least: int) -> DataFrame:
             split.select("gram", "node", "size", "place", "classes", "part")
             .repartition("gram")
             .sortWithinPartitions("gram", "size", "node")
-            .mapInArrow(_across(least, turn), "x long, y long")
+            .mapInArrow(lean(__name__, _across(least, turn)), "x long, y long")
             .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
             .distinct()
         )
         rest = checkpointed(rest if tried is None else rest.join(tried, ["x", "y"], "left_anti"))
         tried = rest if tried is None else tried.union(rest)
-        links = checkpointed(links.union(_compared(rest, texts, words, least)))
+        links = links.union(checkpointed(_compared(rest, texts, words, least)))
     parts = components(links)
 
     return sets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))

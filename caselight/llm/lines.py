@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.llm.bytewise import prefix_hash, scramble, text_slices
-from caselight.llm.shared import identified
+from caselight.llm.shared import identified, lean
 
 EDITS = 2
 LEAST_BYTES = 24
@@ -120,7 +120,7 @@ def _occurrences(docs: DataFrame, least: int | None) -> DataFrame:
                 ["d", "tie", "number", "h1", "h2"],
             )
 
-    return docs.mapInArrow(run, "d long, tie long, number int, h1 long, h2 int")
+    return docs.mapInArrow(lean(__name__, run), "d long, tie long, number int, h1 long, h2 int")
 
 
 def _meetings(docs: DataFrame, least: int | None, edits: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _meetings(docs: DataFrame, least: int | None, edits: int) -> DataFrame:
                 [pa.array(key.view(np.int64)), pa.array(names[line].view(np.int64))], ["key", "h1"]
             )
 
-    rows = docs.mapInArrow(run, "key long, h1 long")
+    rows = docs.mapInArrow(lean(__name__, run), "key long, h1 long")
     one_key = Window.partitionBy("key")
     meets = F.min("h1").over(one_key) != F.max("h1").over(one_key)
     different = rows.withColumn("meets", meets).filter("meets").select("key", "h1").distinct()
@@ -340,14 +340,14 @@ def _repeated(rows: DataFrame, edits: int, least_bytes: int | None) -> DataFrame
     wanted = distinct.join(meetings.select("h1").distinct(), "h1", "left_semi").select("h1", "first.*")
     wanted = wanted.groupBy("d", "tie").agg(F.collect_list(F.struct("h1", "number")).alias("wanted"))
     texts = rows.join(wanted, ["d", "tie"]).select("d", "tie", "text", "wanted").mapInArrow(
-        _pick, "h1 long, d long, tie long, number int, line binary"
+        lean(__name__, _pick), "h1 long, d long, tie long, number int, line binary"
     ).dropDuplicates(["h1", "d", "tie", "number"])
     near = (
         _block_pairs(meetings).join(texts, "h1")
         .repartition("key", "pair")
         .sortWithinPartitions("key", "pair", "d", "tie", "number")
         .select("key", "pair", "lower", "h1", "line")
-        .mapInArrow(_verify(edits, least_bytes is None), "h1 long")
+        .mapInArrow(lean(__name__, _verify(edits, least_bytes is None)), "h1 long")
         .distinct()
         .withColumn("near", F.lit(True))
     )

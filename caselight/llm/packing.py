@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselight.llm.shared import forgets, lean
+
 CAPACITY = 2048
 END_ID = 1
 GROUP_DOCUMENTS = 4096
@@ -123,10 +125,13 @@ class WordTokenizer:
 
 @functools.cache
 def _tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker, so that later tasks find the words of earlier ones."""
+    """One for each Python worker, so that later tasks find the words of earlier ones, until another operator's task comes."""
     return WordTokenizer(path)
 
 
+forgets(_tokenizer.cache_clear)
+
+
 def _dealt(mark: int, copy: int, task: int, groups: int) -> int:
     """Group of a row with this hash, met ``copy`` times before in the task."""
     if not copy:
@@ -238,7 +243,7 @@ def pack_documents(
     head = "doc_id long, start long, length long, doc_tokens long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), mark.alias("mark"))
     pieces = rows.mapInArrow(
-        _pieces_of(tokenizer_path, capacity, end_id, keep_ids, groups), f"{head}, load {load}, lot long"
+        lean(__name__, _pieces_of(tokenizer_path, capacity, end_id, keep_ids, groups)), f"{head}, load {load}, lot long"
     )
     packed = pieces.groupBy("lot").applyInPandas(
         _place(capacity), f"{head}, load {load}, sequence_id long, offset long"

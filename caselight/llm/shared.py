@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselight.llm.bytewise import forget_tables
+
 _NO_ID = (1 << 63) - 1
+#: What lets go of things that one operator's tasks keep in their Python worker for its later tasks.
+_FORGET: list[Callable[[], None]] = [forget_tables]
+_latest: str | None = None
 
 
 def let_workers_import(spark: SparkSession) -> None:
@@ -41,6 +50,48 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forgets(forget: Callable[[], None]) -> None:
+    """Have ``forget`` called in a worker when another operator's task comes to it."""
+    _FORGET.append(forget)
+
+
+def take_over(operator: str) -> None:
+    """Let go of what other operators have kept in this process."""
+    global _latest
+    if _latest != operator:
+        for forget in _FORGET:
+            forget()
+        _latest = operator
+
+
+def give_back() -> None:
+    """Return memory that is free, but still held by Arrow's pool or the allocator, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
+def lean(operator: str, run: Callable) -> Callable:
+    """``run``, a function for mapInArrow, that leaves little behind in its Python worker.
+
+    Workers live on for the tasks of other stages, and executors have room for one stage's needs, not
+    for all that went before.
+    """
+
+    def fed(batches):
+        for batch in batches:
+            yield batch
+            pa.default_memory_pool().release_unused()
+
+    def task(batches):
+        take_over(operator)
+        yield from run(fed(batches))
+        give_back()
+
+    return task
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """d, tie, text and the other columns as x0, x1 and so on.
 

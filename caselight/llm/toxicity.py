@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.llm.bytewise import lower_ascii, owners, prefix_hash, runs, scramble, text_slices
+from caselight.llm.shared import give_back, lean, take_over
 
 SAMPLE = 8192
 FEATURES = 512
@@ -211,8 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        take_over(__name__)
         frame = frame.sort_values("doc_id")
         model = fit_rows(frame["text"].fillna("").tolist(), frame["toxic"].clip(0, 1).tolist(), features, ridge, counterfactual)
+        give_back()
         return pd.DataFrame(
             {"feature": np.r_[model.features.view(np.int64), 0], "weight": np.r_[model.weights, model.bias],
              "bias": [False] * len(model.features) + [True], "learnt": model.learnt}
@@ -243,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = F.col(f"c{names.index('text')}").cast("string").alias("scored")
     schema = plain.schema.add(f"c{len(names)}", "double")
-    return plain.select("*", text).mapInArrow(run, schema).toDF(*names, "toxicity")
+    return plain.select("*", text).mapInArrow(lean(__name__, run), schema).toDF(*names, "toxicity")
 
 
 def report(docs: DataFrame, model: Model) -> DataFrame:
