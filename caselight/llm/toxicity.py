@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caselight.llm.bytewise import lower_ascii, owners, prefix_hash, runs, scramble, text_slices
 from caselight.llm.shared import give_back, lean, take_over
@@ -236,17 +237,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column(at)
             parts = [model.scores(data, bounds) for _, _, data, bounds in text_slices(text)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64())]
+            columns = [*batch.columns[: len(names)], pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = F.col(f"c{names.index('text')}").cast("string").alias("scored")
-    schema = plain.schema.add(f"c{len(names)}", "double")
-    return plain.select("*", text).mapInArrow(lean(__name__, run), schema).toDF(*names, "toxicity")
+    schema = T.StructType([*plain.schema.fields, T.StructField(f"c{len(names)}", T.DoubleType())])
+    at = names.index("text")
+    if plain.dtypes[at][1] != "string":  # else the texts go to the task once
+        plain, at = plain.select("*", F.col(f"c{at}").cast("string").alias("scored")), len(names)
+    return plain.mapInArrow(lean(__name__, run), schema).toDF(*names, "toxicity")
 
 
 def report(docs: DataFrame, model: Model) -> DataFrame:

@@ -30,7 +30,7 @@ def tasks(make_docs, monkeypatch):  # noqa: F811
     numbers, texts = pa.array(range(len(TEXTS))), pa.array(TEXTS)
     model = toxicity.Model(np.array([1, 2], np.uint64), np.zeros(2), 0.0)
     operators = {
-        "toxicity": (lambda: toxicity.score(docs, model), [numbers, texts, texts]),
+        "toxicity": (lambda: toxicity.score(docs, model), [numbers, texts]),
         "lines": (lambda: lines._occurrences(docs, None), [numbers, numbers, texts]),
         "jaccard": (lambda: jaccard._named_sets(docs, 5), [numbers, numbers, texts]),
         "packing": (lambda: packing.pack_documents(docs, VOCABULARY), [numbers, texts, numbers]),
@@ -81,3 +81,21 @@ def test_every_task_gives_back_free_memory(tasks, monkeypatch, name):
     monkeypatch.setattr(shared, "give_back", lambda: given.append(name))
     tasks(name)
     assert given == [name]
+
+
+def test_string_texts_are_scored_without_a_copy(make_docs, monkeypatch):  # noqa: F811
+    docs = make_docs(*enumerate(TEXTS)).select("text", "doc_id")
+    named = [toxicity._HASH.spans(toxicity._HASH.sums(b := np.frombuffer(w, np.uint8)), *np.array([[0], [len(b)]]))[0] for w in (b"some", b"other")]
+    order = np.argsort(features := bytewise.scramble(np.array(named), 1))
+    model = toxicity.Model(features[order], np.array([2.0, -3.0])[order], 0.5)
+    kind, sent = type(docs), []
+    take = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: (sent.append(self.columns), take(self, *a, **k))[1])
+    as_text = toxicity.score(docs, model)
+    as_bytes = toxicity.score(docs.selectExpr("cast(text AS binary) AS text", "doc_id"), model)
+    assert [len(x) for x in sent] == [2, 3]
+    assert as_text.columns == as_bytes.columns == ["text", "doc_id", "toxicity"]
+    found = {r.doc_id: (r.text, round(r.toxicity, 6)) for r in as_text.collect()}
+    odds = [2.5, -2.5, 0.5, 0.5]
+    assert found == {i: (t, round(float(1 / (1 + np.exp(-x))), 6)) for i, (t, x) in enumerate(zip(TEXTS, odds, strict=True))}
+    assert {r.doc_id: round(r.toxicity, 6) for r in as_bytes.collect()} == {i: s for i, (_, s) in found.items()}
