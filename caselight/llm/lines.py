@@ -15,8 +15,9 @@ With ``least_bytes`` None, as the query has it, there is no such floor: a line t
 dropped if it is equal to an earlier one, whatever its length, or if both have more characters than
 ``edits``, the fewest that the segments allow, and are at most ``edits`` characters apart.
 
-Keys and hashes of all lines are shuffled, texts only once. Repeats of a line within a batch are
-dropped before that, so a line in a third of all documents costs a row per batch. Lines under one
+Keys and hashes of all lines are made and shuffled once, texts are shuffled once; the few lines that
+meet under a key are kept in the checkpoint folder. Equal lines in a slice of about 1 MB are settled
+there, so a line in a third of all documents costs a row per slice under its hash. Lines under one
 key share length and a segment; a key's lines are compared in the order of their occurrence. Where
 many different lines share a key, as machine-written ones do, they are dealt by a hash into blocks
 of about ``BLOCK`` lines, and every pair of blocks is compared by a task of its own, all pairs of lines
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.llm.bytewise import prefix_hash, scramble, text_slices
-from caselight.llm.shared import identified, lean
+from caselight.llm.shared import checkpointed, identified, lean
 
 EDITS = 2
 LEAST_BYTES = 24
@@ -90,37 +91,60 @@ def _keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int, plac
     return np.concatenate(lines), np.concatenate(keys)
 
 
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
 def _each_slice(batches, least: int | None):
     for batch in batches:
         for first, last, data, bounds in text_slices(batch.column(2)):
             start, end, row, number = _lines(data, bounds)
             if least is None:
-                solid = np.r_[0, np.cumsum((data != 32) & ((data < 9) | (data > 13)))]
-                long_enough = solid[end] > solid[start]
+                long_enough = end > start
+                indented = np.flatnonzero(long_enough)
+                indented = indented[_blank(data[start[indented]])]
+                if len(indented):
+                    solid = np.r_[0, np.cumsum(~_blank(data))]
+                    long_enough[indented] = solid[end[indented]] > solid[start[indented]]
             else:
                 long_enough = end - start >= least
             start, end, row, number = (x[long_enough] for x in (start, end, row, number))
             yield batch, first, last, data, start, end, row, number
 
 
+def _again(h1: np.ndarray, h2: np.ndarray, d: np.ndarray, tie: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which lines repeat one that stands at an earlier place among those given."""
+    again = np.zeros(len(h1), bool)
+    order = np.argsort(h1)
+    equal = np.flatnonzero(h1[order[1:]] == h1[order[:-1]])
+    some = np.unique(np.r_[order[equal], order[equal + 1]])
+    some = some[np.lexsort((number[some], tie[some], d[some], h2[some], h1[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = (h1[some[1:]] != h1[some[:-1]]) | (h2[some[1:]] != h2[some[:-1]])
+    first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+    # Rows equal in id and text are one document: their lines stand at one place.
+    again[some] = (d[some] != d[first]) | (tie[some] != tie[first]) | (number[some] != number[first])
+    return again
+
+
 def _occurrences(docs: DataFrame, least: int | None) -> DataFrame:
-    """d, tie, number, h1, h2 of every line that is long enough, or not blank."""
+    """at, h2, d, tie, number of every line that is long enough, or not blank.
+
+    ``at`` is the line's hash h1, and h2 a second one. Of equal lines in a slice only the first has
+    them; the others are surely dropped, and have no h2 and some number of their own as ``at``.
+    """
 
     def run(batches):
         for batch, first, _, data, start, end, row, number in _each_slice(batches, least):
-            take = pa.array(row + first)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    pa.array(number, pa.int32()),
-                    pa.array(_HASH.spans(_HASH.sums(data), start, end).view(np.int64)),
-                    pa.array((_OTHER.spans(_OTHER.sums(data), start, end) >> np.uint64(33)).astype(np.int32)),
-                ],
-                ["d", "tie", "number", "h1", "h2"],
-            )
+            d, tie = (np.asarray(batch.column(i))[row + first] for i in (0, 1))
+            h1 = _HASH.spans(_HASH.sums(data), start, end)
+            h2 = (_OTHER.spans(_OTHER.sums(data), start, end) >> np.uint64(33)).astype(np.int32)
+            again = _again(h1, h2, d, tie, number)
+            at = np.where(again, scramble(h1 + np.arange(len(h1), dtype=np.uint64), 5), h1)
+            columns = [pa.array(at.view(np.int64)), pa.array(h2, mask=again), pa.array(d), pa.array(tie), pa.array(number, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "h2", "d", "tie", "number"])
 
-    return docs.mapInArrow(lean(__name__, run), "d long, tie long, number int, h1 long, h2 int")
+    return docs.mapInArrow(lean(__name__, run), "at long, h2 int, d long, tie long, number int")
 
 
 def _meetings(docs: DataFrame, least: int | None, edits: int) -> DataFrame:
@@ -133,7 +157,7 @@ def _meetings(docs: DataFrame, least: int | None, edits: int) -> DataFrame:
             names, once = np.unique(names, return_index=True)
             start, end, places = start[once], end[once], None
             if least is None:
-                places = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+                places = np.flatnonzero(np.append((data & 0xC0) != 0x80, True))
                 start, end = np.searchsorted(places, start), np.searchsorted(places, end)
                 long_enough = end - start > edits
                 names, start, end = (x[long_enough] for x in (names, start, end))
@@ -196,12 +220,14 @@ def within(a: bytes | str, b: bytes | str, edits: int) -> bool:
     if max(len(a), len(b)) <= edits:
         return True
     places: dict[int, int] = {}
-    for i, sign in enumerate(a):
+    for i, sign in enumerate(a[:edits]):
         places[sign] = places.get(sign, 0) | 1 << (i + edits)
     band = (1 << (2 * edits + 1)) - 1
     # Bit e of a state is the diagonal e - edits: that many bytes of a beyond those of b.
     states = [(1 << (edits + d + 1)) - (1 << edits) for d in range(edits + 1)]
     for j, sign in enumerate(b):
+        if j + edits < len(a):  # the one sign of a that comes into the band
+            places[a[j + edits]] = places.get(a[j + edits], 0) | 1 << (j + 2 * edits)
         same = places.get(sign, 0) >> j & band
         old = states
         states = [old[0] & same]
@@ -284,32 +310,36 @@ def _near_many(lines: list, lower: np.ndarray, edits: int) -> np.ndarray:
 
 
 def _verify(edits: int, characters: bool):
-    """Rows (key, pair, lower, h1, line) by key, pair and order to the h1 of lines with an earlier one near."""
+    """Rows (key, pair, lower, d, tie, number, line) by key, pair and order to the places of lines with an earlier one near."""
 
-    def near_ones(lower: list, names: list, lines: list) -> list:
+    def near_ones(lower: np.ndarray, lines: list) -> list | np.ndarray:
         if characters:
             lines = [x.decode() for x in lines]
         if len(lines) >= MANY:
-            return [names[i] for i in _near_many(lines, np.array(lower), edits)]
-        across = not all(lower)
+            return _near_many(lines, lower, edits)
+        across = not lower.all()
         return [
-            names[i]
+            i
             for i, line in enumerate(lines)
             if any(within(lines[e], line, edits) for e in range(i) if not across or lower[e] != lower[i])
         ]
 
+    def near_places(rows: pa.Table, cuts: np.ndarray) -> list[pa.RecordBatch]:
+        lower, lines = np.asarray(rows["lower"]), rows["line"].to_pylist()
+        near = [a + i for a, b in zip(cuts[:-1], cuts[1:], strict=True) for i in near_ones(lower[a:b], lines[a:b])]
+        return rows.select(["d", "tie", "number"]).take(pa.array(near, pa.int64())).combine_chunks().to_batches()
+
     def run(batches):
-        group, held = None, ([], [], [])
+        held = None
         for batch in batches:
-            near = []
-            for key, pair, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (key, pair) != group:
-                    near += near_ones(*held)
-                    group, held = (key, pair), ([], [], [])
-                for values, value in zip(held, row, strict=True):
-                    values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], ["h1"])
-        yield pa.RecordBatch.from_arrays([pa.array(near_ones(*held), pa.int64())], ["h1"])
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            key, pair = np.asarray(rows["key"]), np.asarray(rows["pair"])
+            cuts = np.r_[0, 1 + np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))]
+            yield from near_places(rows, cuts)
+            held = rows.slice(cuts[-1])
+        if held is not None:
+            yield from near_places(held, np.array([0, len(held)]))
 
     return run
 
@@ -332,27 +362,27 @@ def _pick(batches):
 def _repeated(rows: DataFrame, edits: int, least_bytes: int | None) -> DataFrame:
     """d, tie and ``dropped``, the numbers of the lines to drop, of documents that have any."""
     rows = rows.select("d", "tie", "text")
-    lines = _occurrences(rows, least_bytes)
-    place = F.struct("d", "tie", "number")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-
-    meetings = _meetings(rows, least_bytes, edits)
-    wanted = distinct.join(meetings.select("h1").distinct(), "h1", "left_semi").select("h1", "first.*")
+    # Both uses need these rows and columns, no fewer, so Spark makes and shuffles them once.
+    lines = _occurrences(rows, least_bytes).filter("at IS NOT NULL AND d IS NOT NULL AND tie IS NOT NULL").repartition("at")
+    order = Window.partitionBy("at", "h2").orderBy("d", "tie", "number")
+    repeats = lines.withColumn("place", F.rank().over(order)).filter("place > 1 OR h2 IS NULL")
+
+    meetings = checkpointed(_meetings(rows, least_bytes, edits))
+    meeting = lines.join(meetings.select(F.col("h1").alias("at")).distinct(), "at")
+    first = F.min(F.struct("d", "tie", "number")).alias("first")
+    wanted = meeting.groupBy("at", "h2").agg(first).select(F.col("at").alias("h1"), "first.*")
     wanted = wanted.groupBy("d", "tie").agg(F.collect_list(F.struct("h1", "number")).alias("wanted"))
     texts = rows.join(wanted, ["d", "tie"]).select("d", "tie", "text", "wanted").mapInArrow(
         lean(__name__, _pick), "h1 long, d long, tie long, number int, line binary"
-    ).dropDuplicates(["h1", "d", "tie", "number"])
+    ).repartition("h1").dropDuplicates(["h1", "d", "tie", "number"])
     near = (
         _block_pairs(meetings).join(texts, "h1")
         .repartition("key", "pair")
         .sortWithinPartitions("key", "pair", "d", "tie", "number")
-        .select("key", "pair", "lower", "h1", "line")
-        .mapInArrow(lean(__name__, _verify(edits, least_bytes is None)), "h1 long")
-        .distinct()
-        .withColumn("near", F.lit(True))
+        .select("key", "pair", "lower", "d", "tie", "number", "line")
+        .mapInArrow(lean(__name__, _verify(edits, least_bytes is None)), "d long, tie long, number int")
     )
-    repeated = distinct.join(near, "h1", "left").filter("n > 1 OR near")
-    gone = lines.join(repeated, ["h1", "h2"]).filter(F.col("near") | (place != F.col("first")))
+    gone = repeats.select("d", "tie", "number").unionByName(near)
     return gone.groupBy("d", "tie").agg(F.collect_set("number").alias("dropped"))
 
 
