@@ -1,13 +1,15 @@
 """Deliveries made of the star tables: the cases written as two folders of CSV files and taken in again.
 
 The files have the delivered headers, in two orders, and some of their numbers and stamps are spoilt by a rule
-on the case id. They are written to a new folder under the session's checkpoint folder.
+on the case id. They are written to a new folder under the session's checkpoint folder, and nothing else is left there.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +19,16 @@ from pyspark.sql import types as T
 from caselight import schema
 from caselight.functions import fixed_values as fv
 from caselight.operators import capacity, prepare, series
-from caselight.sources import intake, readers, star_tables, store, writers
+from caselight.sources import files, intake, readers, star_tables, store, writers
 
 BAD_STAMP = "(case_id % 101 = 7)"
 BAD_NUMBER = "(case_id % 103 = 5)"
 AS_OF = date(1998, 6, 15)
 #: Most rows of a delivered file.
 RECORDS = 500_000
+#: The cases of a header are joined and written in so many shares, one after the other.
+SHARES = 2
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _folder(spark: SparkSession) -> str:
@@ -54,28 +59,47 @@ def deliver(spark: SparkSession, sf_dir: str) -> str:
     """Write the cases as CSV files of two headers; returns their folder."""
     path = _folder(spark)
     headers = {name: header for header, name in fv.CASE_HEADERS.items()}
-    # The cases are joined once, for both headers and every column that is written of another.
-    joined = _folder(spark)
-    star_tables.cases(spark, sf_dir).select(*schema.CASE_COLUMNS).write.parquet(joined)
-    cases = spark.read.schema(schema.CASES).parquet(joined)
+    odd = "case_id % 2 = 1"
+    # A packed file is read by one task, so files are kept short.
+    settings = {"sep": ";", "encoding": "ISO-8859-1", "header": "true", "compression": "gzip"}
+    # The lines of a header are told by the case id before any join, so none is joined for both and nothing is
+    # stored between. The shuffle files of one share are gone before those of the next are written.
+    for name, chosen, order in (("odd", odd, 1), ("even", f"NOT ({odd})", -1)):
+        named = [F.col(c).alias(headers[c]) for c in schema.CASE_COLUMNS[::order]]
+        for share in range(SHARES):
+            cases = star_tables.cases_by_narrow_rows(spark, sf_dir, chosen, share, SHARES)
+            with _shuffles_removed(spark):
+                out = _spoilt(cases).select(*named).write.mode("append")
+                out.options(**settings, maxRecordsPerFile=RECORDS).csv(f"{path}/{name}")
+    return path
+
+
+def _spoilt(cases: DataFrame) -> DataFrame:
+    """The delivered texts of cases, some of them no numbers and no times."""
     stamps = [f.name for f in schema.CASES.fields if isinstance(f.dataType, T.TimestampNTZType)]
     cases = cases.withColumns({n: F.col(n).cast("string") for n in stamps})
     columns = [_as_text(f).alias(f.name) for f in schema.CASES.fields]
     text = cases.select(*columns, F.expr(BAD_STAMP).alias("_stamp"), F.expr(BAD_NUMBER).alias("_number"))
-    spoilt = text.withColumns(
+    return text.withColumns(
         {
             "due_at": F.when(F.col("_stamp"), F.lit("31/31/1998 10:00:00")).otherwise(F.col("due_at")),
             "met_sla": F.when(F.col("_number"), F.lit("sí")).otherwise(F.col("met_sla")),
         }
     )
-    odd = F.col("case_id").cast("bigint") % 2 == 1
-    for name, rows, order in (("odd", odd, 1), ("even", ~odd, -1)):
-        named = [F.col(c).alias(headers[c]) for c in schema.CASE_COLUMNS[::order]]
-        out = spoilt.filter(rows).select(*named).write
-        # A packed file is read by one task, so files are kept short.
-        settings = {"sep": ";", "encoding": "ISO-8859-1", "header": "true", "compression": "lz4"}
-        out.options(**settings, maxRecordsPerFile=RECORDS).csv(f"{path}/{name}")
-    return path
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun within remove their shuffle files when they end, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def good_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +123,17 @@ def _store(spark: SparkSession, source: str) -> str:
     return target
 
 
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot stored of a delivery, whose files go once they are taken in."""
+    source = deliver(spark, sf_dir)
+    target = _store(spark, source)
+    files.remove(spark, source)
+    return readers.read_snapshot(spark, target)
+
+
 def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot after a refresh by the delivered files."""
-    return readers.read_snapshot(spark, _store(spark, deliver(spark, sf_dir)))
+    return _refreshed(spark, sf_dir)
 
 
 def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +158,6 @@ def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backlog per area from the stored snapshot, with the day of its last case."""
-    cases = prepare.with_missed(readers.read_snapshot(spark, _store(spark, deliver(spark, sf_dir))))
+    cases = prepare.with_missed(_refreshed(spark, sf_dir))
     last = series.latest_day(cases, AS_OF).scalar()
     return capacity.backlog_by_area(cases).select("area", "total", "due", "solved", last.alias("as_of"))

@@ -54,7 +54,7 @@ def refresh_snapshot(
         folders = (intake.REJECTED, *partition_by)
     if partition_by:
         rows = rows.hint("rebalance", *folders)
-    writer = rows.sortWithinPartitions(*folders, "area", "registered_at").write
+    writer = rows.sortWithinPartitions(*folders, "area", "registered_at").write.option("compression", "zstd")
     (writer.partitionBy(*folders) if folders else writer).parquet(version.folder)
     rejected = 0
     # The noted number can be too large where tasks ran twice, but it is 0 only without rejects.
